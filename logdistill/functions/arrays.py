@@ -12,9 +12,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 
     A plain Column used twice is evaluated twice, and inside a lambda once per
-    array element; a lambda variable is evaluated once.
+    array element; a lambda variable is evaluated once. ``value`` is the start
+    of a fold over nothing, which ``body`` finishes; nesting stays linear,
+    unlike with ``transform`` over a one-element array.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
 
 
 def positions(arr: Column, test: Callable[[Column], Column]) -> Column:
@@ -49,22 +51,19 @@ def spans(starts: Column, total: Column, body: Callable[[Column, Column], Column
     )
 
 
-def occurrences(keys: Column) -> Column:
-    """Group an array of strings by value: ``array<struct<key, n, first, at>>``.
+def runs(tagged: Column) -> Column:
+    """Group a sorted ``array<struct<key, pos>>``: ``array<struct<key, n, first, at>>``.
 
     ``first`` is the first position of the key and ``at`` all its positions in
-    order. Sorting the array once and cutting it into runs keeps this inside the
-    row: no explode, no shuffle.
+    order. Cutting a sorted array into runs keeps grouping inside the row: no
+    explode, no shuffle.
     """
-    tagged = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("pos"))))
 
     def cut(t: Column) -> Column:
         starts = F.filter(
             F.transform(
                 t,
-                lambda x, i: F.when(
-                    (i == 0) | (F.get(t, i - 1)["key"] != x["key"]), i
-                ),
+                lambda x, i: F.when((i == 0) | (F.get(t, i - 1)["key"] != x["key"]), i),
             ),
             lambda i: i.isNotNull(),
         )
@@ -83,3 +82,10 @@ def occurrences(keys: Column) -> Column:
         )
 
     return bind(tagged, cut)
+
+
+def occurrences(keys: Column) -> Column:
+    """``runs`` of an array of strings: every value with all its positions."""
+    return runs(
+        F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("pos"))))
+    )

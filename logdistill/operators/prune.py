@@ -125,22 +125,18 @@ def prune(
         gated = F.when(gate, raw)
         for i, p in enumerate(pruners):
             df = df.withColumn(f"_s{i}", p.compress(gated))
-        tries = [(F.col(f"_s{i}"), p.name) for i, p in enumerate(pruners)]
-        chosen = _first_accepted(tries, raw, ratio)
-        df = df.withColumn("_pick", chosen).drop(*[f"_s{i}" for i in range(len(pruners))])
+        candidates = [
+            _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio) for i, p in enumerate(pruners)
+        ]
+        df = df.withColumn("_pick", F.coalesce(*candidates, _nothing())).drop(
+            *[f"_s{i}" for i in range(len(pruners))]
+        )
     else:
         candidates = [
-            bind(
-                p.compress(raw),
-                lambda s, p=p: F.when(
-                    text.saves_enough(s, raw, ratio),
-                    F.struct(s.alias("summary"), F.lit(p.name).alias("pruner")),
-                ),
-            )
+            bind(p.compress(raw), _accept(p.name, raw, ratio))
             for p in pruners
         ]
-        nothing = F.lit(None).cast("struct<summary:string,pruner:string>")
-        df = df.withColumn("_pick", F.when(gate, F.coalesce(*candidates, nothing)))
+        df = df.withColumn("_pick", F.when(gate, F.coalesce(*candidates, _nothing())))
     pick = F.col("_pick")
     return df.select(
         *[c for c in entries.columns if c not in _PRUNED_COLUMNS],
@@ -161,18 +157,18 @@ _PRUNED_COLUMNS = (
 )
 
 
-def _first_accepted(
-    tries: list[tuple[Column, str]], raw: Column, ratio: float
-) -> Column:
-    return F.coalesce(
-        *[
-            F.when(
-                text.saves_enough(s, raw, ratio),
-                F.struct(s.alias("summary"), F.lit(name).alias("pruner")),
-            )
-            for s, name in tries
-        ],
-        F.lit(None).cast("struct<summary:string,pruner:string>"),
+def _accept(name: str, raw: Column, ratio: float) -> Callable[[Column], Column]:
+    return lambda summary: _if_accepted(summary, name, raw, ratio)
+
+
+def _nothing() -> Column:
+    return F.lit(None).cast("struct<summary:string,pruner:string>")
+
+
+def _if_accepted(summary: Column, name: str, raw: Column, ratio: float) -> Column:
+    return F.when(
+        text.saves_enough(summary, raw, ratio),
+        F.struct(summary.alias("summary"), F.lit(name).alias("pruner")),
     )
 
 

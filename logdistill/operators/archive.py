@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+
 from ..settings import USD_PER_MILLION_TOKENS
+from ..shared import checkpointed
 
 ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 
@@ -22,13 +24,12 @@ def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] =
     even if an executor is lost between the two jobs.
     """
     order = order or ("timestamp", "session_id", "seq")
-    placed = (
+    placed = checkpointed(
         new.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         # The lower 33 bits number the rows of a partition.
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: bounded by the partition count, not by the data.

@@ -64,7 +64,9 @@ def in_scope(
 
 
 def _clock(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), CLOCK)
+    """UTC whatever the session's time zone is."""
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.date_format(F.timestamp_add("SECOND", F.floor(seconds), epoch), CLOCK)
 
 
 def preview(df: DataFrame, n: int = PREVIEW_CHARS) -> DataFrame:

@@ -16,22 +16,29 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may do without it: a folder of one machine is of no
     use to the executors of a cluster.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="logdistill-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="logdistill-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: it survives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts lineage and survives lost executors."""
+    """Write once, read back: a computed table that several plans share."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 from ..settings import USD_PER_MILLION_TOKENS
-from ..shared import checkpointed
+from ..shared import written
 
 ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 
@@ -19,17 +19,18 @@ ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] = ()) -> DataFrame:
     """Number rows base+1, base+2, … in the given order, without one global sort task.
 
-    Range partitioning on the full order splits any hot session or second; the
-    checkpoint fixes the partitions, so counting and numbering see the same ones
-    even if an executor is lost between the two jobs.
+    Range partitioning on the full order splits any hot session or second. The
+    placed rows are written once, so counting and numbering see the same
+    partitions even if an executor is lost between the two jobs.
     """
     order = order or ("timestamp", "session_id", "seq")
-    placed = checkpointed(
+    placed = written(
         new.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         # The lower 33 bits number the rows of a partition.
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "placed",
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: bounded by the partition count, not by the data.

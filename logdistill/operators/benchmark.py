@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.signatures import extract_signatures
+from ..shared import written
 from .prune import OutputPruner, Pruner
 
 # --- fixed values -----------------------------------------------------------
@@ -75,10 +76,12 @@ def percentiles(
     Equal values are counted map-side; cumulative counts over bins of ``width``
     find the bins of the wanted ranks, and only those bins are ordered.
     """
-    bins = F.floor(F.col(value) / width).cast("bigint")
-    counts = df.groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    binned = counts.withColumn("bin", F.floor(F.col("v") / width).cast("bigint"))
-    sizes = df.groupBy(key, bins.alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+    counts = (
+        df.groupBy(key, F.col(value).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("bin", F.floor(F.col("v") / width).cast("bigint"))
+    )
+    sizes = counts.groupBy(key, "bin").agg(F.sum("n").alias("m"))
     across = Window.partitionBy(key).orderBy("bin")
     placed = sizes.select(
         key,
@@ -90,10 +93,10 @@ def percentiles(
     wanted = F.explode(
         F.array(
             *[
-                F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), at.alias("rank"),
-                         (F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))).alias("frac"))
+                F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), rank.alias("rank"),
+                         (_place(p) - F.floor(_place(p))).alias("frac"))
                 for i, p in enumerate(ps)
-                for side, at in enumerate(_ranks(p))
+                for side, rank in enumerate(_ranks(p))
             ]
         )
     )
@@ -103,7 +106,7 @@ def percentiles(
         .select(key, "bin", "lo", "w.*")
     )
     within = Window.partitionBy(key, "bin").orderBy("v")
-    needed = binned.join(targets.select(key, "bin").distinct(), [key, "bin"], "left_semi")
+    needed = counts.join(targets.select(key, "bin").distinct(), [key, "bin"], "left_semi")
     ordered = needed.withColumn("upto", F.sum("n").over(within))
     hit = ordered.join(targets, [key, "bin"]).where(
         (F.col("rank") >= F.col("lo") + F.col("upto") - F.col("n"))
@@ -117,13 +120,23 @@ def percentiles(
     )
 
 
+def _place(p: float) -> Column:
+    return F.lit(p) * (F.col("total") - 1)
+
+
 def _ranks(p: float) -> tuple[Column, Column]:
-    low = F.floor(F.lit(p) * (F.col("total") - 1))
+    low = F.floor(_place(p))
     return low, F.least(low + 1, F.col("total") - 1)
 
 
 def suite_report(items: DataFrame) -> DataFrame:
-    """One row per suite of ``item_result`` with a ``suite`` column."""
+    """One row per suite of ``item_result`` with a ``suite`` column.
+
+    The measures are written once, without text: mean and percentiles each need
+    them, and the items are to be pruned only once.
+    """
+    measures = ("suite", "compression_ratio", "fidelity_ratio", "naked_tokens", "proxied_tokens")
+    items = written(items.select(*measures), "measures")
     ratio = F.col("compression_ratio")
     base = items.groupBy("suite").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -217,25 +230,33 @@ def recall_arms(
     Arm C pages the log back from ``archive(name, raw_content)``.
     """
     shown = F.coalesce((pruner or OutputPruner()).compress(F.col("raw")), F.col("raw"))
-    joined = (
-        needles.withColumn("resident", shown)
-        .join(archive.select("name", F.col("raw_content").alias("recalled")), "name", "left")
-        .withColumn("recalled", F.coalesce("recalled", F.lit("")))
+    needle = F.col("needle")
+    # Only the needle and two sizes travel to the archived logs, not the raw texts.
+    kept = needles.withColumn("_shown", shown).select(
+        "name",
+        "needle",
+        F.col("raw").contains(needle).alias("in_raw"),
+        text.token_estimate(F.col("raw"), 1).alias("raw_tokens"),
+        F.col("_shown").contains(needle).alias("in_summary"),
+        text.token_estimate(F.col("_shown"), 1).alias("summary_tokens"),
     )
+    paged = archive.select("name", F.col("raw_content").alias("_back"))
+    joined = kept.join(paged, "name", "left").withColumn("_back", F.coalesce("_back", F.lit("")))
 
-    def arm(i: int, seen: str, resident: str, recall: Column) -> Column:
+    def arm(i: int, seen: Column, resident: str, recall: Column) -> Column:
         return F.struct(
             F.lit(ARMS[i][0]).alias("arm"),
             F.lit(ARMS[i][1]).alias("label"),
-            F.col(seen).contains(F.col("needle")).alias("needle_recovered"),
-            text.token_estimate(F.col(resident), 1).alias("resident_tokens"),
+            seen.alias("needle_recovered"),
+            F.col(resident).alias("resident_tokens"),
             recall.cast("bigint").alias("recall_tokens"),
         )
 
     arms = F.array(
-        arm(0, "raw", "raw", F.lit(0)),
-        arm(1, "resident", "resident", F.lit(0)),
-        arm(2, "recalled", "resident", text.token_estimate(F.col("recalled"), 1)),
+        arm(0, F.col("in_raw"), "raw_tokens", F.lit(0)),
+        arm(1, F.col("in_summary"), "summary_tokens", F.lit(0)),
+        arm(2, F.col("_back").contains(needle), "summary_tokens",
+            text.token_estimate(F.col("_back"), 1)),
     )
     return (
         joined.select("name", F.explode(arms).alias("a"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, runs
 from ..functions.stem import MAX_REWRITTEN, porter
+from ..shared import written
 
 # --- fixed values -----------------------------------------------------------
 COLUMNS = ("raw_content", "compressed_summary", "entry_type")
@@ -282,14 +283,8 @@ def _counts_in_postings(postings: DataFrame, leaves: list[Phrase]) -> DataFrame:
 def _rank(counts: DataFrame, documents: DataFrame, leaves: list[Phrase]) -> Column:
     """Negated BM25; statistics always cover the whole index."""
     corpus = corpus_stats(documents).select(F.struct("n_docs", "avg_len").alias("s")).scalar()
-    hits = counts.agg(
-        F.struct(
-            *[
-                F.count(F.when(F.col(f"c{j}") > 0, 1)).alias(f"d{j}")
-                for j in range(len(leaves))
-            ]
-        ).alias("d")
-    ).scalar()
+    holding = [F.count(F.when(F.col(f"c{j}") > 0, 1)).alias(f"d{j}") for j in range(len(leaves))]
+    hits = counts.agg(F.struct(*holding).alias("d")).scalar()
     total = F.lit(0.0)
     for j in range(len(leaves)):
         tf, df = F.col(f"c{j}"), hits[f"d{j}"]
@@ -313,7 +308,9 @@ def rank_entries(
 ) -> DataFrame:
     """All matching entries with their rank (smaller is better), without an index."""
     leaves = _leaves(expr)
-    counts = _counts_in_entries(entries, leaves, columns)
+    # Counts without text, written once: statistics and scores both need them,
+    # and the texts are to be read only once.
+    counts = written(_counts_in_entries(entries, leaves, columns), "hits")
     keep = [c for c in ("session_id",) if c in counts.columns]
     return _ranked(counts, counts, expr, leaves).select("entry_id", *keep, "rank")
 
@@ -321,7 +318,7 @@ def rank_entries(
 def rank_postings(postings: DataFrame, documents: DataFrame, expr: Expr) -> DataFrame:
     """All matching entries with their rank, from a written index."""
     leaves = _leaves(expr)
-    counts = _counts_in_postings(postings, leaves)
+    counts = written(_counts_in_postings(postings, leaves), "hits")
     return _ranked(counts, documents, expr, leaves).select("entry_id", "rank")
 
 

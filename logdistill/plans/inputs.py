@@ -177,7 +177,11 @@ def order_text(spark: SparkSession, sf: str, expr: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """One log per order, of six kinds, in the session of its customer."""
-    return _orders(spark, sf).select(
+    return logs_of(_orders(spark, sf))
+
+
+def logs_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.expr("'cust-' || cast(o_custkey as string)").alias("session_id"),
         F.expr("cast(o_orderkey * 10 as double)").alias("timestamp"),

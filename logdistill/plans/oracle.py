@@ -562,6 +562,9 @@ SQL["recall_assertions"] = ctes(ARMS) + """SELECT 'C recovers every needle' AS "
     UNION ALL SELECT 'C matches A on recovery', recovery_c >= recovery_a FROM rr
     UNION ALL SELECT 'C processes fewer tokens than A', total_c_tokens < total_a_tokens FROM rr"""
 
+LIVE = shown("''", "''", "''", f"'recall: {queries.TAG.lower()} #0'")
+SQL["live_stats_replay"] = ctes(LOGS, pruned(), COUNTERS.replace(PLAIN, LIVE)) + "SELECT * FROM ctr"
+
 # --- segments --------------------------------------------------------------------------------------------------------
 _P = queries.POLICY
 CHUNKS = """ch AS (SELECT 'user-' || CAST(user_id AS STRING) AS session_id, event_id AS seq, epoch_us(ts) AS us,
@@ -595,6 +598,20 @@ SQL["segments_greedy"] = ctes(CHUNKS, GREEDY) + """SELECT session_id, seg_no::BI
 SQL["segment_text"] = ctes(CHUNKS, GREEDY) + """SELECT session_id, seg_no::BIGINT AS seg_no,
     string_agg(data, '' ORDER BY us, seq) AS text FROM g GROUP BY session_id, seg_no"""
 
+SQL["stream_segments_replay"] = SQL["segments_greedy"]
+_ASKED = "o.us - g.last >= " + str(GAP) + " OR g.rows >= 3"
+TERMINAL = f"""g AS (SELECT session_id, rn, seq, us, n, us AS last, 1 AS rows, 1 AS seg_no FROM o WHERE rn = 1
+    UNION ALL SELECT o.session_id, o.rn, o.seq, o.us, o.n, o.us, CASE WHEN {_ASKED} THEN 1 ELSE g.rows + 1 END,
+        g.seg_no + CASE WHEN {_ASKED} THEN 1 ELSE 0 END
+        FROM g JOIN o ON o.session_id = g.session_id AND o.rn = g.rn + 1)"""
+SQL["stream_terminal_replay"] = ctes(CHUNKS, TERMINAL) + """SELECT session_id, seg_no::BIGINT AS seg_no,
+    count(*) AS n_chunks, sum(n)::BIGINT AS n_bytes, min(us) AS first_us, max(us) AS last_us
+    FROM g GROUP BY session_id, seg_no"""
+SQL["stream_archive_replay"] = ctes(CHUNKS, GREEDY) + """SELECT row_number() OVER (ORDER BY last_us / 1000000.0,
+    session_id, seg_no) AS id, session_id, raw_content, length(raw_content) // 4 AS token_estimate, false AS was_pruned
+    FROM (SELECT session_id, seg_no, max(us) AS last_us, string_agg(data, '' ORDER BY us, seq) AS raw_content
+    FROM g GROUP BY session_id, seg_no)"""
+
 # --- symbols ---------------------------------------------------------------------------------------------------------
 FILES = f"src AS (SELECT {inputs.PATH} AS id, {inputs.SOURCE} AS raw FROM part)"
 SQL["source_files"] = ctes(FILES, lines()) + """SELECT src.id AS path, 'python' AS language,

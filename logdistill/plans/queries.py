@@ -20,8 +20,12 @@ from ..operators import (
     segments,
     symbols,
 )
-from ..settings import EXEC_ARCHIVE_CAP, PipePolicy
+from .. import schemas
+from ..settings import EXEC_ARCHIVE_CAP, PipePolicy, TerminalPolicy
+from ..shared import fresh_path, written
 from ..sources import tables
+from ..streaming import segments as stream_segments
+from ..streaming import sinks
 from . import inputs
 
 TAG = "LD"
@@ -307,7 +311,8 @@ def live_compression(spark, sf):
 
 @query
 def session_cost(spark, sf):
-    pruned = _archive(spark, sf)
+    keep = ("session_id", "was_pruned", "token_estimate", "net_tokens_saved")
+    pruned = written(_archive(spark, sf).select(*keep), "pruned")
     stats = archive.session_stats(pruned, inputs.sessions(spark, sf))
     counters = pruned.groupBy("session_id").agg(F.sum("net_tokens_saved").alias("tokens_saved"))
     return archive.session_cost(stats, counters).select(
@@ -692,3 +697,60 @@ def symbol_children(spark, sf):
 @query
 def symbol_outline(spark, sf):
     return symbols.symbol_outline(inputs.sources(spark, sf)).select("path", "outline")
+
+
+# --- streams, replayed over a table -------------------------------------------------------------------
+def _feed(spark, sf):
+    """The chunks and one end mark per session, as a folder a stream can read."""
+    rows = inputs.chunks(spark, sf)
+    ends = rows.groupBy("session_id").agg(
+        (F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts")
+    ).select("session_id", "seq", "ts", F.lit(None).cast("binary").alias("data"), F.lit(True).alias("eof"))
+    path = fresh_path(spark, "feed")
+    rows.unionByName(ends).write.parquet(path)
+    return spark.readStream.schema(schemas.CHUNK).parquet(path)
+
+
+def _replayed(spark, sf, policy):
+    out = fresh_path(spark, "segments")
+    cut = stream_segments.segment_stream(_feed(spark, sf), policy)
+    writer = cut.writeStream.format("parquet").option("path", out)
+    sinks.drain(writer.option("checkpointLocation", fresh_path(spark, "state")))
+    return spark.read.schema(schemas.SEGMENT).parquet(out)
+
+
+@query
+def stream_segments_replay(spark, sf):
+    d = _replayed(spark, sf, POLICY)
+    return _extent(d.withColumn("n_bytes", F.octet_length("data").cast("bigint")))
+
+
+@query
+def stream_terminal_replay(spark, sf):
+    """Terminal rule: three lines, or twelve hours of silence."""
+    d = _replayed(spark, sf, TerminalPolicy(silence=POLICY.silence, min_lines=3))
+    return _extent(d)
+
+
+@query
+def stream_archive_replay(spark, sf):
+    """Segments of the stream, pruned and archived with ids by the sink."""
+    path = fresh_path(spark, "archive")
+    cut = stream_segments.segment_stream(_feed(spark, sf), POLICY)
+    sinks.drain(sinks.archive_sink(cut, path, fresh_path(spark, "state")))
+    return tables.read_entries(spark, path).select(
+        "id", "session_id", "raw_content", "token_estimate", "was_pruned"
+    )
+
+
+@query
+def live_stats_replay(spark, sf):
+    """Counters over a stream of the orders' logs."""
+    orders = (
+        spark.readStream.schema("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string")
+        .option("pathGlobFilter", "orders.parquet").parquet(sf)
+    )
+    path = fresh_path(spark, "counters")
+    counters = sinks.live_stats(inputs.logs_of(orders), TAG)
+    sinks.drain(sinks.follow(counters, path, fresh_path(spark, "state")))
+    return sinks.latest(spark, path)

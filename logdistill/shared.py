@@ -22,7 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="logdistill-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -31,12 +30,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: a computed table that several plans share."""
     spark = df.sparkSession

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.arrays import bind
 from ..functions.signatures import extract_signatures
+from ..functions.steps import with_once
 from ..shared import written
 from .prune import OutputPruner, Pruner
 
@@ -21,31 +23,32 @@ ARMS = (("A", "keep-everything"), ("B", "prune-and-lose"), ("C", "prune-and-reca
 
 def summarised(logs: DataFrame, pruner: Pruner | None = None) -> DataFrame:
     """Adds ``summary`` (null if none fits) to ``logs(name, text, …)``: no gates here."""
-    return logs.withColumn("summary", (pruner or OutputPruner()).compress(F.col("text")))
+    return with_once(logs, "summary", (pruner or OutputPruner()).compress(F.col("text")))
 
 
 def item_result(summaries: DataFrame) -> DataFrame:
     """Sizes, compression and fidelity per item of ``summarised``; one projection."""
     keys = [c for c in summaries.columns if c not in ("text", "summary")]
     shown = F.coalesce("summary", "text")
-    base = summaries.select(
+    counted = bind(
+        extract_signatures(F.col("text")),
+        lambda naked: F.struct(
+            F.size(naked).cast("bigint").alias("naked_sigs"),
+            F.size(F.array_intersect(naked, extract_signatures(shown)))
+            .cast("bigint")
+            .alias("preserved_sigs"),
+        ),
+    )
+    sized = with_once(summaries, "_sigs", counted).select(
         *keys,
         F.length("text").cast("bigint").alias("naked_chars"),
         F.length(shown).cast("bigint").alias("proxied_chars"),
-        extract_signatures(F.col("text")).alias("_naked"),
-        extract_signatures(shown).alias("_shown"),
+        text.token_estimate(F.col("text"), 1).alias("naked_tokens"),
+        text.token_estimate(shown, 1).alias("proxied_tokens"),
+        "_sigs.naked_sigs",
+        "_sigs.preserved_sigs",
         F.col("summary").isNotNull().alias("pruner_fired"),
     )
-    sized = base.select(
-        *keys,
-        "naked_chars",
-        "proxied_chars",
-        text.tokens_of(F.col("naked_chars"), 1).alias("naked_tokens"),
-        text.tokens_of(F.col("proxied_chars"), 1).alias("proxied_tokens"),
-        F.size("_naked").cast("bigint").alias("naked_sigs"),
-        F.size(F.array_intersect("_naked", "_shown")).cast("bigint").alias("preserved_sigs"),
-        "pruner_fired",
-    )
     return sized.withColumns(
         {
             "compression_ratio": text.compression_ratio(
@@ -232,7 +235,7 @@ def recall_arms(
     shown = F.coalesce((pruner or OutputPruner()).compress(F.col("raw")), F.col("raw"))
     needle = F.col("needle")
     # Only the needle and two sizes travel to the archived logs, not the raw texts.
-    kept = needles.withColumn("_shown", shown).select(
+    kept = with_once(needles, "_shown", shown).select(
         "name",
         "needle",
         F.col("raw").contains(needle).alias("in_raw"),

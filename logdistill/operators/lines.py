@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, summaries, text
 from ..functions.arrays import bind, occurrences
+from ..functions.steps import with_once
 
 
 def line_table(df: DataFrame, keys: Sequence[str], col: str = "raw_content") -> DataFrame:
@@ -54,16 +55,15 @@ def first_seen(df: DataFrame, keys: Sequence[str], col: str = "raw_content") ->
 
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    clean = df.select(*keys, text.strip_ansi(F.col(col)).alias("_t")).where(
-        detect.is_traceback(F.col("_t"))
-    )
+    clean = with_once(df.select(*keys, col), "_t", text.strip_ansi(F.col(col)))
     both = bind(
         text.split_lines(F.col("_t")),
         lambda ls: F.struct(
             ls.alias("lines"), summaries.traceback_blocks(ls).alias("blocks")
         ),
     )
-    return clean.select(*keys, both.alias("_b"))
+    found = clean.where(detect.is_traceback(F.col("_t")))
+    return with_once(found, "_b", both).select(*keys, "_b")
 
 
 def traceback_blocks(
@@ -113,7 +113,7 @@ def context_parts(
         F.array(summaries.preamble(lines, blocks), summaries.postamble(lines, blocks)),
         summaries.condense_context,
     )
-    return _with_blocks(df, keys, col).select(*keys, around.alias("_a")).select(
+    return with_once(_with_blocks(df, keys, col), "_a", around).select(
         *keys,
         F.get("_a", F.lit(0)).alias("preamble"),
         F.get("_a", F.lit(1)).alias("postamble"),

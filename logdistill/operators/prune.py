@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, summaries, text
 from ..functions.arrays import bind
+from ..functions.steps import with_once
 from ..settings import MIN_LINES, SUMMARY_RATIO
 
 # --- fixed values -----------------------------------------------------------
@@ -115,7 +116,8 @@ def prune(
     """
     pruners = [OutputPruner()] if pruners is None else list(pruners)
     raw = F.col("raw_content")
-    df = entries.withColumn("line_count", text.line_count(raw))
+    df = entries.drop(*_PRUNED_COLUMNS)
+    df = with_once(df, "line_count", text.line_count(raw))
     gate = (F.col("line_count") >= min_lines) & ~text.is_prompt(raw)
 
     native = all(not isinstance(p, PythonPruner) for p in pruners)
@@ -128,7 +130,7 @@ def prune(
         candidates = [
             _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio) for i, p in enumerate(pruners)
         ]
-        df = df.withColumn("_pick", F.coalesce(*candidates, _nothing())).drop(
+        df = with_once(df, "_pick", F.coalesce(*candidates, _nothing())).drop(
             *[f"_s{i}" for i in range(len(pruners))]
         )
     else:
@@ -136,7 +138,7 @@ def prune(
             bind(p.compress(raw), _accept(p.name, raw, ratio))
             for p in pruners
         ]
-        df = df.withColumn("_pick", F.when(gate, F.coalesce(*candidates, _nothing())))
+        df = with_once(df, "_pick", F.when(gate, F.coalesce(*candidates, _nothing())))
     pick = F.col("_pick")
     return df.select(
         *[c for c in entries.columns if c not in _PRUNED_COLUMNS],

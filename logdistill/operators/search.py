@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, runs
+from ..functions.steps import with_once
 from ..functions.stem import MAX_REWRITTEN, porter
 from ..shared import written
 
@@ -141,9 +142,8 @@ def build_postings(
             _doc_len(t).alias("n"), runs(F.array_sort(_stemmed(_tagged(t)))).alias("terms")
         ),
     )
-    exploded = entries.select(F.col("id").alias("entry_id"), both.alias("x")).select(
-        "entry_id", F.col("x.n").alias("doc_len"), F.explode("x.terms").alias("p")
-    )
+    rows = with_once(entries.select(F.col("id").alias("entry_id"), *columns), "x", both)
+    exploded = rows.select("entry_id", F.col("x.n").alias("doc_len"), F.explode("x.terms").alias("p"))
     return exploded.select(
         F.col("p.key").alias("term"),
         "entry_id",
@@ -245,9 +245,8 @@ def _counts_in_entries(
 
     found = bind(_all_tokens(columns), whole)
     keep = [c for c in ("session_id",) if c in entries.columns]
-    return entries.select(F.col("id").alias("entry_id"), *keep, found.alias("x")).select(
-        "entry_id", *keep, "x.*"
-    )
+    rows = entries.select(F.col("id").alias("entry_id"), *keep, *columns)
+    return with_once(rows, "x", found).select("entry_id", *keep, "x.*")
 
 
 def _counts_in_postings(postings: DataFrame, leaves: list[Phrase]) -> DataFrame:

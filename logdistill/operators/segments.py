@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,9 +141,8 @@ def _summary(policy: PipePolicy):
     with the state the block ends in if a segment starts there.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        us, size = pdf["us"].to_numpy(), pdf["n_bytes"].to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        us, _, size = _ordered(rows)
         n = len(us)
         cutter = Cutter(us, size, policy)
         nxt, open_at_end = cutter.next_starts()
@@ -158,10 +157,10 @@ def _summary(policy: PipePolicy):
         widest = cutter.first_cut((int(us[0]), int(us[0]), 0))
         heads = np.arange(min(widest, n - 1) + 1)
         ends = last[heads]
-        return pd.DataFrame(
+        return pa.table(
             {
-                KEY: [pdf[KEY].iloc[0]],
-                "block": [pdf["block"].iloc[0]],
+                KEY: [rows[KEY][0].as_py()],
+                "block": [rows["block"][0].as_py()],
                 "n": [n],
                 "first": [int(us[0])],
                 "last": [int(us[-1])],
@@ -179,6 +178,13 @@ def _summary(policy: PipePolicy):
     return run
 
 
+def _ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, sequence numbers and sizes of one block's chunks in order."""
+    us, seq, size = (rows[c].to_numpy() for c in ("us", "seq", "n_bytes"))
+    order = np.lexsort((seq, us))
+    return us[order], seq[order], size[order]
+
+
 _SUMMARY = (
     f"{KEY} string, block bigint, n bigint, first bigint, last bigint, bytes bigint, "
     "widest bigint, head_us array<bigint>, head_before array<bigint>, begun array<bigint>, "
@@ -195,34 +201,35 @@ def _chain(policy: PipePolicy):
     """The state each block of a session starts in, from its summaries in order."""
     silence, hold = int(policy.silence * MICROS), int(policy.max_hold * MICROS)
 
-    def cut(r, state) -> int:
-        if state is None or r.first - state[1] >= silence:
+    def cut(r: dict, state: tuple[int, int, int] | None) -> int:
+        if state is None or r["first"] - state[1] >= silence:
             return 0
-        by_hold = int(np.searchsorted(r.head_us, state[0] + hold))
-        by_size = int(np.searchsorted(r.head_before, policy.max_bytes - state[2]))
+        by_hold = int(np.searchsorted(r["head_us"], state[0] + hold))
+        by_size = int(np.searchsorted(r["head_before"], policy.max_bytes - state[2]))
         listed = min(by_hold, by_size)
-        if listed < len(r.head_us):
+        if listed < len(r["head_us"]):
             return listed
-        if r.widest < r.n:
-            return int(r.widest)
-        return int(r.n)
+        return min(r["widest"], r["n"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(summaries: pa.Table) -> pa.Table:
         state: tuple[int, int, int] | None = None
         seg_no = 0
-        rows = []
-        for r in pdf.sort_values("block").itertuples():
+        out: list[dict] = []
+        for r in sorted(summaries.to_pylist(), key=lambda r: r["block"]):
             first, last, size = state or (0, 0, 0)
-            rows.append((r.session_id, r.block, state is not None, first, last, size, seg_no))
+            out.append(
+                {KEY: r[KEY], "block": r["block"], "is_open": state is not None, "first": first,
+                 "last": last, "bytes": size, "seg_no": seg_no}
+            )
             p = cut(r, state)
-            if p < r.n:
-                seg_no += int(r.begun[p])
-                open_, first, size = r.end_open[p], r.end_first[p], r.end_bytes[p]
+            if p < r["n"]:
+                seg_no += r["begun"][p]
+                still, first, size = r["end_open"][p], r["end_first"][p], r["end_bytes"][p]
             else:
-                size = size + r.bytes
-                open_ = size < policy.max_bytes
-            state = (int(first), int(r.last), int(size)) if open_ else None
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+                size += r["bytes"]
+                still = size < policy.max_bytes
+            state = (first, r["last"], size) if still else None
+        return pa.Table.from_pylist(out)
 
     return run
 
@@ -230,15 +237,17 @@ def _chain(policy: PipePolicy):
 def _number(policy: PipePolicy):
     """Segment numbers of one block's chunks from the state the block starts in."""
 
-    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        e = entry.iloc[0]
-        state = (int(e["first"]), int(e["last"]), int(e["bytes"])) if e["is_open"] else None
-        cutter = Cutter(pdf["us"].to_numpy(), pdf["n_bytes"].to_numpy(), policy)
+    def run(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        e = entry.to_pylist()[0]
+        us, seq, size = _ordered(rows)
+        cutter = Cutter(us, size, policy)
         nxt, _ = cutter.next_starts()
+        state = (e["first"], e["last"], e["bytes"]) if e["is_open"] else None
         starts = np.array(cutter.starts(cutter.first_cut(state), nxt), dtype=np.int64)
-        passed = np.searchsorted(starts, np.arange(len(pdf)), side="right")
-        return pdf[[KEY, "seq", "us", "n_bytes"]].assign(seg_no=int(e["seg_no"]) + passed)
+        passed = np.searchsorted(starts, np.arange(len(us)), side="right")
+        return pa.table(
+            {KEY: rows[KEY], "seq": seq, "us": us, "n_bytes": size, "seg_no": e["seg_no"] + passed}
+        )
 
     return run
 
@@ -254,11 +263,11 @@ def segment_batch(
     meta = _meta(chunks, block or max(60 * policy.max_hold, 1.0))
     blocks = meta.groupBy(KEY, "block")
     entry = (
-        blocks.applyInPandas(_summary(policy), _SUMMARY)
+        blocks.applyInArrow(_summary(policy), _SUMMARY)
         .groupBy(KEY)
-        .applyInPandas(_chain(policy), _ENTRY)
+        .applyInArrow(_chain(policy), _ENTRY)
     )
-    numbered = blocks.cogroup(entry.groupBy(KEY, "block")).applyInPandas(
+    numbered = blocks.cogroup(entry.groupBy(KEY, "block")).applyInArrow(
         _number(policy), _NUMBERED
     )
     return numbered.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, head, positions, spans
+from ..functions.steps import with_once
 from ..functions.text import split_lines
 
 # --- fixed values -----------------------------------------------------------
@@ -97,9 +98,11 @@ def _symbols(lines: Column) -> Column:
 
 def _parsed(files: DataFrame) -> DataFrame:
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", split_lines(text).alias("lines")).select(
-        "path", F.size("lines").alias("line_count"), _symbols(F.col("lines")).alias("symbols")
+    both = bind(
+        split_lines(text),
+        lambda ls: F.struct(F.size(ls).alias("line_count"), _symbols(ls).alias("symbols")),
     )
+    return with_once(files.select("path", "content"), "x", both).select("path", "x.*")
 
 
 def symbol_ranges(files: DataFrame) -> DataFrame:

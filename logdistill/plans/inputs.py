@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.steps import with_once
 from ..sources.tables import spread
 
 NL = "chr(10)"
@@ -170,9 +171,8 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_text(spark: SparkSession, sf: str, expr: str) -> DataFrame:
     """One text per order."""
-    return _orders(spark, sf).select(
-        F.col("o_orderkey").alias("id"), F.expr(expr).alias("raw_content")
-    )
+    built = with_once(_orders(spark, sf), "raw_content", F.expr(expr))
+    return built.select(F.col("o_orderkey").alias("id"), "raw_content")
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,13 +181,14 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logs_of(orders: DataFrame) -> DataFrame:
-    return orders.select(
+    built = with_once(orders, "raw_content", F.expr(log_text("spark")))
+    return built.select(
         F.col("o_orderkey").alias("id"),
         F.expr("'cust-' || cast(o_custkey as string)").alias("session_id"),
         F.expr("cast(o_orderkey * 10 as double)").alias("timestamp"),
         F.lit("stdout").alias("entry_type"),
         F.expr(KIND).alias("kind"),
-        F.expr(log_text("spark")).alias("raw_content"),
+        "raw_content",
         F.expr(NEEDLE).alias("needle"),
     )
 
@@ -220,9 +221,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     parts = spread(table(spark, sf, "part", "p_partkey", "p_type", "p_size"))
-    return parts.select(
-        F.expr(PATH).alias("path"), F.expr(f"encode({SOURCE}, 'UTF-8')").alias("content")
-    )
+    built = with_once(parts, "content", F.expr(f"encode({SOURCE}, 'UTF-8')"))
+    return built.select(F.expr(PATH).alias("path"), "content")
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import bind, occurrences
-from .text import content_lines, split_lines, strip, strip_ansi
+from .text import contains_any, content_lines, split_lines, strip, strip_ansi
 
 # --- fixed values -----------------------------------------------------------
 # (?U) gives \s, \S and \d their Unicode meaning, \x1c-\x1f complete the white
@@ -15,6 +15,10 @@ from .text import content_lines, split_lines, strip, strip_ansi
 TRACEBACK_TEXT = r"(?mdU)^[\s\x1c-\x1f&&[^\n]]*Traceback \(most recent call last\):"
 TRACEBACK_LINE = r"(?U)^[\s\x1c-\x1f]*Traceback \(most recent call last\):"
 FRAME_LINE = r'(?U)^[\s\x1c-\x1f]+File "([^"]+)", line (\d+), in (.+)$'
+HEADER_TEXT = "Traceback (most recent call last):"
+FRAME_MARK = 'File "'
+RUST_MARK = "error[E"
+GCC_MARKS = (": error:", ": warning:", ": note:")
 FRAME_TEXT = "$1:$2 in $3"
 RUST_ERROR = r"(?mdU)^error\[E\d+\]:"
 GCC_DIAGNOSTIC = (
@@ -26,24 +30,25 @@ FLOOD_LINES = 10
 # ----------------------------------------------------------------------------
 
 
+# Each test looks for a literal first: a byte search spares most lines the regex.
 def is_traceback(c: Column) -> Column:
-    return c.rlike(TRACEBACK_TEXT)
+    return c.contains(HEADER_TEXT) & c.rlike(TRACEBACK_TEXT)
 
 
 def is_traceback_line(line: Column) -> Column:
-    return line.rlike(TRACEBACK_LINE)
+    return line.contains(HEADER_TEXT) & line.rlike(TRACEBACK_LINE)
 
 
 def is_rust_errors(c: Column) -> Column:
-    return c.rlike(RUST_ERROR)
+    return c.contains(RUST_MARK) & c.rlike(RUST_ERROR)
 
 
 def is_gcc_diagnostics(c: Column) -> Column:
-    return c.rlike(GCC_DIAGNOSTIC)
+    return contains_any(c, GCC_MARKS) & c.rlike(GCC_DIAGNOSTIC)
 
 
 def is_frame(line: Column) -> Column:
-    return line.rlike(FRAME_LINE)
+    return line.contains(FRAME_MARK) & line.rlike(FRAME_LINE)
 
 
 def parse_frame(line: Column) -> Column:
@@ -53,10 +58,7 @@ def parse_frame(line: Column) -> Column:
 
 def is_library_frame(frame: Column) -> Column:
     """The test covers the whole formatted frame, the function name included."""
-    found = F.lit(False)
-    for mark in LIBRARY_MARKS:
-        found = found | frame.contains(mark)
-    return found
+    return contains_any(frame, LIBRARY_MARKS)
 
 
 def may_repeat(lines: Column, share: float) -> Column:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .arrays import after, bind, first_position, head, last_n, occurrences, positions, spans
 from .detect import (
     FLOOD_SHARE,
-    GCC_DIAGNOSTIC,
-    RUST_ERROR,
     is_frame,
     is_gcc_diagnostics,
     is_library_frame,
@@ -239,7 +237,7 @@ def summarize_rust(c: Column, cap: int = RUST_ROWS) -> Column:
     return bind(
         split_lines(c),
         lambda ls: bind(
-            F.filter(ls, lambda x: x.rlike(RUST_ERROR)), lambda errors: render(ls, errors)
+            F.filter(ls, is_rust_errors), lambda errors: render(ls, errors)
         ),
     )
 
@@ -250,7 +248,7 @@ def summarize_gcc(c: Column, cap: int = GCC_ROWS) -> Column:
         return F.size(F.filter(rows, lambda x: x.contains(f": {kind}:")))
 
     return bind(
-        F.filter(split_lines(c), lambda x: x.rlike(GCC_DIAGNOSTIC)),
+        F.filter(split_lines(c), is_gcc_diagnostics),
         lambda rows: bind(
             F.array_distinct(rows),
             lambda kinds: _listing(

@@ -14,7 +14,9 @@ WHITESPACE = "".join(
 ) + "".join(map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Line boundaries of str.splitlines().
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 # Terminal colour and cursor codes, removed before matching.
+ESCAPE = "\x1b"
 ANSI_CODE = r"\x1b\[[0-9;]*[mGKHFJA-Z]"
 # Everything removed before stored text is shown, in this order.
 TERMINAL_NOISE = (
@@ -40,9 +42,19 @@ def rstrip(c: Column) -> Column:
 
 
 def split_lines(c: Column) -> Column:
-    """``str.splitlines()`` as an array: no entry after a final line break."""
+    """``str.splitlines()`` as an array: no entry after a final line break.
+
+    A text with no break but the newline, as most are, needs no regex: a few
+    byte searches tell.
+    """
+    parts = bind(
+        c,
+        lambda t: F.when(contains_any(t, RARE_BREAKS), F.split(t, LINE_BREAK)).otherwise(
+            F.split(t, "\n")
+        ),
+    )
     return bind(
-        F.split(c, LINE_BREAK),
+        parts,
         lambda p: F.when(
             F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)
         ).otherwise(p),
@@ -59,13 +71,20 @@ def content_lines(lines: Column) -> Column:
 
 
 def strip_ansi(c: Column) -> Column:
-    return F.regexp_replace(c, ANSI_CODE, "")
+    return bind(
+        c,
+        lambda t: F.when(t.contains(ESCAPE), F.regexp_replace(t, ANSI_CODE, "")).otherwise(t),
+    )
 
 
 def sanitize(c: Column) -> Column:
-    for pattern in TERMINAL_NOISE:
-        c = F.regexp_replace(c, pattern, "")
-    return c
+    def escapes(t: Column) -> Column:
+        out = t
+        for pattern in TERMINAL_NOISE[:-1]:
+            out = F.regexp_replace(out, pattern, "")
+        return F.when(t.contains(ESCAPE), out).otherwise(t)
+
+    return F.regexp_replace(bind(c, escapes), TERMINAL_NOISE[-1], "")
 
 
 def decode_bytes(b: Column) -> Column:
@@ -91,7 +110,7 @@ def net_tokens_saved(text: Column, summary: Column) -> Column:
     return tokens_of(F.length(text) - F.length(summary))
 
 
-def _any_of(c: Column, needles: tuple[str, ...]) -> Column:
+def contains_any(c: Column, needles: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for n in needles:
         found = found | c.contains(n)
@@ -100,12 +119,22 @@ def _any_of(c: Column, needles: tuple[str, ...]) -> Column:
 
 def is_prompt(c: Column) -> Column:
     """The text ends in a short line waiting for an answer, or its tail asks one."""
-    waiting = bind(
-        rstrip(c),
-        lambda r: F.right(r, F.lit(1)).isin(*PROMPT_ENDINGS)
-        & (F.length(F.substring_index(r, "\n", -1)) <= PROMPT_LINE),
-    )
-    return waiting | bind(F.right(c, F.lit(PROMPT_TAIL)), lambda t: _any_of(t, PROMPT_TOKENS))
+    def ends_waiting(r: Column) -> Column:
+        last_line = F.substring_index(r, "\n", -1)
+        return F.right(r, F.lit(1)).isin(*PROMPT_ENDINGS) & (F.length(last_line) <= PROMPT_LINE)
+
+    def near_end(tail: Column) -> Column:
+        # The tail decides unless it is almost all white space.
+        enough = F.length(tail) < 2 * PROMPT_TAIL
+        return bind(
+            rstrip(tail),
+            lambda r: F.when(enough | (F.length(r) > PROMPT_LINE), ends_waiting(r)).otherwise(
+                ends_waiting(rstrip(c))
+            ),
+        )
+
+    waiting = bind(F.right(c, F.lit(2 * PROMPT_TAIL)), near_end)
+    return waiting | bind(F.right(c, F.lit(PROMPT_TAIL)), lambda t: contains_any(t, PROMPT_TOKENS))
 
 
 def chunk_is_prompt(b: Column) -> Column:

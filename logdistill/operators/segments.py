@@ -9,6 +9,7 @@ from the state it starts in.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,68 +134,73 @@ class Cutter:
         return out
 
 
-def _summary(policy: PipePolicy):
-    """One row per block: what the chain needs to know to pass over it.
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Times, sequence numbers and sizes of each block (row) of an Arrow batch."""
+    rows = batch.column("rows")
+    bounds = rows.offsets.to_numpy()
+    us, seq, size = (f.to_numpy(zero_copy_only=False) for f in rows.values.flatten())
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield us[a:b], seq[a:b], size[a:b]
+
+
+def _pass_over(us: np.ndarray, size: np.ndarray, policy: PipePolicy) -> dict:
+    """What the chain needs to know to pass over a block.
 
     The open segment began before the block, so it is cut within ``max_hold`` and
     ``max_bytes`` of the block's first chunk; only those chunks are listed, each
     with the state the block ends in if a segment starts there.
     """
+    n = len(us)
+    cutter = Cutter(us, size, policy)
+    nxt, open_at_end = cutter.next_starts()
+    last = np.where(nxt < n, nxt, np.arange(n))
+    begun = (nxt < n).astype(np.int64)
+    while True:  # pointer doubling: the last segment reached from each start
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        begun, last = begun + begun[last], further
+    # A segment opened by the block's own first chunk is cut last of all.
+    widest = cutter.first_cut((int(us[0]), int(us[0]), 0))
+    heads = np.arange(min(widest, n - 1) + 1)
+    ends = last[heads]
+    return {
+        "n": n,
+        "first": int(us[0]),
+        "last": int(us[-1]),
+        "bytes": int(cutter.before[-1]),
+        "widest": widest,
+        "head_us": us[heads].tolist(),
+        "head_before": cutter.before[heads].tolist(),
+        "begun": (begun[heads] + 1).tolist(),
+        "end_first": us[ends].tolist(),
+        "end_bytes": (cutter.before[-1] - cutter.before[ends]).tolist(),
+        "end_open": open_at_end[ends].tolist(),
+    }
+
+
+_PASS = (
+    "n bigint, first bigint, last bigint, bytes bigint, widest bigint, head_us array<bigint>, "
+    "head_before array<bigint>, begun array<bigint>, end_first array<bigint>, "
+    "end_bytes array<bigint>, end_open array<boolean>"
+)
+_STATE = "is_open boolean, first bigint, last bigint, bytes bigint, seg_no bigint"
+_NUMBERED = f"{KEY} string, seq bigint, us bigint, n_bytes bigint, seg_no bigint"
 
-    def run(rows: pa.Table) -> pa.Table:
-        us, _, size = _ordered(rows)
-        n = len(us)
-        cutter = Cutter(us, size, policy)
-        nxt, open_at_end = cutter.next_starts()
-        last = np.where(nxt < n, nxt, np.arange(n))
-        begun = (nxt < n).astype(np.int64)
-        while True:  # pointer doubling: the last segment reached from each start
-            further = last[last]
-            if np.array_equal(further, last):
-                break
-            begun, last = begun + begun[last], further
-        # A segment opened by the block's own first chunk is cut last of all.
-        widest = cutter.first_cut((int(us[0]), int(us[0]), 0))
-        heads = np.arange(min(widest, n - 1) + 1)
-        ends = last[heads]
-        return pa.table(
-            {
-                KEY: [rows[KEY][0].as_py()],
-                "block": [rows["block"][0].as_py()],
-                "n": [n],
-                "first": [int(us[0])],
-                "last": [int(us[-1])],
-                "bytes": [int(cutter.before[-1])],
-                "widest": [widest],
-                "head_us": [us[heads].tolist()],
-                "head_before": [cutter.before[heads].tolist()],
-                "begun": [(begun[heads] + 1).tolist()],
-                "end_first": [us[ends].tolist()],
-                "end_bytes": [(cutter.before[-1] - cutter.before[ends]).tolist()],
-                "end_open": [open_at_end[ends].tolist()],
-            }
-        )
-
-    return run
-
-
-def _ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, sequence numbers and sizes of one block's chunks in order."""
-    us, seq, size = (rows[c].to_numpy() for c in ("us", "seq", "n_bytes"))
-    order = np.lexsort((seq, us))
-    return us[order], seq[order], size[order]
 
+def _summaries(policy: PipePolicy):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_pass_over(us, size, policy) for us, _, size in _blocks_of(batch)]
+            if found:
+                names = list(found[0])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(KEY), batch.column("block"),
+                     *[pa.array([f[n] for f in found]) for n in names]],
+                    [KEY, "block", *names],
+                )
 
-_SUMMARY = (
-    f"{KEY} string, block bigint, n bigint, first bigint, last bigint, bytes bigint, "
-    "widest bigint, head_us array<bigint>, head_before array<bigint>, begun array<bigint>, "
-    "end_first array<bigint>, end_bytes array<bigint>, end_open array<boolean>"
-)
-_ENTRY = (
-    f"{KEY} string, block bigint, is_open boolean, first bigint, last bigint, "
-    "bytes bigint, seg_no bigint"
-)
-_NUMBERED = f"{KEY} string, seq bigint, us bigint, n_bytes bigint, seg_no bigint"
+    return run
 
 
 def _chain(policy: PipePolicy):
@@ -211,15 +217,15 @@ def _chain(policy: PipePolicy):
             return listed
         return min(r["widest"], r["n"])
 
-    def run(summaries: pa.Table) -> pa.Table:
+    def states(summaries: list[dict]) -> list[dict]:
         state: tuple[int, int, int] | None = None
         seg_no = 0
-        out: list[dict] = []
-        for r in sorted(summaries.to_pylist(), key=lambda r: r["block"]):
+        out = []
+        for r in summaries:
             first, last, size = state or (0, 0, 0)
             out.append(
-                {KEY: r[KEY], "block": r["block"], "is_open": state is not None, "first": first,
-                 "last": last, "bytes": size, "seg_no": seg_no}
+                {"block": r["block"], "is_open": state is not None, "first": first, "last": last,
+                 "bytes": size, "seg_no": seg_no}
             )
             p = cut(r, state)
             if p < r["n"]:
@@ -229,25 +235,43 @@ def _chain(policy: PipePolicy):
                 size += r["bytes"]
                 still = size < policy.max_bytes
             state = (first, r["last"], size) if still else None
-        return pa.Table.from_pylist(out)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {KEY: key.as_py(), **state}
+                for key, summaries in zip(batch.column(KEY), batch.column("blocks"), strict=True)
+                for state in states(summaries.as_py())
+            ]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
 
     return run
 
 
 def _number(policy: PipePolicy):
-    """Segment numbers of one block's chunks from the state the block starts in."""
-
-    def run(rows: pa.Table, entry: pa.Table) -> pa.Table:
-        e = entry.to_pylist()[0]
-        us, seq, size = _ordered(rows)
-        cutter = Cutter(us, size, policy)
-        nxt, _ = cutter.next_starts()
-        state = (e["first"], e["last"], e["bytes"]) if e["is_open"] else None
-        starts = np.array(cutter.starts(cutter.first_cut(state), nxt), dtype=np.int64)
-        passed = np.searchsorted(starts, np.arange(len(us)), side="right")
-        return pa.table(
-            {KEY: rows[KEY], "seq": seq, "us": us, "n_bytes": size, "seg_no": e["seg_no"] + passed}
-        )
+    """Segment numbers of each block's chunks from the state the block starts in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entry = batch.select([c.split()[0] for c in _STATE.split(", ")]).to_pylist()
+            found = []
+            for (us, _, size), e in zip(_blocks_of(batch), entry, strict=True):
+                cutter = Cutter(us, size, policy)
+                nxt, _ = cutter.next_starts()
+                state = (e["first"], e["last"], e["bytes"]) if e["is_open"] else None
+                starts = np.array(cutter.starts(cutter.first_cut(state), nxt), dtype=np.int64)
+                passed = np.searchsorted(starts, np.arange(len(us)), side="right")
+                found.append(e["seg_no"] + passed)
+            if found:
+                us, seq, size = (np.concatenate(x) for x in zip(*_blocks_of(batch), strict=True))
+                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(KEY).take(pa.array(owner)), pa.array(seq), pa.array(us),
+                     pa.array(size), pa.array(np.concatenate(found))],
+                    [c.split()[0] for c in _NUMBERED.split(", ")],
+                )
 
     return run
 
@@ -258,18 +282,27 @@ def segment_batch(
     """Adds ``seg_no`` (from 1 in each session) by silence, longest hold and size.
 
     Only times and sizes travel; the payload is joined later by ``segment_bytes``.
+    Each block is one row, and Arrow batches hold many of them.
     """
     policy = policy or PipePolicy()
     meta = _meta(chunks, block or max(60 * policy.max_hold, 1.0))
-    blocks = meta.groupBy(KEY, "block")
-    entry = (
-        blocks.applyInArrow(_summary(policy), _SUMMARY)
-        .groupBy(KEY)
-        .applyInArrow(_chain(policy), _ENTRY)
+    # A fixed number of tasks: the rows are few bytes but cost Python time, so
+    # merging partitions by their size would leave most cores idle.
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.struct("us", "seq", "n_bytes")
+    blocks = (
+        meta.repartition(tasks, KEY, "block")
+        .groupBy(KEY, "block")
+        .agg(F.array_sort(F.collect_list(chunk)).alias("rows"))
     )
-    numbered = blocks.cogroup(entry.groupBy(KEY, "block")).applyInArrow(
-        _number(policy), _NUMBERED
+    summaries = blocks.mapInArrow(_summaries(policy), f"{KEY} string, block bigint, {_PASS}")
+    names = ["block", *[c.split()[0] for c in _PASS.split(", ")]]
+    entry = (
+        summaries.groupBy(KEY)
+        .agg(F.array_sort(F.collect_list(F.struct(*names))).alias("blocks"))
+        .mapInArrow(_chain(policy), f"{KEY} string, block bigint, {_STATE}")
     )
+    numbered = blocks.join(entry, [KEY, "block"]).mapInArrow(_number(policy), _NUMBERED)
     return numbered.select(
         KEY, "seq", F.timestamp_micros("us").alias("ts"), "n_bytes", "seg_no"
     )

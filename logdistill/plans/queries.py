@@ -30,7 +30,7 @@ from . import inputs
 
 TAG = "LD"
 POLICY = PipePolicy(silence=43_200.0, max_hold=129_600.0, max_bytes=60)
-BLOCK = 5 * 86_400.0
+BLOCK = 10 * 86_400.0
 TEXT_COLUMNS = ("raw_content", "entry_type")
 PHRASE, PREFIX = "of the", "tion"
 DELETED = "contains(raw_content, 'that')"

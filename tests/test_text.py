@@ -125,3 +125,11 @@ def test_signatures(spark):
         "DeprecationWarning: old": ["DeprecationWarning:old"],
     }
     assert one(spark, list(cases), signatures.extract_signatures) == list(cases.values())
+
+
+def test_prompt_behind_much_white_space(spark):
+    cases = {
+        "go?" + " " * 1000: True, "x" * 300 + "\ngo:" + "\n" * 900: True, "x" * 118 + ":" + " " * 700: True,
+        "x" * 121 + ">" + " " * 700: False, "x" * 500 + ">": False, "a\n" * 300 + "b>": True, " " * 900: False,
+    }
+    assert one(spark, list(cases), text.is_prompt) == list(cases.values())

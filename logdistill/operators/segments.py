@@ -18,19 +18,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_bytes
 from ..settings import PipePolicy
+from ..shared import written
 
 MICROS = 1_000_000
 KEY = "session_id"
 
 
 def _meta(chunks: DataFrame, block: float) -> DataFrame:
-    """Chunk positions and sizes without the payload, with their time block."""
+    """Chunk positions and sizes without the payload, with their time block.
+
+    A column ``n_bytes``, if there is one, spares reading the payload.
+    """
     us = F.unix_micros("ts")
+    size = F.col("n_bytes") if "n_bytes" in chunks.columns else F.octet_length("data")
     return chunks.select(
         KEY,
         "seq",
         us.alias("us"),
-        F.octet_length("data").cast("bigint").alias("n_bytes"),
+        size.cast("bigint").alias("n_bytes"),
         F.floor(us / F.lit(int(block * MICROS))).cast("bigint").alias("block"),
     )
 
@@ -44,7 +49,8 @@ def segment_silence(
     Gaps inside a block come from a window over (session, block); the gap before
     a block comes from one row per block.
     """
-    meta = _meta(chunks, block or max(3600.0, 64 * silence))
+    # Written once without the payload, which both branches would read otherwise.
+    meta = written(_meta(chunks, block or max(3600.0, 64 * silence)), "chunk-times")
     gap = int(silence * MICROS)
     inside = Window.partitionBy(KEY, "block").orderBy("us", "seq")
     marked = meta.withColumn("prev", F.lag("us").over(inside)).withColumn(
@@ -290,10 +296,13 @@ def segment_batch(
     # merging partitions by their size would leave most cores idle.
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = F.struct("us", "seq", "n_bytes")
-    blocks = (
+    # Written once: summaries and numbering both need them, and the payload's
+    # sizes are to be read only once.
+    blocks = written(
         meta.repartition(tasks, KEY, "block")
         .groupBy(KEY, "block")
-        .agg(F.array_sort(F.collect_list(chunk)).alias("rows"))
+        .agg(F.array_sort(F.collect_list(chunk)).alias("rows")),
+        "blocks",
     )
     summaries = blocks.mapInArrow(_summaries(policy), f"{KEY} string, block bigint, {_PASS}")
     names = ["block", *[c.split()[0] for c in _PASS.split(", ")]]

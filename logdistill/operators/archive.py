@@ -61,7 +61,8 @@ def append_entries(new: DataFrame, path: str, commit: str | None = None) -> Data
         others = read_entries(spark, path, with_commit=True).where(F.col("commit") != commit)
         base = others.agg(F.max("id")).first()[0] or 0
     target = f"{path}/entries/commit={commit}"
-    numbered = assign_ids(new, base)
+    # Range partitioning samples its input first: written, the batch is computed once.
+    numbered = assign_ids(written(new, "batch"), base)
     known = [c for c in ENTRY_COLUMNS if c in numbered.columns]
     numbered.select(*known).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
@@ -127,6 +128,37 @@ def close_sessions(sessions: DataFrame, closes: DataFrame) -> DataFrame:
     )
 
 
+def append_session_events(events: DataFrame, path: str, commit: str | None = None) -> None:
+    """Append openings and closings to the session log, one folder per commit."""
+    names = [f.split()[0] for f in schemas.SESSION_EVENT.split(", ")]
+    target = f"{path}/session_log/commit={commit or uuid.uuid4().hex}"
+    events.select(*names).write.mode("overwrite").parquet(target)
+
+
+def fold_sessions(events: DataFrame) -> DataFrame:
+    """Session rows from the log: the first opening and the last closing count.
+
+    One partial aggregate per task and session, so nothing is updated in place
+    and a session with many events is no hot spot.
+    """
+    opens, closes = F.col("kind") == "open", F.col("kind") == "close"
+    return (
+        events.groupBy("session_id")
+        .agg(
+            F.min(F.when(opens, F.struct("event_ts", "agent_command"))).alias("o"),
+            F.max(F.when(closes, F.struct("event_ts", "tokens_saved"))).alias("c"),
+        )
+        .where(F.col("o").isNotNull())
+        .select(
+            "session_id",
+            F.col("o.agent_command").alias("agent_command"),
+            F.col("o.event_ts").alias("started_at"),
+            F.col("c.event_ts").alias("ended_at"),
+            F.coalesce("c.tokens_saved", F.lit(0).cast("bigint")).alias("total_tokens_saved"),
+        )
+    )
+
+
 # --- deleting and integrity -------------------------------------------------
 def delete_entries(
     entries: DataFrame, postings: DataFrame, ids: DataFrame

@@ -16,7 +16,10 @@ CLOCK = "yyyy-MM-dd HH:mm:ss"
 def recall_by_id(entries: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
     """Entries by handle; a table of handles keeps its misses as null rows."""
     if isinstance(ids, DataFrame):
-        return ids.join(entries, "id", "left")
+        # The inner join can broadcast few handles and leave the entries where they
+        # are; an outer join would have to shuffle all of them.
+        found = entries.join(ids.select("id").distinct(), "id")
+        return ids.join(found, "id", "left")
     return entries.where(F.col("id").isin(list(ids)))
 
 

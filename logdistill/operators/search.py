@@ -163,7 +163,8 @@ def write_index(entries: DataFrame, path: str, columns: tuple[str, ...] = COLUMN
     the sorted files let a search skip all row groups without its terms."""
     order = ("term", "entry_id")
     (
-        build_postings(entries, columns)
+        # Range partitioning samples its input first: written, it is built once.
+        written(build_postings(entries, columns), "postings")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")

@@ -351,23 +351,26 @@ def utf8_carry(segs: DataFrame) -> DataFrame:
     grouping on (session, segment) decides what each holds back and receives; no
     task sees a whole session. A session's last segment holds nothing back.
     """
-    hexed = F.hex("data")
-    tail = F.right(hexed, F.lit(LOOK_BACK))
-    sent = F.explode(
-        F.array(
-            F.struct(F.lit(-1).alias("d"), F.lit("").alias("tail")),
-            *[F.struct(F.lit(d).alias("d"), tail.alias("tail")) for d in range(4)],
-        )
-    )
+    tail = F.hex(F.substring("data", -LOOK_BACK // 2, LOOK_BACK // 2))
     rest = [c for c in segs.columns if c not in (KEY, "seg_no", "data")]
-    mine = F.col("s.d") == 0
+    own = F.struct("data", *rest)
+
+    def send(d: int) -> Column:
+        # The payload goes along once, to the segment itself.
+        return F.struct(
+            F.lit(d).alias("d"),
+            (tail if d >= 0 else F.lit("")).alias("tail"),
+            F.when(F.lit(d == 0), own).alias("own"),
+        )
+
+    sent = F.explode(F.array(*[send(d) for d in range(-1, 4)]))
     grouped = (
-        segs.select(KEY, "seg_no", "data", *rest, sent.alias("s"))
+        segs.select(KEY, "seg_no", sent.alias("s"))
         .groupBy(KEY, (F.col("seg_no") + F.col("s.d")).alias("seg_no"))
         .agg(
-            F.max(F.when(mine, F.struct(hexed.alias("hex"), *rest))).alias("own"),
+            F.max("s.own").alias("own"),
             F.max(F.col("s.d") == -1).alias("has_next"),
-            F.sort_array(F.collect_list("s"), asc=False).alias("tails"),
+            F.sort_array(F.collect_list(F.struct("s.d", "s.tail")), asc=False).alias("tails"),
         )
         .where(F.col("own").isNotNull())
     )
@@ -381,7 +384,7 @@ def utf8_carry(segs: DataFrame) -> DataFrame:
         grouped.select(
             KEY,
             "seg_no",
-            F.concat(held(1), F.col("own.hex")).alias("hex"),
+            F.concat(held(1), F.hex("own.data")).alias("hex"),
             F.when(F.col("has_next"), F.length(held(0))).otherwise(0).alias("kept"),
             *[F.col(f"own.{c}").alias(c) for c in rest],
         )

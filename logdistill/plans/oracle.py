@@ -329,6 +329,9 @@ SQL["ensure_sessions"] = ctes(LOGS, SESSIONS) + """, new AS (SELECT session_id,
 SQL["close_sessions"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id,
     coalesce(max(ts), any_value(ended_at)) AS ended_at, coalesce(max_by(src.id, (ts, src.id)), 0)::BIGINT AS total_tokens_saved
     FROM sess LEFT JOIN src USING (session_id) GROUP BY sess.session_id"""
+SQL["session_log"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id, any_value(started_at) AS started_at,
+    max(ts) AS ended_at, coalesce(max_by(src.id, (ts, src.id)), 0)::BIGINT AS total_tokens_saved
+    FROM sess LEFT JOIN src USING (session_id) GROUP BY sess.session_id"""
 SQL["delete_entries"] = """SELECT doc_id AS id, source AS session_id FROM documents WHERE NOT contains(text, 'that')"""
 SQL["delete_postings"] = ctes(DOCS, lines()) + f"""SELECT id AS entry_id, count(DISTINCT {strip('line')}) AS n_terms
     FROM ln WHERE {strip('line')} <> '' AND id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'that'))

@@ -391,6 +391,22 @@ def close_sessions(spark, sf):
     return out.select("session_id", "ended_at", "total_tokens_saved")
 
 
+@query
+def session_log(spark, sf):
+    """Sessions from a log of openings (customers) and closings (their orders)."""
+    none = F.lit(None)
+    opened = inputs.sessions(spark, sf).select(
+        "session_id", F.lit("open").alias("kind"), F.col("started_at").alias("event_ts"),
+        "agent_command", none.cast("bigint").alias("tokens_saved"),
+    )
+    closed = inputs.logs(spark, sf).select(
+        "session_id", F.lit("close").alias("kind"), F.col("timestamp").alias("event_ts"),
+        none.cast("string").alias("agent_command"), F.col("id").alias("tokens_saved"),
+    )
+    out = archive.fold_sessions(opened.unionByName(closed))
+    return out.select("session_id", "started_at", "ended_at", "total_tokens_saved")
+
+
 @query
 def delete_entries(spark, sf):
     d = inputs.documents(spark, sf)

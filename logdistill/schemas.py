@@ -8,6 +8,9 @@ SESSION = (
     "session_id STRING, agent_command STRING, started_at DOUBLE, ended_at DOUBLE, "
     "total_tokens_saved BIGINT"
 )
+SESSION_EVENT = (
+    "session_id STRING, kind STRING, event_ts DOUBLE, agent_command STRING, tokens_saved BIGINT"
+)
 CHUNK = "session_id STRING, seq BIGINT, ts TIMESTAMP, data BINARY, eof BOOLEAN"
 SEGMENT = (
     "session_id STRING, seg_no BIGINT, first_ts TIMESTAMP, last_ts TIMESTAMP, "

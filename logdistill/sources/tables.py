@@ -20,6 +20,11 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SESSION).parquet(f"{path}/sessions")
 
 
+def read_session_log(spark: SparkSession, path: str) -> DataFrame:
+    log = spark.read.schema(schemas.SESSION_EVENT + ", commit STRING").parquet(f"{path}/session_log")
+    return log.drop("commit")
+
+
 def decode_output(df: DataFrame, col: str = "data", out: str = "text") -> DataFrame:
     """Bytes to text: UTF-8, or latin-1 for a value that is not valid UTF-8."""
     return df.withColumn(out, decode_bytes(F.col(col)))

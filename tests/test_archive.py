@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logdistill import schemas
 from logdistill.operators import archive as A
 from logdistill.operators import commands, lines, recall
-from logdistill.sources.tables import read_entries, read_sessions
+from logdistill.sources.tables import read_entries, read_session_log, read_sessions
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,17 @@ def test_close_takes_the_latest(spark, sessions):
     assert got == {"old": (1010.0, 5), "new": (2200.0, 9), "tie": (0.0, 0)}
 
 
+def test_session_log(spark, tmp_path):
+    events = [
+        ("s", "open", 5.0, "second", None), ("s", "open", 1.0, "first", None), ("s", "close", 9.0, None, 4),
+        ("s", "close", 8.0, None, 3), ("t", "open", 2.0, "only", None), ("ghost", "close", 1.0, None, 1),
+    ]
+    for commit, part in (("a", events[:3]), ("b", events[3:]), ("b", events[3:])):
+        A.append_session_events(spark.createDataFrame(part, schemas.SESSION_EVENT), str(tmp_path), commit)
+    got = {r.session_id: tuple(r)[1:] for r in A.fold_sessions(read_session_log(spark, str(tmp_path))).collect()}
+    assert got == {"s": ("first", 1.0, 9.0, 4), "t": ("only", 2.0, None, 0)}
+
+
 def test_stats_with_zeros_for_an_empty_session(entries, sessions):
     got = {r.session_id: tuple(r)[1:] for r in A.session_stats(entries, sessions).collect()}
     assert got == {"old": (2, 1, 180, 80), "new": (1, 0, 20, 0), "tie": (0, 0, 0, 0)}

@@ -209,11 +209,10 @@ def global_summary(report: DataFrame, assertions: DataFrame | None = None) -> Da
     return out.withColumn("passed", verdict.scalar())
 
 
-def suite_documents(report: DataFrame, assertions: DataFrame, items: DataFrame) -> DataFrame:
-    """One nested row per suite for the JSON report.
+def suite_documents(report: DataFrame, assertions: DataFrame) -> DataFrame:
+    """One row per suite with its five checks nested, for the JSON report.
 
-    The items of a suite are nested by the writer's consumer, not here: a suite
-    may be as large as the data, so they stay rows keyed by suite.
+    Items are not nested: a suite may be as large as the data.
     """
     verdicts = assertions.groupBy("suite").agg(
         F.bool_and("passed").alias("passed"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
 from ..functions.text import sanitize, strip
+from . import search
 
 PREVIEW_CHARS = 300
 COMMAND_CHARS = 40
@@ -66,6 +67,22 @@ def in_scope(
     return entries.where(F.col("session_id") == scope)
 
 
+def recall_by_query(
+    entries: DataFrame,
+    sessions: DataFrame,
+    expr: search.Expr,
+    explicit: str | None = None,
+    current: str | None = None,
+    all_sessions: bool = False,
+    limit: int = 1,
+    columns: tuple[str, ...] = search.COLUMNS,
+) -> DataFrame:
+    """The best matches within the scope; ranks still come from the whole index."""
+    ranked = search.rank_entries(entries, expr, columns)
+    mine = in_scope(ranked, sessions, explicit, current, all_sessions)
+    return search.with_entry(search.top(mine.select("entry_id", "rank"), limit), entries)
+
+
 def _clock(seconds: Column) -> Column:
     """UTC whatever the session's time zone is."""
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")

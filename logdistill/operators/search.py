@@ -337,7 +337,7 @@ def search_entries(
     ranked = rank_entries(entries, expr, columns)
     if session_id is not None:
         ranked = ranked.where(F.col("session_id") == session_id)
-    return _with_entry(top(ranked.select("entry_id", "rank"), limit), entries)
+    return with_entry(top(ranked.select("entry_id", "rank"), limit), entries)
 
 
 def search(
@@ -355,9 +355,10 @@ def search(
             F.col("id").alias("entry_id")
         )
         ranked = ranked.join(mine, "entry_id", "left_semi")
-    return _with_entry(top(ranked, limit), entries)
+    return with_entry(top(ranked, limit), entries)
 
 
-def _with_entry(best: DataFrame, entries: DataFrame) -> DataFrame:
+def with_entry(best: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entries of a top-k list with their ranks."""
     # At most ``limit`` rows, so the entries are scanned where they lie.
     return entries.join(F.broadcast(best), F.col("id") == F.col("entry_id")).drop("entry_id")

@@ -224,6 +224,13 @@ SQL["ansi_stripped"] = ctes(order_text(inputs.ANSI), clean()) + "SELECT id, t AS
 SQL["sanitized"] = ctes(order_text(inputs.ANSI)) + r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(
     regexp_replace(raw, '\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)', '', 'g'), '\x1b\[[0-9;?]*[ -/]*[@-~]', '', 'g'),
     '\x1b[@-Z\\-_]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS clean FROM src"""
+SQL["decoded_output"] = """WITH h AS (SELECT doc_id AS id, text, hex(encode(text)) AS x, strlen(text) // 2 AS n
+        FROM documents),
+    c AS (SELECT *, substr(x, 2 * n + 1, 1) IN ('8', '9', 'A', 'B') AS broken,
+        len(list_filter(regexp_extract_all(left(x, 2 * n), '..'), lambda b: left(b, 1) IN ('8', '9', 'A', 'B'))) AS inner_bytes
+        FROM h)
+    SELECT id, 'whole' AS part, length(text) AS n_chars, strlen(text) AS n_bytes FROM c
+    UNION ALL SELECT id, 'half', CASE WHEN broken THEN n ELSE n - inner_bytes END, n FROM c"""
 SQL["class_gate"] = ctes(LOGS, SUMMARY) + """SELECT src.id, kind, CASE WHEN k <> 'other' THEN k
     WHEN fl.summary IS NOT NULL THEN 'flood' END AS class
     FROM src JOIN (SELECT id, k FROM kd) USING (id) LEFT JOIN fl USING (id)"""
@@ -318,6 +325,9 @@ TURNS = """turns AS (SELECT 'conv-' || CAST(conv_id AS STRING) AS session_id, tu
     CAST(conv_id % 9 * 100 + turn AS DOUBLE) AS ts, text FROM conversations)"""
 SQL["append_entries"] = ctes(TURNS) + """SELECT session_id, seq,
     1000 + row_number() OVER (ORDER BY ts, session_id, seq) AS id FROM turns"""
+SQL["archive_commits"] = ctes(TURNS) + """SELECT row_number() OVER (ORDER BY ts, session_id, seq) AS id, session_id,
+    length(text) AS n_chars FROM turns UNION ALL SELECT (SELECT count(*) FROM turns) +
+    row_number() OVER (ORDER BY CAST(doc_id AS DOUBLE), source, doc_id), source, length(text) FROM documents"""
 SQL["create_sessions"] = ctes(TURNS) + """SELECT sha256(text || '|' || CAST(CAST(ts AS BIGINT) AS STRING)) AS session_id,
     CAST(ts AS BIGINT) AS started_at FROM turns"""
 SQL["ensure_sessions"] = ctes(LOGS, SESSIONS) + """, new AS (SELECT session_id, kind AS cmd, ts FROM src
@@ -426,9 +436,9 @@ def stems(words: str) -> str:
     return ",\n".join(out)
 
 
-def index(extra_words: tuple[str, ...] = ()) -> str:
+def index(extra_words: tuple[str, ...] = (), src: str = DOCS) -> str:
     extra = "".join(f" UNION SELECT '{w}'" for w in extra_words)
-    return f"""{DOCS}, tw AS ({tok('raw', 0)} UNION ALL {tok('entry_type', 1)}),
+    return f"""{src}, tw AS ({tok('raw', 0)} UNION ALL {tok('entry_type', 1)}),
     words AS (SELECT DISTINCT word FROM tw{extra}),
     {stems('words')},
     tk AS (SELECT id, col, pos, term FROM tw JOIN stem USING (word)),
@@ -462,7 +472,7 @@ def holds(e: Expr, names: dict[Phrase, str]) -> str:
     return (" AND " if e.kind == "all" else " OR ").join(parts)
 
 
-def ranked(e: Expr) -> str:
+def ranked(e: Expr, src: str = DOCS) -> str:
     ls = _leaves(e)
     words = tuple(sorted({w for p in ls for w in p.words}))
     counts = ", ".join(f"coalesce(l{j}.n, 0) AS c{j}" for j in range(len(ls)))
@@ -475,7 +485,7 @@ def ranked(e: Expr) -> str:
     dfs = ", ".join(f"(SELECT count(*) FROM l{j}) AS d{j}" for j in range(len(ls)))
     names = {p: f"c{j}" for j, p in enumerate(ls)}
     return (
-        ctes(index(words), *[leaf(p, j) for j, p in enumerate(ls)])
+        ctes(index(words, src), *[leaf(p, j) for j, p in enumerate(ls)])
         + f""", cn AS (SELECT dl.id, doc_len, {counts} FROM dl {joins}),
     rk AS (SELECT id, -({score}) AS rank FROM cn, cs, (SELECT {dfs}) WHERE {holds(e, names)})
     """
@@ -489,6 +499,12 @@ SQL["search_top_k"] = ranked(queries.SEARCHES["search_any"]) + """SELECT id, ses
     FROM rk JOIN src USING (id) ORDER BY rk.rank, id LIMIT 20"""
 SQL["search_in_session"] = ranked(queries.THE) + """SELECT id, session_id, round(rank, 6) AS rank
     FROM rk JOIN src USING (id) WHERE session_id = 'src3' ORDER BY rk.rank, id LIMIT 20"""
+SQL["search_stored_index"] = ranked(queries.SEARCHES["search_any"]) + """SELECT id, session_id, round(rank, 6) AS rank
+    FROM rk JOIN src USING (id) WHERE session_id = 'src3' ORDER BY rk.rank, id LIMIT 20"""
+STDOUT_LOGS = LOGS.replace("AS raw,", "AS raw, 'stdout' AS entry_type,")
+SQL["recall_by_query"] = ranked(queries.search.any_of(queries.search.term("WARNINGS"),
+    queries.search.phrase("timed out")), f"{STDOUT_LOGS}, {SESSIONS}") + f"""SELECT id, session_id, round(rank, 6) AS rank
+    FROM rk JOIN src USING (id) WHERE session_id = {LATEST} ORDER BY rk.rank, id LIMIT 3"""
 SQL["postings"] = ctes(index()) + """SELECT term, id AS entry_id, any_value(doc_len) AS doc_len, count(*) AS tf
     FROM tk JOIN dl USING (id) GROUP BY term, id"""
 SQL["term_frequencies"] = ctes(index()) + """SELECT term, count(DISTINCT id) AS df, count(*) AS cf
@@ -543,6 +559,10 @@ SQL["suite_assertions"] = ctes(REPORT) + " UNION ALL ".join(
     f"""SELECT suite, '{c}' AS "check", round({c}, 6) AS actual, CAST({t} AS DOUBLE) AS threshold, {c} >= {t} AS passed FROM rp"""
     for c, t in _CHECKS
 )
+SQL["json_report"] = ctes(REPORT) + """SELECT suite, n_items, total_naked_tokens, mean_compression >= 0.6
+    AND p10_compression >= 0.3 AND overall_compression >= 0.6 AND mean_fidelity >= 0.95 AND min_fidelity >= 0.8 AS passed,
+    5::BIGINT AS n_checks, n_fired FROM rp JOIN (SELECT suite, sum(CASE WHEN pruner_fired THEN 1 ELSE 0 END)::BIGINT AS n_fired
+    FROM ir GROUP BY suite) USING (suite)"""
 SQL["global_summary"] = ctes(REPORT) + """SELECT sum(total_naked_tokens)::BIGINT AS total_naked_tokens,
     sum(total_pruned_tokens)::BIGINT AS total_pruned_tokens,
     round((sum(total_naked_tokens) - sum(total_pruned_tokens)) / sum(total_naked_tokens), 6) AS global_compression,

@@ -24,6 +24,7 @@ from .. import schemas
 from ..settings import EXEC_ARCHIVE_CAP, PipePolicy, TerminalPolicy
 from ..shared import fresh_path, written
 from ..sources import tables
+from ..sources.report import write_report
 from ..streaming import segments as stream_segments
 from ..streaming import sinks
 from . import inputs
@@ -357,6 +358,20 @@ def append_entries(spark, sf):
     return archive.assign_ids(_turns(spark, sf), base=1000).select("session_id", "seq", "id")
 
 
+@query
+def archive_commits(spark, sf):
+    """Two commits, the second one written twice, and the archive read back."""
+    path = fresh_path(spark, "archive")
+    shared = ("session_id", "seq", "timestamp", "entry_type", "raw_content")
+    docs = inputs.documents(spark, sf).withColumn("seq", F.col("id")).select(*shared)
+    archive.append_entries(_turns(spark, sf), path, "turns")
+    archive.append_entries(docs, path, "documents")
+    archive.append_entries(docs, path, "documents")
+    return tables.read_entries(spark, path).select(
+        "id", "session_id", F.length("raw_content").cast("bigint").alias("n_chars")
+    )
+
+
 @query
 def create_sessions(spark, sf):
     made = _turns(spark, sf).select(
@@ -559,6 +574,27 @@ def porter_vocab(spark, sf):
     return words.distinct().select("word", stem.porter(F.col("word")).alias("stem"))
 
 
+@query
+def search_stored_index(spark, sf):
+    """The index written, read back and searched within one session."""
+    d = inputs.documents(spark, sf)
+    path = fresh_path(spark, "index")
+    search.write_index(d, path, TEXT_COLUMNS)
+    stored, docs = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "documents"))
+    best = search.search(stored, docs, d, SEARCHES["search_any"], session_id="src3", limit=20)
+    return best.select("id", "session_id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def recall_by_query(spark, sf):
+    """The best log about a timeout from the session started last."""
+    expr = search.any_of(search.term("WARNINGS"), search.phrase("timed out"))
+    best = recall.recall_by_query(
+        inputs.logs(spark, sf), inputs.sessions(spark, sf), expr, limit=3, columns=TEXT_COLUMNS
+    )
+    return best.select("id", "session_id", F.round("rank", 6).alias("rank"))
+
+
 # --- reports ---------------------------------------------------------------------------------
 def _summarised(spark, sf):
     logs = inputs.logs(spark, sf).select(
@@ -610,6 +646,23 @@ def suite_assertions(spark, sf):
     )
 
 
+@query
+def json_report(spark, sf):
+    """The report written as JSON and read back."""
+    items = benchmark.item_result(_summarised(spark, sf))
+    report = benchmark.suite_report(items)
+    checks = benchmark.suite_assertions(report)
+    path = fresh_path(spark, "report")
+    write_report(benchmark.suite_documents(report, checks), items, path)
+    shape = "suite string, n_items bigint, total_naked_tokens bigint, passed boolean, checks array<struct<check:string>>"
+    rows = spark.read.schema("suite string, name bigint, pruner_fired boolean").json(f"{path}/items")
+    fired = rows.groupBy("suite").agg(F.sum(long(F.col("pruner_fired"))).alias("n_fired"))
+    return spark.read.schema(shape).json(f"{path}/suites").join(fired, "suite").select(
+        "suite", "n_items", "total_naked_tokens", "passed",
+        long(F.size("checks")).alias("n_checks"), "n_fired",
+    )
+
+
 @query
 def global_summary(spark, sf):
     r = benchmark.global_summary(_report(spark, sf))

@@ -87,7 +87,7 @@ def test_needles(spark):
 
 def test_report_is_written_as_json(spark, items, report, tmp_path):
     checks = B.suite_assertions(report)
-    docs = B.suite_documents(report, checks, items)
+    docs = B.suite_documents(report, checks)
     write_report(docs, items, str(tmp_path), B.global_summary(report, checks))
     rows = [json.loads(x) for f in (tmp_path / "suites").glob("*.json") for x in f.read_text().splitlines()]
     assert {r["suite"] for r in rows} == {"traceback", "build", "flood", "mixed"}

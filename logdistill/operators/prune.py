@@ -124,9 +124,9 @@ def prune(
     if not native:
         # A Python UDF inside a lambda is not possible, so each candidate gets a
         # column of its own; the gate keeps texts from Python that need not go.
-        gated = F.when(gate, raw)
+        df = with_once(df, "_gated", F.when(gate, raw))
         for i, p in enumerate(pruners):
-            df = df.withColumn(f"_s{i}", p.compress(gated))
+            df = df.withColumn(f"_s{i}", p.compress(F.col("_gated")))
         candidates = [
             _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio) for i, p in enumerate(pruners)
         ]

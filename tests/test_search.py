@@ -137,5 +137,6 @@ def test_written_index(spark, entries, tmp_path):
     got = S.search(p, d, entries, S.term("token"), limit=5)
     assert {r.id for r in got.collect()} == {3, 4}
     assert {r.id for r in S.search(p, d, entries, S.term("token"), session_id="s1").collect()} == set()
-    plan = S.rank_postings(p, d, S.term("token"))._jdf.queryExecution().executedPlan().toString()
+    counts = S._counts_in_postings(p, S._leaves(S.term("token")))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,token)" in plan

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-
 from ..settings import USD_PER_MILLION_TOKENS
 from ..shared import written
+from ..sources.tables import read_entries
 
 ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 
@@ -52,14 +53,9 @@ def append_entries(new: DataFrame, path: str, commit: str | None = None) -> Data
     Writing a commit again replaces it whole, so a retried micro-batch leaves no
     duplicates. Ids continue behind the largest of all other commits.
     """
-    from ..sources.tables import read_entries
-
     spark = new.sparkSession
     commit = commit or uuid.uuid4().hex
-    base = 0
-    if _exists(spark, f"{path}/entries"):
-        others = read_entries(spark, path, with_commit=True).where(F.col("commit") != commit)
-        base = others.agg(F.max("id")).first()[0] or 0
+    base = _largest_id(spark, path, commit)
     target = f"{path}/entries/commit={commit}"
     # Range partitioning samples its input first: written, the batch is computed once.
     numbered = assign_ids(written(new, "batch"), base)
@@ -68,10 +64,15 @@ def append_entries(new: DataFrame, path: str, commit: str | None = None) -> Data
     return spark.read.parquet(target)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _largest_id(spark: SparkSession, path: str, commit: str) -> int:
+    """The largest id outside ``commit``; reads the id column only."""
+    try:
+        entries = read_entries(spark, path, with_commit=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
+    return entries.where(F.col("commit") != commit).agg(F.max("id")).first()[0] or 0
 
 
 # --- sessions ---------------------------------------------------------------

@@ -210,7 +210,11 @@ def _summaries(policy: PipePolicy):
 
 
 def _chain(policy: PipePolicy):
-    """The state each block of a session starts in, from its summaries in order."""
+    """The state each block of a session starts in.
+
+    Reads summaries sorted by (session, block) as a stream and keeps one state, so
+    a session of any length passes in constant memory.
+    """
     silence, hold = int(policy.silence * MICROS), int(policy.max_hold * MICROS)
 
     def cut(r: dict, state: tuple[int, int, int] | None) -> int:
@@ -223,35 +227,30 @@ def _chain(policy: PipePolicy):
             return listed
         return min(r["widest"], r["n"])
 
-    def states(summaries: list[dict]) -> list[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session: str | None = None
         state: tuple[int, int, int] | None = None
         seg_no = 0
-        out = []
-        for r in summaries:
-            first, last, size = state or (0, 0, 0)
-            out.append(
-                {"block": r["block"], "is_open": state is not None, "first": first, "last": last,
-                 "bytes": size, "seg_no": seg_no}
-            )
-            p = cut(r, state)
-            if p < r["n"]:
-                seg_no += r["begun"][p]
-                still, first, size = r["end_open"][p], r["end_first"][p], r["end_bytes"][p]
-            else:
-                size += r["bytes"]
-                still = size < policy.max_bytes
-            state = (first, r["last"], size) if still else None
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                {KEY: key.as_py(), **state}
-                for key, summaries in zip(batch.column(KEY), batch.column("blocks"), strict=True)
-                for state in states(summaries.as_py())
-            ]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+            out = []
+            for r in batch.to_pylist():
+                if r[KEY] != session:
+                    session, state, seg_no = r[KEY], None, 0
+                first, last, size = state or (0, 0, 0)
+                out.append(
+                    {KEY: session, "block": r["block"], "is_open": state is not None,
+                     "first": first, "last": last, "bytes": size, "seg_no": seg_no}
+                )
+                p = cut(r, state)
+                if p < r["n"]:
+                    seg_no += r["begun"][p]
+                    still, first, size = r["end_open"][p], r["end_first"][p], r["end_bytes"][p]
+                else:
+                    size += r["bytes"]
+                    still = size < policy.max_bytes
+                state = (first, r["last"], size) if still else None
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
 
     return run
 
@@ -305,10 +304,9 @@ def segment_batch(
         "blocks",
     )
     summaries = blocks.mapInArrow(_summaries(policy), f"{KEY} string, block bigint, {_PASS}")
-    names = ["block", *[c.split()[0] for c in _PASS.split(", ")]]
     entry = (
-        summaries.groupBy(KEY)
-        .agg(F.array_sort(F.collect_list(F.struct(*names))).alias("blocks"))
+        summaries.repartition(tasks, KEY)
+        .sortWithinPartitions(KEY, "block")
         .mapInArrow(_chain(policy), f"{KEY} string, block bigint, {_STATE}")
     )
     numbered = blocks.join(entry, [KEY, "block"]).mapInArrow(_number(policy), _NUMBERED)

@@ -59,5 +59,5 @@ def spread(df: DataFrame) -> DataFrame:
     text is never shuffled there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df

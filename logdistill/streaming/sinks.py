@@ -90,6 +90,13 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return seen.groupBy("session_id").agg(newest).select("session_id", *[f"x.{c}" for c in names])
 
 
+def dropped_rows(q: StreamingQuery) -> int:
+    """Chunks that came too late, over the progress reports Spark keeps."""
+    return sum(
+        op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators
+    )
+
+
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Run a stream over all there is now and wait for it."""
     q = writer.trigger(availableNow=True).start()

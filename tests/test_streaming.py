@@ -41,7 +41,8 @@ class Replay:
 
     def run(self):
         writer = self.cut.writeStream.format("parquet").option("path", f"{self.root}/out")
-        sinks.drain(writer.option("checkpointLocation", f"{self.root}/state"))
+        q = sinks.drain(writer.option("checkpointLocation", f"{self.root}/state"))
+        self.dropped = sinks.dropped_rows(q)
         return self.segments()
 
     def segments(self):
@@ -82,6 +83,7 @@ def test_late_chunks_are_dropped(spark, tmp_path):
     replay = Replay(spark, tmp_path, PipePolicy())
     replay.feed(rows("a", [(100, b"now")]))
     replay.feed(rows("b", [(1, b"late")]))
+    assert replay.dropped == 1
     replay.feed([("b", 9, START + timedelta(seconds=300), None, True)])
     assert not any(k[0] == "b" for k in replay.segments())
 

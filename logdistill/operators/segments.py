@@ -157,6 +157,13 @@ def _pass_over(us: np.ndarray, size: np.ndarray, policy: PipePolicy) -> dict:
     with the state the block ends in if a segment starts there.
     """
     n = len(us)
+    if n == 1:  # quiet sessions: most of their blocks hold one chunk
+        at, held = int(us[0]), int(size[0])
+        return {
+            "n": 1, "first": at, "last": at, "bytes": held, "widest": 1, "head_us": [at],
+            "head_before": [0], "begun": [1], "end_first": [at], "end_bytes": [held],
+            "end_open": [held < policy.max_bytes],
+        }
     cutter = Cutter(us, size, policy)
     nxt, open_at_end = cutter.next_starts()
     last = np.where(nxt < n, nxt, np.arange(n))
@@ -258,17 +265,27 @@ def _chain(policy: PipePolicy):
 def _number(policy: PipePolicy):
     """Segment numbers of each block's chunks from the state the block starts in."""
 
+    silence, hold = int(policy.silence * MICROS), int(policy.max_hold * MICROS)
+
+    def passed(us: np.ndarray, size: np.ndarray, e: dict) -> np.ndarray:
+        """Segments that start in the block, up to each of its chunks."""
+        if len(us) == 1:
+            at = int(us[0])
+            starts = not e["is_open"] or at - e["last"] >= silence or at - e["first"] >= hold
+            return np.array([int(starts)], dtype=np.int64)
+        cutter = Cutter(us, size, policy)
+        nxt, _ = cutter.next_starts()
+        state = (e["first"], e["last"], e["bytes"]) if e["is_open"] else None
+        starts = np.array(cutter.starts(cutter.first_cut(state), nxt), dtype=np.int64)
+        return np.searchsorted(starts, np.arange(len(us)), side="right")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entry = batch.select([c.split()[0] for c in _STATE.split(", ")]).to_pylist()
-            found = []
-            for (us, _, size), e in zip(_blocks_of(batch), entry, strict=True):
-                cutter = Cutter(us, size, policy)
-                nxt, _ = cutter.next_starts()
-                state = (e["first"], e["last"], e["bytes"]) if e["is_open"] else None
-                starts = np.array(cutter.starts(cutter.first_cut(state), nxt), dtype=np.int64)
-                passed = np.searchsorted(starts, np.arange(len(us)), side="right")
-                found.append(e["seg_no"] + passed)
+            found = [
+                e["seg_no"] + passed(us, size, e)
+                for (us, _, size), e in zip(_blocks_of(batch), entry, strict=True)
+            ]
             if found:
                 us, seq, size = (np.concatenate(x) for x in zip(*_blocks_of(batch), strict=True))
                 owner = np.repeat(np.arange(len(found)), [len(f) for f in found])

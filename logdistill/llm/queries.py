@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from ..shared import fresh_path
+from . import mixing, quality, secrets, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -24,3 +25,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op6_quality_rules(spark, sf):
     return quality.report(table(spark, sf, "documents"))
+
+
+@query
+def op8_secret_scan(spark, sf):
+    return secrets.report(table(spark, sf, "documents"))
+
+
+@query
+def op1_url_filter(spark, sf):
+    return urls.report(table(spark, sf, "pages"))
+
+
+@query
+def op5_mixing(spark, sf):
+    return mixing.report(table(spark, sf, "documents"))
+
+
+@query
+def op10_warc_archive(spark, sf):
+    """The pages as records of an archive, read back from its header and payload tables."""
+    path = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )

@@ -138,3 +138,19 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+SQL["op9_repeated_passages"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w
+           FROM documents),
+x AS (SELECT r, doc_id, i, array_to_string(w[i:i+12], ' ') AS win
+      FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS lo FROM x GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM x JOIN f USING (win)
+      WHERE lo < doc_id OR (doc_id IS NULL AND lo IS NOT NULL)),
+a AS (SELECT r, list(p) AS ps FROM g GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN ps IS NULL THEN w
+              ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, quality, secrets, urls, warc
+from . import mixing, quality, repeats, secrets, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -50,3 +50,8 @@ def op10_warc_archive(spark, sf):
     return warc.read_archive(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op9_repeated_passages(spark, sf):
+    return repeats.report(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, quality, repeats, secrets, urls, warc
+from . import mixing, quality, repeats, secrets, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,3 +55,8 @@ def op10_warc_archive(spark, sf):
 @query
 def op9_repeated_passages(spark, sf):
     return repeats.report(table(spark, sf, "documents"))
+
+
+@query
+def op7_simhash_dedup(spark, sf):
+    return simhash.report(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, quality, repeats, secrets, simhash, urls, warc
+from . import mixing, quality, repeats, secrets, simhash, templates, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -60,3 +60,13 @@ def op9_repeated_passages(spark, sf):
 @query
 def op7_simhash_dedup(spark, sf):
     return simhash.report(table(spark, sf, "documents"))
+
+
+@query
+def op3_edited_token_counts(spark, sf):
+    return tokens.report(table(spark, sf, "documents"))
+
+
+@query
+def op4_benchmark_templates(spark, sf):
+    return templates.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, quality, repeats, secrets, simhash, templates, tokens, urls, warc
+from . import mixing, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -70,3 +70,8 @@ def op3_edited_token_counts(spark, sf):
 @query
 def op4_benchmark_templates(spark, sf):
     return templates.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op2_pitman_yor_scores(spark, sf):
+    return pyp.scores(table(spark, sf, "documents"))

@@ -60,7 +60,7 @@ def targets(lengths: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     per = per.withColumn("level", left / heavy)
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    per = per.withColumn("shared", F.min(fits).over(everything))
+    per = per.withColumn("shared", F.max(fits).over(everything))
     target = F.least(F.col("cap"), F.coalesce("shared", F.lit(0.0)) * F.col("weight"))
     return per.select("src", "source_size", target.alias("target"))
 

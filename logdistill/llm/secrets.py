@@ -248,18 +248,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
 
         return F.aggregate(spans, start, step)
 
-    d = with_once(d, "cut", joined(F.col("spans")))
-    clean = F.concat(
-        F.col("cut.out"),
-        F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text")),
-    )
-    d = with_once(d, "clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text")))
-    columns = []
-    for f in docs.schema.fields:
-        c = F.col(f"row.`{f.name}`")
-        if f.name == "text":
-            c = F.col("clean")
-        elif f.name == "n_chars":
-            c = F.when(F.size("spans") > 0, F.length("clean").cast(f.dataType)).otherwise(c)
-        columns.append(c.alias(f.name))
-    return d.select(*columns)
+    rest = F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text"))
+    clean = F.concat(F.col("cut.out"), rest)
+    changed = F.size("spans") > 0
+    # the whole row passes the steps: Spark would take it apart below them
+    d = with_once(d.select("row", "text", "spans", joined(F.col("spans")).alias("cut")), "made", F.struct(
+        *[
+            F.when(changed, clean).otherwise(F.col("row.text")).alias(f.name) if f.name == "text"
+            else F.when(changed, F.length(clean).cast(f.dataType)).otherwise(F.col("row.n_chars")).alias(f.name)
+            if f.name == "n_chars"
+            else F.col(f"row.`{f.name}`").alias(f.name)
+            for f in docs.schema.fields
+        ]
+    ))
+    return d.select("made.*")

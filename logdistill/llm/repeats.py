@@ -41,7 +41,7 @@ from .common import packed, text_of
 from .wordhash import Words, mix
 
 WINDOW, ANCHOR = 13, 6
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 AUTOMATON_WORDS = 400_000
 LAST = np.iinfo(np.int64).max
 

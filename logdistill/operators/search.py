@@ -193,6 +193,8 @@ def _phrase_count(slots: list[Column]) -> Column:
     def moved(s: Column, by: int) -> Column:
         return F.transform(s, lambda p: p - by)
 
+    if not slots:  # separators only: no word, no occurrence
+        return F.lit(0)
     found = slots[0]
     for i, s in enumerate(slots[1:], start=1):
         found = F.array_intersect(found, moved(s, i))

@@ -31,7 +31,8 @@ def _meta(chunks: DataFrame, block: float) -> DataFrame:
     """
     us = F.unix_micros("ts")
     size = F.col("n_bytes") if "n_bytes" in chunks.columns else F.octet_length("data")
-    return chunks.select(
+    # like the stream, without end marks and empty chunks
+    return chunks.where(size > 0).select(
         KEY,
         "seq",
         us.alias("us"),

@@ -326,15 +326,15 @@ TURNS = """turns AS (SELECT 'conv-' || CAST(conv_id AS STRING) AS session_id, tu
 SQL["append_entries"] = ctes(TURNS) + """SELECT session_id, seq,
     1000 + row_number() OVER (ORDER BY ts, session_id, seq) AS id FROM turns"""
 SQL["archive_commits"] = ctes(TURNS) + """SELECT row_number() OVER (ORDER BY ts, session_id, seq) AS id, session_id,
-    length(text) AS n_chars FROM turns UNION ALL SELECT (SELECT count(*) FROM turns) +
-    row_number() OVER (ORDER BY CAST(doc_id AS DOUBLE), source, doc_id), source, length(text) FROM documents"""
+    text AS raw_content FROM turns UNION ALL SELECT (SELECT count(*) FROM turns) +
+    row_number() OVER (ORDER BY CAST(doc_id AS DOUBLE), source, doc_id), source, text FROM documents"""
 SQL["create_sessions"] = ctes(TURNS) + """SELECT sha256(text || '|' || CAST(CAST(ts AS BIGINT) AS STRING)) AS session_id,
     CAST(ts AS BIGINT) AS started_at FROM turns"""
 SQL["ensure_sessions"] = ctes(LOGS, SESSIONS) + """, new AS (SELECT session_id, kind AS cmd, ts FROM src
     UNION ALL SELECT source, lang, CAST(doc_id AS DOUBLE) FROM documents),
     old AS (SELECT * FROM sess WHERE ended_at IS NULL)
-    SELECT session_id, started_at, 0::BIGINT AS total_tokens_saved, left(agent_command, 5) AS command_start FROM old
-    UNION ALL SELECT session_id, min(ts), 0, left(min_by(cmd, (ts, cmd)), 5) FROM new
+    SELECT session_id, started_at, 0::BIGINT AS total_tokens_saved, agent_command FROM old
+    UNION ALL SELECT session_id, min(ts), 0, min_by(cmd, (ts, cmd)) FROM new
     WHERE session_id NOT IN (SELECT session_id FROM old) GROUP BY session_id""".replace("WITH RECURSIVE , ", "")
 SQL["close_sessions"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id,
     coalesce(max(ts), any_value(ended_at)) AS ended_at, coalesce(max_by(src.id, (ts, src.id)), 0)::BIGINT AS total_tokens_saved
@@ -352,7 +352,7 @@ SQL["fk_orphans"] = ctes(LOGS, SESSIONS) + """SELECT id, session_id FROM src WHE
     SELECT session_id FROM sess WHERE ended_at IS NOT NULL)"""
 
 # --- recall ----------------------------------------------------------------------------------------------
-SQL["recall_by_id"] = """SELECT h.id, d.source AS session_id, length(d.text) AS n_chars FROM (
+SQL["recall_by_id"] = """SELECT h.id, d.source AS session_id, d.text AS raw_content FROM (
     SELECT doc_id * 2 AS id FROM documents) h LEFT JOIN documents d ON d.doc_id = h.id"""
 LATEST = "(SELECT session_id FROM sess ORDER BY started_at DESC, session_id LIMIT 1)"
 SQL["recall_scope"] = ctes(SESSIONS) + f"""SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0

@@ -367,9 +367,7 @@ def archive_commits(spark, sf):
     archive.append_entries(_turns(spark, sf), path, "turns")
     archive.append_entries(docs, path, "documents")
     archive.append_entries(docs, path, "documents")
-    return tables.read_entries(spark, path).select(
-        "id", "session_id", F.length("raw_content").cast("bigint").alias("n_chars")
-    )
+    return tables.read_entries(spark, path).select("id", "session_id", "raw_content")
 
 
 @query
@@ -394,7 +392,7 @@ def ensure_sessions(spark, sf):
     old = inputs.sessions(spark, sf).where("ended_at is null")
     out = archive.ensure_sessions(old, new)
     return out.select("session_id", "started_at", "total_tokens_saved",
-                      F.substring("agent_command", 1, 5).alias("command_start"))
+                      "agent_command")
 
 
 @query
@@ -463,7 +461,7 @@ def recall_by_id(spark, sf):
     """A table of handles, every other one of which is a miss."""
     handles = inputs.table(spark, sf, "documents", "doc_id").select((F.col("doc_id") * 2).alias("id"))
     return recall.recall_by_id(inputs.documents(spark, sf), handles).select(
-        "id", "session_id", F.length("raw_content").cast("bigint").alias("n_chars")
+        "id", "session_id", "raw_content"
     )
 
 

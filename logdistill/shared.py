@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may do without it: a folder of one machine is of no
-    use to the executors of a cluster.
+    Only a local session may do without it, and gets a folder that goes when it
+    ends: one machine's folder is of no use to the executors of a cluster.
     """
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_DIR, None) or sc.getCheckpointDir()
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="logdistill-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 

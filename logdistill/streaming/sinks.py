@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, PySparkException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -33,6 +35,19 @@ def unpruned(entries: DataFrame) -> DataFrame:
     return P.prune(entries, pruners=[])
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the query of this checkpoint: the same after every restart."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _pruner_failed(e: PySparkException) -> bool:
+    """Whether an expression or a Python pruner failed, and not storage or an executor."""
+    if isinstance(e, (PythonException, AnalysisException)):
+        return True
+    said = f"{e.getCondition()} {e}"
+    return any(x in said for x in ("USER_RAISED_EXCEPTION", "PythonException", "ARITHMETIC_OVERFLOW", "DIVIDE_BY_ZERO"))
+
+
 def archive_sink(
     segments: DataFrame,
     path: str,
@@ -43,18 +58,22 @@ def archive_sink(
 ) -> DataStreamWriter:
     """Prune and archive every micro-batch.
 
-    A batch is one commit named by its number: run again it replaces itself, so
-    each segment is archived exactly once. If pruning fails, the raw text is
-    archived instead.
+    A batch is one commit named by its query and number: run again it replaces
+    itself, so each segment is archived exactly once, and streams that share an
+    archive keep out of each other's commits. If a pruner fails, the raw texts
+    of the batch are archived instead; other faults stop the stream, which
+    repeats the batch when it starts again.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         entries = entries_of(batch)
-        commit = f"batch-{batch_id:012d}"
+        commit = f"{_query_id(batch.sparkSession, checkpoint)}-{batch_id:012d}"
         try:
             pruned = P.prune(entries, pruners, min_lines)
             append_entries(P.archived(pruned, cap), path, commit)
-        except Exception:  # noqa: BLE001 - a failing pruner must not stop the stream
+        except PySparkException as e:
+            if not _pruner_failed(e):
+                raise
             log.exception("batch %s is archived without pruning", batch_id)
             append_entries(P.archived(unpruned(entries), cap), path, commit)
 
@@ -70,10 +89,11 @@ def live_stats(entries: DataFrame, tag: str, min_lines: int = MIN_LINES) -> Data
 
 
 def follow(counters: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Write each batch's changed counters to its own folder."""
+    """Write each batch's changed counters to its own folder, by query."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        query = _query_id(batch.sparkSession, checkpoint)
+        batch.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return (
         counters.writeStream.outputMode("update")
@@ -85,7 +105,7 @@ def follow(counters: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest counters of every session written by ``follow``."""
     seen = spark.read.parquet(path)
-    names = [c for c in seen.columns if c not in ("session_id", "batch")]
+    names = [c for c in seen.columns if c not in ("session_id", "batch", "query")]
     newest = F.max(F.struct("batch", *names)).alias("x")
     return seen.groupBy("session_id").agg(newest).select("session_id", *[f"x.{c}" for c in names])
 

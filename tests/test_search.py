@@ -140,3 +140,11 @@ def test_written_index(spark, entries, tmp_path):
     counts = S._counts_in_postings(p, S._leaves(S.term("token")))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,token)" in plan
+
+
+def test_words_of_separators_only_find_nothing(spark):
+    entries = spark.createDataFrame(
+        [(1, "a -- b", "", "s", "stdout")],
+        "id long, raw_content string, compressed_summary string, session_id string, entry_type string",
+    )
+    assert S.search_entries(entries, S.term("--")).count() == 0

@@ -1,5 +1,6 @@
 """Batch segmentation against a row-by-row loop, for many block lengths."""
 
+import codecs
 import random
 from datetime import datetime, timedelta
 
@@ -66,21 +67,19 @@ def test_silence(spark, feed, block):
 
 
 def carry_loop(parts):
-    """Hold back what an incremental decoder would not finish."""
+    """What the standard library's incremental decoder keeps back after each part."""
     out, held = [], b""
-    for i, p in enumerate(parts):
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for p in parts:
+        decoder.decode(p)
         data = held + p
-        keep = 0
-        for back in (1, 2, 3):
-            if back <= len(data) and data[-back] >= 0xC0:
-                need = 2 if data[-back] < 0xE0 else 3 if data[-back] < 0xF0 else 4
-                keep = back if back < need else 0
-            if back <= len(data) and not 0x80 <= data[-back] < 0xC0:
-                break
-        if i == len(parts) - 1:
-            keep = 0
-        held = data[len(data) - keep:]
-        out.append(data[: len(data) - keep])
+        keep = decoder.getstate()[0]
+        # bytes that no character starts with wait for their followers as well
+        keep = keep or (data[-1:] if data[-1:] >= b"\xc0" else b"")
+        if p is parts[-1]:
+            keep = b""
+        out.append(data[: len(data) - len(keep)])
+        held = keep
     return out
 
 
@@ -122,3 +121,13 @@ def test_session_window_merges_at_the_gap(spark):
     chunks = spark.createDataFrame(rows, "session_id string, seq long, ts timestamp, data binary, eof boolean")
     assert G.session_windows(chunks, "2 seconds").count() == 2
     assert G.segment_silence(chunks, 2.0).agg(F.max("run_no")).first()[0] == 3
+
+
+def test_end_marks_and_empty_chunks_have_no_part(spark):
+    rows = [("a", 1, 1.0, b"x", False), ("a", 2, 1.5, b"", False), ("a", 3, 2.0, b"y", False), ("a", 4, 9.0, None, True)]
+    chunks = spark.createDataFrame(rows, "session_id string, seq long, t double, data binary, eof boolean").selectExpr(
+        "session_id", "seq", "timestamp_micros(cast(t * 1000000 as bigint)) as ts", "data", "eof"
+    )
+    got = G.segment_silence(chunks, 2.0).collect()
+    assert sorted((r.seq, r.run_no) for r in got) == [(1, 1), (3, 1)]
+    assert G.segment_batch(chunks, PipePolicy(2.0, 100.0, 1000)).count() >= 1

@@ -134,9 +134,13 @@ def test_archive_sink(spark, tmp_path, segment_files):
     assert [(r.session_id, r.was_pruned) for r in got.values()] == [("a", True), ("a", False)]
     assert got[1].compressed_summary.startswith("[Repetitive output: 40 total") and got[2].raw_content == "café"
     assert got[1].token_estimate == 160 and list(got) == [1, 2]
-    # Run again from the start: the same commit replaces itself.
+    # Another stream into the same archive: both keep their entries.
     sinks.drain(sinks.archive_sink(segment_files, path, f"{tmp_path}/other", cap=1000))
-    assert read_entries(spark, path).count() == 2
+    both = read_entries(spark, path)
+    assert both.count() == 4 and both.select("id").distinct().count() == 4
+    # The first one goes on where it was: nothing is archived twice.
+    sinks.drain(sinks.archive_sink(segment_files, path, f"{tmp_path}/state", cap=1000))
+    assert read_entries(spark, path).count() == 4
 
 
 class Broken(P.Pruner):

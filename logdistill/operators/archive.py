@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,29 +12,28 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..settings import USD_PER_MILLION_TOKENS
-from ..shared import written
+from ..shared import create_once, file_names, scratch, written
 from ..sources.tables import read_entries
 
 ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 
 
 # --- writing entries --------------------------------------------------------
-def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] = ()) -> DataFrame:
-    """Number rows base+1, base+2, … in the given order, without one global sort task.
-
-    Range partitioning on the full order splits any hot session or second. The
-    placed rows are written once, so counting and numbering see the same
-    partitions even if an executor is lost between the two jobs.
-    """
+def _placed(new: DataFrame, order: tuple[str, ...], folder: str | None = None) -> DataFrame:
+    """Rows written in order, each with its partition and its place there."""
     order = order or ("timestamp", "session_id", "seq")
-    placed = written(
+    return written(
         new.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         # The lower 33 bits number the rows of a partition.
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "placed",
+        folder,
     )
+
+
+def _numbered(placed: DataFrame, base: Column | int) -> DataFrame:
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: bounded by the partition count, not by the data.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,32 +48,91 @@ def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] =
     )
 
 
+def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """Number rows base+1, base+2, … in the given order, without one global sort task.
+
+    Range partitioning on the full order splits any hot session or second. The
+    placed rows are written once, at call time, so counting and numbering see the
+    same partitions even if an executor is lost between the two jobs.
+    """
+    return _numbered(_placed(new, order), base)
+
+
 def append_entries(new: DataFrame, path: str, commit: str | None = None) -> DataFrame:
     """Append one batch under its own commit folder and return it with its ids.
 
-    Writing a commit again replaces it whole, so a retried micro-batch leaves no
-    duplicates. Ids continue behind the largest of all other commits.
+    Writing a commit again replaces it whole, with the same ids if it has not
+    grown, so a retried micro-batch leaves no duplicates. Ids continue behind
+    those that other commits claimed; writers may append at the same time.
     """
     spark = new.sparkSession
     commit = commit or uuid.uuid4().hex
-    base = _largest_id(spark, path, commit)
     target = f"{path}/entries/commit={commit}"
-    # Range partitioning samples its input first: written, the batch is computed once.
-    numbered = assign_ids(written(new, "batch"), base)
-    known = [c for c in ENTRY_COLUMNS if c in numbered.columns]
-    numbered.select(*known).write.mode("overwrite").parquet(target)
+    with scratch(spark, "append") as folder:
+        # Range partitioning samples its input first: written, the batch is computed once.
+        placed = _placed(written(new, "batch", folder), (), folder)
+        numbered = _numbered(placed, claim_ids(spark, path, commit, placed.count()))
+        known = [c for c in ENTRY_COLUMNS if c in numbered.columns]
+        numbered.select(*known).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
-def _largest_id(spark: SparkSession, path: str, commit: str) -> int:
-    """The largest id outside ``commit``; reads the id column only."""
+#: Ids kept free behind a claim whose size is not (or never) told.
+UNTOLD = 1 << 33
+_claiming = threading.Lock()
+
+
+def claim_ids(spark: SparkSession, path: str, commit: str, count: int) -> int:
+    """The base of ``count`` ids that are this commit's alone.
+
+    Claims are empty files in ``{path}/ids`` named by their base; creating one is
+    exclusive, and a second file tells its size and commit. A writer lost between
+    the two leaves a gap of ``UNTOLD`` ids and no other harm. No entry is read,
+    but once in an archive that was written before it had claims.
+    """
+    folder = f"{path}/ids"
+    with _claiming:  # only so that threads of one driver leave no gaps
+        while True:
+            claims = _claims(spark, folder)
+            for base, (n, owner) in sorted(claims.items()):
+                if owner == commit and n >= count:
+                    return base
+            if claims:
+                last = max(claims)
+                base = last + claims[last][0]
+            else:
+                base = _largest_id(spark, path)
+                if _claims(spark, folder):  # someone began while the entries were read
+                    continue
+            if count == 0:
+                return base
+            if create_once(spark, f"{folder}/{base:020d}"):
+                create_once(spark, f"{folder}/{base:020d}.{count}.{quote(commit, safe='')}")
+                return base
+
+
+def _claims(spark: SparkSession, folder: str) -> dict[int, tuple[int, str | None]]:
+    """Size and commit of every claim by its base."""
+    found: dict[int, tuple[int, str | None]] = {}
+    for name in file_names(spark, folder):
+        if name[:20].isdigit():
+            base, *told = name.split(".", 2)
+            if told:
+                found[int(base)] = (int(told[0]), unquote(told[1]))
+            else:
+                found.setdefault(int(base), (UNTOLD, None))
+    return found
+
+
+def _largest_id(spark: SparkSession, path: str) -> int:
+    """The largest id of the archive; reads the id column only."""
     try:
-        entries = read_entries(spark, path, with_commit=True)
+        entries = read_entries(spark, path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return 0
         raise
-    return entries.where(F.col("commit") != commit).agg(F.max("id")).first()[0] or 0
+    return entries.agg(F.max("id")).first()[0] or 0
 
 
 # --- sessions ---------------------------------------------------------------

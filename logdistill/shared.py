@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -33,9 +37,54 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """Hadoop's file system of ``path``, and the path in its terms."""
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(sc._jsc.hadoopConfiguration()), there
+
+
+def create_once(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, or return False if it exists: one of many writers wins.
+
+    Needs a file system with exclusive creation, as local disks and HDFS have.
+    """
+    fs, there = file_system(spark, path)
+    try:
+        if fs.getScheme() == "file":  # Hadoop's own local create looks first and writes then
+            fs.mkdirs(there.getParent())
+            open(there.toUri().getPath(), "x").close()
+        else:
+            fs.create(there, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if fs.exists(there):
+            return False
+        raise
+    return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    fs, there = file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(there)] if fs.exists(there) else []
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of the shared folder that goes when the block ends."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        fs, there = file_system(spark, path)
+        fs.delete(there, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write once, read back: a computed table that several plans share."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = f"{folder}/{name}" if folder else fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,15 @@
 """Sessions, entries, integrity and recall on small tables."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from logdistill import schemas
 from logdistill.operators import archive as A
 from logdistill.operators import commands, lines, recall
+from logdistill.shared import create_once, shared_dir
 from logdistill.sources.tables import read_entries, read_session_log, read_sessions
 
 
@@ -46,6 +50,44 @@ def test_append_numbers_on_and_a_repeated_commit_replaces_itself(spark, tmp_path
     assert ordered == [f"text 0 {i}" for i in sorted(range(50), key=lambda i: (i % 3, i))]
 
 
+def _lines(spark, writer, n):
+    return spark.range(n).select(
+        F.lit(writer).alias("session_id"),
+        F.col("id").alias("seq"),
+        F.col("id").cast("double").alias("timestamp"),
+        F.lit("stdout").alias("entry_type"),
+        F.concat(F.lit(f"{writer} "), "id").alias("raw_content"),
+    )
+
+
+@pytest.mark.parametrize("n", [50, 25])
+def test_writers_at_the_same_time_share_no_id(spark, tmp_path, n):
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda w: A.append_entries(_lines(spark, f"w{w}", n), str(tmp_path)), range(8)))
+    got = read_entries(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in got) == list(range(1, 8 * n + 1))
+    assert {r.raw_content for r in got} == {f"w{w} {i}" for w in range(8) for i in range(n)}
+
+
+def test_a_lost_writer_and_an_archive_without_claims(spark, tmp_path):
+    path = str(tmp_path)
+    old = _lines(spark, "old", 3).withColumn("id", F.col("seq") + 5)
+    old.drop("seq").write.parquet(f"{path}/entries/commit=old")
+    assert A.claim_ids(spark, path, "new", 4) == 7
+    assert A.claim_ids(spark, path, "next", 2) == 11
+    assert A.claim_ids(spark, path, "new", 4) == 7  # again, the same ids
+    assert A.claim_ids(spark, path, "new", 5) == 13  # grown: new ones
+    assert create_once(spark, f"{path}/ids/{18:020d}")  # lost before it told its size
+    assert not create_once(spark, f"{path}/ids/{18:020d}")
+    assert A.claim_ids(spark, path, "after", 1) == 18 + A.UNTOLD
+
+
+def test_append_leaves_no_scratch(spark, tmp_path):
+    before = set(os.listdir(shared_dir(spark)))
+    A.append_entries(_lines(spark, "w", 5), str(tmp_path))
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_hot_session_is_numbered_by_many_tasks(spark):
     df = spark.range(20_000).select(
         F.lit("hot").alias("session_id"), (F.col("id") % 7).cast("double").alias("timestamp"), F.col("id").alias("seq")

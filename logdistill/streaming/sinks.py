@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException, PySparkException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..functions.text import decode_bytes
 from ..operators import prune as P
@@ -110,11 +112,33 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return seen.groupBy("session_id").agg(newest).select("session_id", *[f"x.{c}" for c in names])
 
 
-def dropped_rows(q: StreamingQuery) -> int:
-    """Chunks that came too late, over the progress reports Spark keeps."""
-    return sum(
-        op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the chunks that came too late, over every progress report of a run.
+
+    Register it with ``spark.streams.addListener`` before the stream starts.
+    """
+
+    def __init__(self) -> None:
+        self._counts: dict[str, int] = defaultdict(int)
+        self._ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self._counts[str(event.progress.runId)] += sum(
+            op.numRowsDroppedByWatermark for op in event.progress.stateOperators
+        )
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def of(self, q: StreamingQuery, patience: float = 60.0) -> int:
+        """The count so far; of a run that ended, once its last report is in."""
+        run = str(q.runId)
+        if not q.isActive and not self._ended[run].wait(patience):
+            raise TimeoutError("the end of the stream was not reported")
+        return self._counts[run]
 
 
 def drain(writer: DataStreamWriter) -> StreamingQuery:

@@ -28,11 +28,12 @@ def rows(session, spec):
 class Replay:
     """A folder of files, a stream over it, and one run per file."""
 
-    def __init__(self, spark, tmp_path, policy, watermark="0 seconds"):
+    def __init__(self, spark, tmp_path, policy, watermark="0 seconds", forget=S.FORGET):
         self.spark, self.root = spark, tmp_path
         (tmp_path / "in").mkdir()
         source = spark.readStream.schema(schemas.CHUNK).parquet(f"{tmp_path}/in")
-        self.cut = S.segment_stream(source, policy, watermark)
+        self.cut = S.segment_stream(source, policy, watermark, forget)
+        self.late = sinks.LateRows()
 
     def feed(self, data):
         df = self.spark.createDataFrame(data, schemas.CHUNK)
@@ -41,8 +42,12 @@ class Replay:
 
     def run(self):
         writer = self.cut.writeStream.format("parquet").option("path", f"{self.root}/out")
+        self.spark.streams.addListener(self.late)
         q = sinks.drain(writer.option("checkpointLocation", f"{self.root}/state"))
-        self.dropped = sinks.dropped_rows(q)
+        self.dropped = self.late.of(q)
+        self.spark.streams.removeListener(self.late)
+        reports = [op for p in q.recentProgress for op in p.stateOperators]
+        self.kept = reports[-1].numRowsTotal if reports else None
         return self.segments()
 
     def segments(self):
@@ -71,6 +76,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.session_id, r.seg_no): bytes(r.data) for r in whole.collect()}
 
 
+@pytest.mark.parametrize("policy", [PipePolicy(2.0, 5.0, 60), TerminalPolicy(2.0, 4, 400)])
+def test_order_of_arrival_does_not_matter_within_the_watermark(spark, tmp_path, policy):
+    rng = random.Random(11)
+    words = ("caf\u00e9\n", "\U0001f600 x\n", "a\n b\n", "go? [Y/n] ", HDR, "KeyError: 1\n")
+    spec, t = {}, 0.0
+    for s in "ab":
+        text = "".join(rng.choice(words) for _ in range(60)).encode()
+        chunks, at, t = [], 0, 0.0
+        while at < len(text):
+            t += rng.choice([0.0, 0.25, 0.5, 1.0, 2.0])
+            n = rng.randint(1, 9)
+            chunks.append((t, text[at : at + n]))
+            at += n
+        spec[s] = chunks
+    full = [r for s, c in spec.items() for r in rows(s, c)]
+    ends = [(s, 999, START + timedelta(seconds=c[-1][0]), None, True) for s, c in spec.items()]
+    sides = {}
+    for name in ("sorted", "mixed"):
+        (tmp_path / name).mkdir()
+        replay = Replay(spark, tmp_path / name, policy, "8 seconds")
+        # chunks may come up to 6 seconds late, over many micro-batches
+        late = {id(r): (r[2] - START).total_seconds() + (name == "mixed") * rng.uniform(0, 6) for r in full}
+        came = sorted(full, key=lambda r: late[id(r)])
+        step = len(came) // 4 + 1
+        for i in range(0, len(came), step):
+            replay.feed(came[i : i + step])
+            assert replay.dropped == 0
+        sides[name] = replay.feed(ends)
+    assert sides["mixed"] == sides["sorted"]
+    if isinstance(policy, PipePolicy):
+        chunks = spark.createDataFrame(full, schemas.CHUNK)
+        whole = G.utf8_carry(G.segment_bytes(chunks, G.segment_batch(chunks, policy, 4.0)))
+        assert sides["mixed"] == {(r.session_id, r.seg_no): bytes(r.data) for r in whole.collect()}
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    replay = Replay(spark, tmp_path, PipePolicy(), "1 second", forget=10.0)
+    for hour in range(3):
+        names = [f"h{hour}-{i}" for i in range(10)]
+        replay.feed([(s, 0, START + timedelta(hours=hour), b"x\xe2", False) for s in names])
+        assert replay.kept == 10
+    got = replay.feed([("end", 0, START + timedelta(hours=9), b"z", False)])
+    assert replay.kept == 1
+    # the unfinished character goes out as its session is forgotten
+    assert got[("h0-0", 1)] == b"x" and got[("h0-0", 2)] == b"\xe2" and len(got) == 60
+
+
+def test_a_chunk_after_the_end_has_a_number_of_its_own(spark, tmp_path):
+    replay = Replay(spark, tmp_path, PipePolicy(), "20 seconds")
+    assert replay.feed(rows("a", [(10, b"one"), (11, None)])) == {("a", 1): b"one"}
+    got = replay.feed([("a", 9, START + timedelta(seconds=5), b"late", False)])
+    got = replay.feed([("b", 0, START + timedelta(seconds=90), b"on", False)])
+    assert got == {("a", 1): b"one", ("a", 2): b"late"}
+
+
 def test_silence_flushes_without_a_further_chunk(spark, tmp_path):
     replay = Replay(spark, tmp_path, PipePolicy())
     assert replay.feed(rows("a", [(0, b"one"), (1, b"two")])) == {}

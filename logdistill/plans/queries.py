@@ -767,22 +767,48 @@ def symbol_outline(spark, sf):
 
 
 # --- streams, replayed over a table -------------------------------------------------------------------
-def _feed(spark, sf):
-    """The chunks and one end mark per session, as a folder a stream can read."""
+PARTS = 3
+TEN_YEARS = 3_653 * 86_400.0
+
+
+def _chunk_feed(spark, sf):
+    """The chunks and one end mark per session."""
     rows = inputs.chunks(spark, sf)
     ends = rows.groupBy("session_id").agg(
         (F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts")
     ).select("session_id", "seq", "ts", F.lit(None).cast("binary").alias("data"), F.lit(True).alias("eof"))
+    return rows, ends
+
+
+def _feed(spark, sf):
+    """The feed as a folder a stream can read."""
+    rows, ends = _chunk_feed(spark, sf)
     path = fresh_path(spark, "feed")
     rows.unionByName(ends).write.parquet(path)
     return spark.readStream.schema(schemas.CHUNK).parquet(path)
 
 
 def _replayed(spark, sf, policy):
-    out = fresh_path(spark, "segments")
-    cut = stream_segments.segment_stream(_feed(spark, sf), policy)
-    writer = cut.writeStream.format("parquet").option("path", out)
-    sinks.drain(writer.option("checkpointLocation", fresh_path(spark, "state")))
+    """The feed in three spans of time, a run for each: open segments pass from run to run.
+
+    Sessions end in the last run; a mark older than the watermark is late, and
+    silence has closed its session by then.
+    """
+    feed, out, state = (fresh_path(spark, n) for n in ("feed", "segments", "state"))
+    rows, ends = _chunk_feed(spark, sf)
+    at = F.unix_micros("ts")
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return spark.createDataFrame([], schemas.SEGMENT)
+    part = F.floor((at - first) * PARTS / (last - first + 1))
+    for i in range(PARTS):
+        new = rows.where(part == i)
+        (new.unionByName(ends) if i == PARTS - 1 else new).write.mode("append").parquet(feed)
+        source = spark.readStream.schema(schemas.CHUNK).parquet(feed)
+        # numbered over the whole table, as the batch operator does
+        cut = stream_segments.segment_stream(source, policy, forget=TEN_YEARS)
+        writer = cut.writeStream.format("parquet").option("path", out)
+        sinks.drain(writer.option("checkpointLocation", state))
     return spark.read.schema(schemas.SEGMENT).parquet(out)
 
 
@@ -803,7 +829,7 @@ def stream_terminal_replay(spark, sf):
 def stream_archive_replay(spark, sf):
     """Segments of the stream, pruned and archived with ids by the sink."""
     path = fresh_path(spark, "archive")
-    cut = stream_segments.segment_stream(_feed(spark, sf), POLICY)
+    cut = stream_segments.segment_stream(_feed(spark, sf), POLICY, forget=TEN_YEARS)
     sinks.drain(sinks.archive_sink(cut, path, fresh_path(spark, "state")))
     return tables.read_entries(spark, path).select(
         "id", "session_id", "raw_content", "token_estimate", "was_pruned"

@@ -123,6 +123,23 @@ def test_idle_sessions_leave_the_state(spark, tmp_path):
     assert got[("h0-0", 1)] == b"x" and got[("h0-0", 2)] == b"\xe2" and len(got) == 60
 
 
+def test_numbers_begin_again_after_the_time_to_forget(spark, tmp_path):
+    """Whether the session left the state in between or not."""
+    at = [0, 20, 30, 61, 64, 70]
+    data = [("a", i, START + timedelta(seconds=t), b"%d" % t, False) for i, t in enumerate(at)]
+    tail = [("a", 9, START + timedelta(seconds=70), None, True)]
+    seen = []
+    for name, parts in (("once", [data + tail]), ("many", [data[:2], data[2:4], data[4:] + tail])):
+        (tmp_path / name).mkdir()
+        replay = Replay(spark, tmp_path / name, PipePolicy(), "1 second", forget=15.0)
+        for part in parts:
+            replay.feed(part)
+        out = spark.read.schema(schemas.SEGMENT).parquet(f"{tmp_path}/{name}/out").collect()
+        seen.append(sorted((r.first_ts, r.seg_no, bytes(r.data)) for r in out))
+    assert seen[0] == seen[1]
+    assert [r[1] for r in seen[0]] == [1, 1, 2, 1, 2, 3]
+
+
 def test_a_chunk_after_the_end_has_a_number_of_its_own(spark, tmp_path):
     replay = Replay(spark, tmp_path, PipePolicy(), "20 seconds")
     assert replay.feed(rows("a", [(10, b"one"), (11, None)])) == {("a", 1): b"one"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Sequence
 from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from .. import schemas
 from ..settings import USD_PER_MILLION_TOKENS
 from ..shared import create_once, file_names, scratch, written
 from ..sources.tables import read_entries
+from . import search
 
 ENTRY_COLUMNS = [f.split()[0] for f in schemas.ENTRY.split(", ")]
 
@@ -58,9 +60,13 @@ def assign_ids(new: DataFrame, base: Column | int = 0, order: tuple[str, ...] =
     return _numbered(_placed(new, order), base)
 
 
-def append_entries(new: DataFrame, path: str, commit: str | None = None) -> DataFrame:
+def append_entries(
+    new: DataFrame, path: str, commit: str | None = None, index: Sequence[str] | None = None
+) -> DataFrame:
     """Append one batch under its own commit folder and return it with its ids.
 
+    ``index`` names text columns whose words go to the archive's search index.
+
     Writing a commit again replaces it whole, with the same ids if it has not
     grown, so a retried micro-batch leaves no duplicates. Ids continue behind
     those that other commits claimed; writers may append at the same time.
@@ -74,6 +80,8 @@ def append_entries(new: DataFrame, path: str, commit: str | None = None) -> Data
         numbered = _numbered(placed, claim_ids(spark, path, commit, placed.count()))
         known = [c for c in ENTRY_COLUMNS if c in numbered.columns]
         numbered.select(*known).write.mode("overwrite").parquet(target)
+    if index:
+        search.write_index(spark.read.schema(schemas.ENTRY).parquet(target), path, tuple(index), commit)
     return spark.read.parquet(target)
 
 
@@ -127,7 +135,7 @@ def _claims(spark: SparkSession, folder: str) -> dict[int, tuple[int, str | None
 def _largest_id(spark: SparkSession, path: str) -> int:
     """The largest id of the archive; reads the id column only."""
     try:
-        entries = read_entries(spark, path)
+        entries = read_entries(spark, path, deleted=True)  # their ids stay taken
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return 0
@@ -221,6 +229,15 @@ def fold_sessions(events: DataFrame) -> DataFrame:
 
 
 # --- deleting and integrity -------------------------------------------------
+def mark_deleted(ids: DataFrame, path: str, commit: str | None = None) -> None:
+    """Delete the entries ``id`` of an archive for its readers and its index.
+
+    Nothing is rewritten: the ids are noted, and never given to another entry.
+    """
+    target = f"{path}/deleted/commit={commit or uuid.uuid4().hex}"
+    ids.select(F.col("id").cast("bigint")).distinct().write.mode("overwrite").parquet(target)
+
+
 def delete_entries(
     entries: DataFrame, postings: DataFrame, ids: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

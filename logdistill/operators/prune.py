@@ -124,15 +124,16 @@ def prune(
     if not native:
         # A Python UDF inside a lambda is not possible, so each candidate gets a
         # column of its own; the gate keeps texts from Python that need not go.
-        df = with_once(df, "_gated", F.when(gate, raw))
+        # A text that has its summary goes to no further pruner.
+        df = with_once(df, "_left0", F.when(gate, raw))
         for i, p in enumerate(pruners):
-            df = df.withColumn(f"_s{i}", p.compress(F.col("_gated")))
-        candidates = [
-            _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio) for i, p in enumerate(pruners)
-        ]
-        df = with_once(df, "_pick", F.coalesce(*candidates, _nothing())).drop(
-            *[f"_s{i}" for i in range(len(pruners))]
-        )
+            df = df.withColumn(f"_s{i}", p.compress(F.col(f"_left{i}")))
+            df = with_once(df, f"_pick{i}", _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio))
+            df = df.withColumn(
+                f"_left{i + 1}", F.when(F.col(f"_pick{i}").isNull(), F.col(f"_left{i}"))
+            )
+        picks = [F.col(f"_pick{i}") for i in range(len(pruners))]
+        df = df.withColumn("_pick", F.coalesce(*picks, _nothing()))
     else:
         candidates = [
             bind(p.compress(raw), _accept(p.name, raw, ratio))

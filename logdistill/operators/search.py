@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.arrays import bind, runs
 from ..functions.steps import with_once
 from ..functions.stem import MAX_REWRITTEN, porter
-from ..shared import written
+from ..shared import scratch, written
+from ..sources.tables import without_deleted
 
 # --- fixed values -----------------------------------------------------------
 COLUMNS = ("raw_content", "compressed_summary", "entry_type")
@@ -125,8 +127,9 @@ def _stemmed(tagged: Column) -> Column:
     return F.flatten(spread)
 
 
-def _doc_len(toks: Column) -> Column:
-    return F.size(F.filter(toks, lambda t: t != "")).cast("bigint")
+def _doc_len(toks: Column, columns: tuple[str, ...]) -> Column:
+    """Words among the tokens, which hold one gap per column."""
+    return (F.size(toks) - len(columns)).cast("bigint")
 
 
 def build_postings(
@@ -139,7 +142,7 @@ def build_postings(
     both = bind(
         _all_tokens(columns),
         lambda t: F.struct(
-            _doc_len(t).alias("n"), runs(F.array_sort(_stemmed(_tagged(t)))).alias("terms")
+            _doc_len(t, columns).alias("n"), runs(F.array_sort(_stemmed(_tagged(t)))).alias("terms")
         ),
     )
     rows = with_once(entries.select(F.col("id").alias("entry_id"), *columns), "x", both)
@@ -154,23 +157,43 @@ def build_postings(
 
 
 def document_lengths(entries: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    n = bind(_all_tokens(columns), _doc_len)
+    n = _doc_len(_all_tokens(columns), columns)
     return entries.select(F.col("id").alias("entry_id"), n.alias("doc_len"))
 
 
-def write_index(entries: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS) -> None:
+def write_index(
+    entries: DataFrame,
+    path: str,
+    columns: tuple[str, ...] = COLUMNS,
+    commit: str | None = None,
+) -> None:
     """Range-partitioned on (term, entry): a hot term spreads over many files, and
-    the sorted files let a search skip all row groups without its terms."""
+    the sorted files let a search skip all row groups without its terms.
+
+    A commit has folders of its own, so an index grows with its archive; written
+    again, it replaces itself. Without one the whole index is replaced.
+    """
     order = ("term", "entry_id")
-    (
+    part = f"/commit={commit}" if commit else ""
+    with scratch(entries.sparkSession, "index") as folder:
         # Range partitioning samples its input first: written, it is built once.
-        written(build_postings(entries, columns), "postings")
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings")
+        (
+            written(build_postings(entries, columns), "postings", folder)
+            .repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .write.mode("overwrite")
+            .parquet(f"{path}/postings{part}")
+        )
+    document_lengths(entries, columns).write.mode("overwrite").parquet(f"{path}/documents{part}")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and document lengths of an archive without its deleted entries."""
+    postings, documents = (
+        without_deleted(spark.read.schema(schema).parquet(f"{path}/{name}"), path, "entry_id")
+        for name, schema in (("postings", schemas.POSTING), ("documents", schemas.DOCUMENT))
     )
-    document_lengths(entries, columns).write.mode("overwrite").parquet(f"{path}/documents")
+    return postings, documents
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -240,11 +263,12 @@ def _counts_in_entries(
         ]
 
     def whole(t: Column) -> Column:
-        stems = F.transform(
-            F.filter(_tagged(t), lambda x: candidate(x["key"])),
-            lambda x: F.struct(porter(x["key"]).alias("key"), x["pos"].alias("pos")),
+        found = F.transform(
+            t,
+            lambda w, i: F.when(candidate(w), F.struct(porter(w).alias("key"), i.alias("pos"))),
         )
-        return bind(stems, lambda s: F.struct(_doc_len(t).alias("doc_len"), *count(s)))
+        stems = F.filter(found, lambda x: x.isNotNull())
+        return bind(stems, lambda s: F.struct(_doc_len(t, columns).alias("doc_len"), *count(s)))
 
     found = bind(_all_tokens(columns), whole)
     keep = [c for c in ("session_id",) if c in entries.columns]
@@ -362,5 +386,5 @@ def search(
 
 def with_entry(best: DataFrame, entries: DataFrame) -> DataFrame:
     """The entries of a top-k list with their ranks."""
-    # At most ``limit`` rows, so the entries are scanned where they lie.
-    return entries.join(F.broadcast(best), F.col("id") == F.col("entry_id")).drop("entry_id")
+    # Spark broadcasts a short list by itself: the entries are scanned where they lie.
+    return entries.join(best, F.col("id") == F.col("entry_id")).drop("entry_id")

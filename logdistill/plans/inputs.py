@@ -6,7 +6,7 @@ Spark and DuckDB read alike; only a numbered list differs between the two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.steps import with_once
@@ -182,15 +182,22 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs_of(orders: DataFrame) -> DataFrame:
     built = with_once(orders, "raw_content", F.expr(log_text("spark")))
-    return built.select(
+    return built.select(*_log_keys(), "raw_content", F.expr(NEEDLE).alias("needle"))
+
+
+def log_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The logs without their texts, which are not even built."""
+    return _orders(spark, sf).select(*_log_keys())
+
+
+def _log_keys() -> list[Column]:
+    return [
         F.col("o_orderkey").alias("id"),
         F.expr("'cust-' || cast(o_custkey as string)").alias("session_id"),
         F.expr("cast(o_orderkey * 10 as double)").alias("timestamp"),
         F.lit("stdout").alias("entry_type"),
         F.expr(KIND).alias("kind"),
-        "raw_content",
-        F.expr(NEEDLE).alias("needle"),
-    )
+    ]
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:

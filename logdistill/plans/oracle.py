@@ -226,11 +226,13 @@ SQL["sanitized"] = ctes(order_text(inputs.ANSI)) + r"""SELECT id, regexp_replace
     '\x1b[@-Z\\-_]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS clean FROM src"""
 SQL["decoded_output"] = """WITH h AS (SELECT doc_id AS id, text, hex(encode(text)) AS x, strlen(text) // 2 AS n
         FROM documents),
-    c AS (SELECT *, substr(x, 2 * n + 1, 1) IN ('8', '9', 'A', 'B') AS broken,
-        len(list_filter(regexp_extract_all(left(x, 2 * n), '..'), lambda b: left(b, 1) IN ('8', '9', 'A', 'B'))) AS inner_bytes
-        FROM h)
-    SELECT id, 'whole' AS part, length(text) AS n_chars, strlen(text) AS n_bytes FROM c
-    UNION ALL SELECT id, 'half', CASE WHEN broken THEN n ELSE n - inner_bytes END, n FROM c"""
+    c AS (SELECT *, substr(x, 2 * n + 1, 1) IN ('8', '9', 'A', 'B') AS broken FROM h),
+    b AS (SELECT id, array_to_string(list_transform(regexp_extract_all(left(x, 2 * n), '..'), lambda y:
+        chr(CAST(16 * instr('123456789ABCDEF', left(y, 1)) + instr('123456789ABCDEF', right(y, 1)) AS INT))), '') AS latin
+        FROM c WHERE broken)
+    SELECT id, 'whole' AS part, text, strlen(text) AS n_bytes FROM c
+    UNION ALL SELECT id, 'half', latin, n FROM c JOIN b USING (id)
+    UNION ALL SELECT id, 'half', decode(unhex(left(x, 2 * n))), n FROM c WHERE NOT broken"""
 SQL["class_gate"] = ctes(LOGS, SUMMARY) + """SELECT src.id, kind, CASE WHEN k <> 'other' THEN k
     WHEN fl.summary IS NOT NULL THEN 'flood' END AS class
     FROM src JOIN (SELECT id, k FROM kd) USING (id) LEFT JOIN fl USING (id)"""
@@ -322,7 +324,7 @@ SQL["recent_entries"] = ctes(DOCS) + """SELECT session_id, id, rank FROM (SELECT
 SQL["recent_of_one_session"] = ctes(DOCS) + """SELECT session_id, id FROM src WHERE session_id = 'src7'
     ORDER BY ts DESC, id DESC LIMIT 50"""
 TURNS = """turns AS (SELECT 'conv-' || CAST(conv_id AS STRING) AS session_id, turn AS seq,
-    CAST(conv_id % 9 * 100 + turn AS DOUBLE) AS ts, text FROM conversations)"""
+    CAST(conv_id % 9 * 100 + turn AS DOUBLE) AS ts, text, role FROM conversations)"""
 SQL["append_entries"] = ctes(TURNS) + """SELECT session_id, seq,
     1000 + row_number() OVER (ORDER BY ts, session_id, seq) AS id FROM turns"""
 SQL["archive_commits"] = ctes(TURNS) + """SELECT row_number() OVER (ORDER BY ts, session_id, seq) AS id, session_id,
@@ -343,9 +345,6 @@ SQL["session_log"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id, any_value
     max(ts) AS ended_at, coalesce(max_by(src.id, (ts, src.id)), 0)::BIGINT AS total_tokens_saved
     FROM sess LEFT JOIN src USING (session_id) GROUP BY sess.session_id"""
 SQL["delete_entries"] = """SELECT doc_id AS id, source AS session_id FROM documents WHERE NOT contains(text, 'that')"""
-SQL["delete_postings"] = ctes(DOCS, lines()) + f"""SELECT id AS entry_id, count(DISTINCT {strip('line')}) AS n_terms
-    FROM ln WHERE {strip('line')} <> '' AND id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'that'))
-    GROUP BY id"""
 SQL["delete_session_cascade"] = ctes(LOGS, SESSIONS) + """SELECT id, session_id FROM src WHERE session_id NOT IN (
     SELECT session_id FROM sess WHERE ended_at IS NULL)"""
 SQL["fk_orphans"] = ctes(LOGS, SESSIONS) + """SELECT id, session_id FROM src WHERE session_id NOT IN (
@@ -507,6 +506,14 @@ SQL["recall_by_query"] = ranked(queries.search.any_of(queries.search.term("WARNI
     FROM rk JOIN src USING (id) WHERE session_id = {LATEST} ORDER BY rk.rank, id LIMIT 3"""
 SQL["postings"] = ctes(index()) + """SELECT term, id AS entry_id, any_value(doc_len) AS doc_len, count(*) AS tf
     FROM tk JOIN dl USING (id) GROUP BY term, id"""
+SQL["delete_postings"] = SQL["postings"].replace("GROUP BY", """WHERE id NOT IN (
+    SELECT doc_id FROM documents WHERE contains(text, 'that')) GROUP BY""")
+LEFT = f"""{TURNS}, src AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY ts, session_id, seq) AS id,
+    role AS entry_type, text AS raw FROM turns UNION ALL SELECT (SELECT count(*) FROM turns) +
+    row_number() OVER (ORDER BY CAST(doc_id AS DOUBLE), source, doc_id), lang, text FROM documents)
+    WHERE NOT contains(raw, 'that'))"""
+SQL["search_after_delete"] = ranked(queries.SEARCHES["search_any"], LEFT) + """SELECT id AS entry_id,
+    round(rank, 6) AS rank FROM rk"""
 SQL["term_frequencies"] = ctes(index()) + """SELECT term, count(DISTINCT id) AS df, count(*) AS cf
     FROM tk GROUP BY term"""
 SQL["corpus_stats"] = ctes(index()) + "SELECT n_docs, round(avg_len, 6) AS avg_len FROM cs"
@@ -635,6 +642,9 @@ SQL["stream_archive_replay"] = ctes(CHUNKS, GREEDY) + """SELECT row_number() OVE
     FROM (SELECT session_id, seg_no, max(us) AS last_us, string_agg(data, '' ORDER BY us, seq) AS raw_content
     FROM g GROUP BY session_id, seg_no)"""
 
+SQL["stream_archive_logs"] = LOGS_PRUNED + """SELECT row_number() OVER (ORDER BY ts) AS id, session_id,
+    raw AS raw_content, compressed_summary, token_estimate, was_pruned FROM p"""
+
 # --- symbols ---------------------------------------------------------------------------------------------------------
 FILES = f"src AS (SELECT {inputs.PATH} AS id, {inputs.SOURCE} AS raw FROM part)"
 SQL["source_files"] = ctes(FILES, lines()) + """SELECT src.id AS path, 'python' AS language,

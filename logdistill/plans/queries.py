@@ -156,8 +156,7 @@ def decoded_output(spark, sf):
                    F.struct(F.lit("half").alias("part"), half.alias("data")))
     cut = d.select("id", F.explode(both).alias("x")).select("id", "x.*")
     return tables.decode_output(cut).select(
-        "id", "part", F.length("text").cast("bigint").alias("n_chars"),
-        F.octet_length("data").cast("bigint").alias("n_bytes"),
+        "id", "part", "text", F.octet_length("data").cast("bigint").alias("n_bytes")
     )
 
 
@@ -381,7 +380,7 @@ def create_sessions(spark, sf):
 @query
 def ensure_sessions(spark, sf):
     """Every document's source and every customer of an order becomes a session."""
-    new = inputs.logs(spark, sf).select(
+    new = inputs.log_keys(spark, sf).select(
         "session_id", F.col("kind").alias("agent_command"), F.col("timestamp").alias("started_at")
     ).unionByName(
         inputs.documents(spark, sf).select(
@@ -397,7 +396,7 @@ def ensure_sessions(spark, sf):
 
 @query
 def close_sessions(spark, sf):
-    closes = inputs.logs(spark, sf).select(
+    closes = inputs.log_keys(spark, sf).select(
         "session_id", F.col("timestamp").alias("ended_at"), F.col("id").alias("tokens_saved")
     )
     out = archive.close_sessions(inputs.sessions(spark, sf), closes)
@@ -412,7 +411,7 @@ def session_log(spark, sf):
         "session_id", F.lit("open").alias("kind"), F.col("started_at").alias("event_ts"),
         "agent_command", none.cast("bigint").alias("tokens_saved"),
     )
-    closed = inputs.logs(spark, sf).select(
+    closed = inputs.log_keys(spark, sf).select(
         "session_id", F.lit("close").alias("kind"), F.col("timestamp").alias("event_ts"),
         none.cast("string").alias("agent_command"), F.col("id").alias("tokens_saved"),
     )
@@ -433,18 +432,18 @@ def _no_postings(d):
 
 @query
 def delete_postings(spark, sf):
-    """Documents per source left in the index after deleting entries."""
+    """The index after deleting entries."""
     d = inputs.documents(spark, sf)
-    postings = lines.line_frequency(d, ["id"]).withColumnRenamed("id", "entry_id")
-    _, kept = archive.delete_entries(d, postings, d.where(DELETED).select("id"))
-    return kept.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    built = search.build_postings(d, TEXT_COLUMNS)
+    _, kept = archive.delete_entries(d, built, d.where(DELETED).select("id"))
+    return kept.select("term", "entry_id", "doc_len", long(F.col("tf")).alias("tf"))
 
 
 @query
 def delete_session_cascade(spark, sf):
     gone = inputs.sessions(spark, sf).where("ended_at is null").select("session_id")
     kept, _ = archive.delete_session_cascade(
-        inputs.logs(spark, sf), inputs.sessions(spark, sf), gone
+        inputs.log_keys(spark, sf), inputs.sessions(spark, sf), gone
     )
     return kept.select("id", "session_id")
 
@@ -452,7 +451,7 @@ def delete_session_cascade(spark, sf):
 @query
 def fk_orphans(spark, sf):
     open_ = inputs.sessions(spark, sf).where("ended_at is not null")
-    return archive.fk_orphans(inputs.logs(spark, sf), open_).select("id", "session_id")
+    return archive.fk_orphans(inputs.log_keys(spark, sf), open_).select("id", "session_id")
 
 
 # --- recall -----------------------------------------------------------------------------
@@ -483,7 +482,7 @@ def recall_view(spark, sf):
 @query
 def recall_latest_session(spark, sf):
     """The best match from the session that a recall without handle searches."""
-    mine = recall.in_scope(inputs.logs(spark, sf), inputs.sessions(spark, sf))
+    mine = recall.in_scope(inputs.log_keys(spark, sf), inputs.sessions(spark, sf))
     return mine.select("id", "session_id")
 
 
@@ -583,6 +582,18 @@ def search_stored_index(spark, sf):
     return best.select("id", "session_id", F.round("rank", 6).alias("rank"))
 
 
+@query
+def search_after_delete(spark, sf):
+    """An index that grew with two commits of its archive, then lost entries."""
+    path = fresh_path(spark, "archive")
+    d = inputs.documents(spark, sf).withColumn("seq", F.col("id")).drop("id")
+    archive.append_entries(_turns(spark, sf), path, "turns", TEXT_COLUMNS)
+    archive.append_entries(d, path, "documents", TEXT_COLUMNS)
+    archive.mark_deleted(tables.read_entries(spark, path).where(DELETED).select("id"), path)
+    ranked = search.rank_postings(*search.read_index(spark, path), SEARCHES["search_any"])
+    return ranked.select("entry_id", F.round("rank", 6).alias("rank"))
+
+
 @query
 def recall_by_query(spark, sf):
     """The best log about a timeout from the session started last."""
@@ -672,9 +683,14 @@ def global_summary(spark, sf):
 
 
 def _arms(spark, sf):
-    logs = inputs.logs(spark, sf).select("id", "raw_content", "needle")
+    """Every log goes to an archive; arm C pages it back by its handle there."""
+    logs = inputs.logs(spark, sf)
+    path = fresh_path(spark, "archive")
+    archive.append_entries(logs.drop("needle").withColumn("seq", F.col("id")), path)
+    kept = tables.read_entries(spark, path)
+    handles = kept.select((F.col("timestamp") / 10).cast("bigint").alias("name"), "id")
     needles = logs.select(F.col("id").alias("name"), F.col("raw_content").alias("raw"), "needle")
-    return benchmark.recall_arms(needles, logs.select(F.col("id").alias("name"), "raw_content"))
+    return benchmark.recall_arms(needles, recall.recall_by_id(kept, handles).select("name", "raw_content"))
 
 
 @query
@@ -771,18 +787,15 @@ PARTS = 3
 TEN_YEARS = 3_653 * 86_400.0
 
 
-def _chunk_feed(spark, sf):
-    """The chunks and one end mark per session."""
-    rows = inputs.chunks(spark, sf)
-    ends = rows.groupBy("session_id").agg(
+def _ends(rows):
+    """One end mark per session."""
+    return rows.groupBy("session_id").agg(
         (F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts")
     ).select("session_id", "seq", "ts", F.lit(None).cast("binary").alias("data"), F.lit(True).alias("eof"))
-    return rows, ends
 
 
-def _feed(spark, sf):
+def _feed(spark, rows, ends):
     """The feed as a folder a stream can read."""
-    rows, ends = _chunk_feed(spark, sf)
     path = fresh_path(spark, "feed")
     rows.unionByName(ends).write.parquet(path)
     return spark.readStream.schema(schemas.CHUNK).parquet(path)
@@ -795,7 +808,8 @@ def _replayed(spark, sf, policy):
     silence has closed its session by then.
     """
     feed, out, state = (fresh_path(spark, n) for n in ("feed", "segments", "state"))
-    rows, ends = _chunk_feed(spark, sf)
+    rows = inputs.chunks(spark, sf)
+    ends = _ends(rows)
     at = F.unix_micros("ts")
     first, last = rows.agg(F.min(at), F.max(at)).first()
     if first is None:
@@ -829,13 +843,31 @@ def stream_terminal_replay(spark, sf):
 def stream_archive_replay(spark, sf):
     """Segments of the stream, pruned and archived with ids by the sink."""
     path = fresh_path(spark, "archive")
-    cut = stream_segments.segment_stream(_feed(spark, sf), POLICY, forget=TEN_YEARS)
+    rows = inputs.chunks(spark, sf)
+    cut = stream_segments.segment_stream(_feed(spark, rows, _ends(rows)), POLICY, forget=TEN_YEARS)
     sinks.drain(sinks.archive_sink(cut, path, fresh_path(spark, "state")))
     return tables.read_entries(spark, path).select(
         "id", "session_id", "raw_content", "token_estimate", "was_pruned"
     )
 
 
+@query
+def stream_archive_logs(spark, sf):
+    """Logs as segments of a stream, pruned, archived and read back."""
+    path = fresh_path(spark, "archive")
+    at = F.timestamp_seconds(F.col("timestamp") + 1)  # a watermark starts at 0, and 0 is late then
+    key = ("session_id", F.col("id").alias("seq"), at.alias("ts"))
+    rows = inputs.logs(spark, sf).select(
+        *key, F.encode("raw_content", "UTF-8").alias("data"), F.lit(False).alias("eof")
+    )
+    feed = _feed(spark, rows, _ends(inputs.log_keys(spark, sf).select(*key)))
+    cut = stream_segments.segment_stream(feed, PipePolicy(), forget=TEN_YEARS)
+    sinks.drain(sinks.archive_sink(cut, path, fresh_path(spark, "state")))
+    return tables.read_entries(spark, path).select(
+        "id", "session_id", "raw_content", "compressed_summary", "token_estimate", "was_pruned"
+    )
+
+
 @query
 def live_stats_replay(spark, sf):
     """Counters over a stream of the orders' logs."""

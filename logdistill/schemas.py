@@ -16,3 +16,5 @@ SEGMENT = (
     "session_id STRING, seg_no BIGINT, first_ts TIMESTAMP, last_ts TIMESTAMP, "
     "n_chunks BIGINT, n_bytes BIGINT, data BINARY"
 )
+POSTING = "term STRING, entry_id BIGINT, doc_len BIGINT, tf INT, positions ARRAY<INT>"
+DOCUMENT = "entry_id BIGINT, doc_len BIGINT"

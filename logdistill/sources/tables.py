@@ -7,15 +7,32 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import decode_bytes, line_count
+from ..shared import file_names
 
 
-def read_entries(spark: SparkSession, path: str, with_commit: bool = False) -> DataFrame:
-    """The entry table; its schema is fixed, so no file is opened to infer one."""
+def read_entries(
+    spark: SparkSession, path: str, with_commit: bool = False, deleted: bool = False
+) -> DataFrame:
+    """The entry table; its schema is fixed, so no file is opened to infer one.
+
+    Deleted entries are left out unless ``deleted`` asks for them too.
+    """
     schema = schemas.ENTRY + (", commit STRING" if with_commit else "")
     df = spark.read.schema(schema).parquet(f"{path}/entries")
+    if not deleted:
+        df = without_deleted(df, path)
     return df if with_commit else df.select(*[f.split()[0] for f in schemas.ENTRY.split(", ")])
 
 
+def without_deleted(df: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """Rows of an archive's table whose entry ``key`` has not been deleted there."""
+    spark = df.sparkSession
+    if not file_names(spark, f"{path}/deleted"):
+        return df
+    gone = spark.read.schema("id BIGINT").parquet(f"{path}/deleted").distinct()
+    return df.join(gone, df[key] == gone["id"], "left_anti")
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SESSION).parquet(f"{path}/sessions")
 
@@ -52,12 +69,15 @@ def read_source_files(spark: SparkSession, path: str, glob: str = "*.py") -> Dat
     return describe_files(files)
 
 
+#: Partitions to deal the input tables to; unset, they are read as they lie.
+INPUT_PARTITIONS = "spark.logdistill.input.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row work on a table of fewer files than cores.
+    """Deal a table anew if the session asks for it, whatever the table's size.
 
-    On a cluster a table has more splits than cores and is left as it is: the
-    text is never shuffled there.
+    Meant for one machine whose tables are single files. On a cluster a table has
+    many splits: leave ``INPUT_PARTITIONS`` unset and no text is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -57,6 +57,7 @@ def archive_sink(
     pruners: Sequence[P.Pruner] | None = None,
     min_lines: int = MIN_LINES,
     cap: int | None = None,
+    index: Sequence[str] | None = None,
 ) -> DataStreamWriter:
     """Prune and archive every micro-batch.
 
@@ -64,7 +65,8 @@ def archive_sink(
     itself, so each segment is archived exactly once, and streams that share an
     archive keep out of each other's commits. If a pruner fails, the raw texts
     of the batch are archived instead; other faults stop the stream, which
-    repeats the batch when it starts again.
+    repeats the batch when it starts again. ``index`` names the columns whose
+    words go to the search index along with the batch.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -72,12 +74,12 @@ def archive_sink(
         commit = f"{_query_id(batch.sparkSession, checkpoint)}-{batch_id:012d}"
         try:
             pruned = P.prune(entries, pruners, min_lines)
-            append_entries(P.archived(pruned, cap), path, commit)
+            append_entries(P.archived(pruned, cap), path, commit, index)
         except PySparkException as e:
             if not _pruner_failed(e):
                 raise
             log.exception("batch %s is archived without pruning", batch_id)
-            append_entries(P.archived(unpruned(entries), cap), path, commit)
+            append_entries(P.archived(unpruned(entries), cap), path, commit, index)
 
     return segments.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 

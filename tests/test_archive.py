@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logdistill import schemas
 from logdistill.operators import archive as A
+from logdistill.operators import search
 from logdistill.operators import commands, lines, recall
 from logdistill.shared import create_once, shared_dir
 from logdistill.sources.tables import read_entries, read_session_log, read_sessions
@@ -171,6 +172,35 @@ def test_deletes(spark, entries, sessions):
     assert {r.id for r in e.collect()} == {3} and {r.session_id for r in s.collect()} == {"new", "tie"}
 
 
+def test_index_follows_appends_and_deletes(spark, tmp_path):
+    path = str(tmp_path)
+    columns = ("raw_content", "compressed_summary")
+    schema = "session_id string, seq long, timestamp double, raw_content string, compressed_summary string"
+
+    def append(commit, *texts):
+        rows = [("s", i, float(i), t, "") for i, t in enumerate(texts)]
+        A.append_entries(spark.createDataFrame(rows, schema), path, commit, columns)
+
+    def found(word):
+        ranked = search.rank_postings(*search.read_index(spark, path), search.term(word))
+        return {r.entry_id: round(r["rank"], 9) for r in ranked.collect()}
+
+    def direct(word):
+        ranked = search.rank_entries(read_entries(spark, path), search.term(word), columns)
+        return {r.entry_id: round(r["rank"], 9) for r in ranked.collect()}
+
+    append("one", "lost needle", "hay", "more hay and hay")
+    append("two", "needle", "straw")
+    append("two", "needle", "straw")  # again: it replaces itself
+    assert set(found("needle")) == {1, 4} and found("needle") == direct("needle")
+    A.mark_deleted(spark.createDataFrame([(4,), (5,), (99,)], "id long"), path)
+    A.mark_deleted(read_entries(spark, path).where("raw_content = 'hay'").select("id"), path)
+    assert {r.id for r in read_entries(spark, path).collect()} == {1, 3}
+    assert set(found("needle")) == {1} and found("hay") == direct("hay") and set(found("hay")) == {3}
+    append("three", "new")  # a deleted id is not given again
+    assert {r.id for r in read_entries(spark, path).collect()} == {1, 3, 6}
+
+
 def test_lists(entries, sessions):
     assert [r.session_id for r in A.list_sessions(sessions).collect()] == ["new", "tie", "old"]
     assert [r.id for r in A.recent_entries(entries, "old", 1).collect()] == [2]

@@ -133,6 +133,21 @@ def test_pruner_chain_goes_on_after_a_weak_summary(spark):
     assert str(Shout()).startswith("shout v0.1.0")
 
 
+def test_python_pruners_stop_at_the_first_hit(spark, tmp_path):
+    def noted(t):
+        with open(tmp_path / "seen", "a") as f:
+            f.write(t[0])
+        return True
+
+    texts = [(i, f"{mark}\n" + "x\n" * 40) for i, mark in enumerate("aab")]
+    df = spark.createDataFrame(texts, "id long, raw_content string").coalesce(1)
+    first = P.python_pruner(lambda t: t[0] == "a", lambda t: "short", "first")
+    second = P.python_pruner(noted, lambda t: "last", "second")
+    got = {r.id: r.pruner_name for r in P.prune(df, [first, second]).collect()}
+    assert got == {0: "first", 1: "first", 2: "second"}
+    assert (tmp_path / "seen").read_text() == "b"
+
+
 def test_injection(spark):
     df = spark.createDataFrame(
         [(42, "s", "s" * 8, 80, True), (None, "s", "s" * 8, 80, True), (7, "raw", "", 3, False)],

@@ -23,6 +23,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key(id_: str = "doc_id", text: str = "text") -> Column:
+    """32 bytes that tell rows apart by id and text, null ids too; exact copies share them."""
+    id_text = F.coalesce(F.col(id_).cast("bigint").cast("string"), F.lit("null"))
+    return F.unhex(F.sha2(F.concat(id_text, F.lit(":"), text_of(text)), 256))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -4,11 +4,13 @@ A text becomes a sequence of tokens: words in lower case without outer
 punctuation, with numbers, units after a number, and names (capitalised inside
 a sentence) replaced by typed placeholders. Windows of ``WINDOW`` tokens are
 hashed; documents and benchmark items that share a window's template are joined
-on the hash. A re-parameterised question fills the slots differently but
-consistently: slots that were equal stay equal and different ones stay
+on the hash. A re-parameterised question fills the slots differently but as a
+function of the item's: slots that were equal stay equal and different ones stay
 different, of the same types. That equality pattern is part of the join key, so
 inconsistent windows never meet, and item families that share a template do not
-multiply rows. A second form without names makes the match blind to case.
+multiply rows. There are three ``FORMS``: names as slots inside sentences; names
+as slots wherever they stand, also at the start of a sentence; and names as
+words, which makes the match blind to case.
 
 Items shorter than a window are matched whole, down to ``SHORTEST`` tokens.
 Windows need ``MIN_LITERAL`` tokens that are not slots, or half of a short one.
@@ -45,7 +47,8 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/-]*[%$€£]?(?:[A-Za-z°/]{1,4})?$")
 _EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
-LITERAL, NUMBER, UNIT, NAME, EMPTY = range(5)
+LITERAL, NUMBER, UNIT, NAME, EMPTY, FIRST = range(6)  # FIRST: a name that opens a sentence
+INSIDE, ANYWHERE, BLIND = FORMS = range(3)
 
 
 class Vocabulary(dict):
@@ -85,7 +88,7 @@ _SLOT = {NUMBER: 0x4E554D31, UNIT: 0x554E4954, NAME: 0x4E414D45}
 
 
 class Templates:
-    """Tokens of ``texts`` in both forms, with the text each belongs to."""
+    """Tokens of ``texts`` with their kind and the text each belongs to."""
 
     def __init__(self, texts: list[str], vocabulary: Vocabulary):
         if len(vocabulary) > CACHE_WORDS:
@@ -103,23 +106,28 @@ class Templates:
         first[1:] = stops[:-1] | (doc[1:] != doc[:-1])
         after = np.zeros(len(at), bool)
         after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
-        kind = np.where((kind == NAME) & first, LITERAL, kind)
+        kind = np.where((kind == NAME) & first, FIRST, kind)
         kind = np.where(after & unit & (kind != NUMBER) & (kind != EMPTY), UNIT, kind)
         full = np.flatnonzero(kind != EMPTY)
         self.doc, self.kind, self.literal = doc[full], kind[full], literal[full]
 
-    def windows(self, n: int, names: bool, known: np.ndarray | None):
+    def kinds(self, form: int) -> np.ndarray:
+        """What each token is in a form: of names, ``FIRST`` ones become words or names."""
+        kind = np.where(self.kind == FIRST, NAME if form == ANYWHERE else LITERAL, self.kind)
+        return np.where(kind == NAME, LITERAL, kind) if form == BLIND else kind
+
+    def windows(self, n: int, form: int, known: np.ndarray | None):
         """Start, template hash of the windows of ``n`` tokens, those in ``known`` only if given."""
-        kind = self.kind if names else np.where(self.kind == NAME, LITERAL, self.kind)
+        kind = self.kinds(form)
         token = self.literal.copy()
         for k, mark in _SLOT.items():
             token[kind == k] = mark
         count = max(len(token) - n + 1, 0)
-        h = np.full(count, n * 2 + names, np.uint64)
-        literals = np.zeros(count, np.int64)
+        h = np.full(count, n * len(FORMS) + form, np.uint64)
         for i in range(n):
             h = h * STEP + token[i : i + count]
-            literals += kind[i : i + count] == LITERAL
+        before = np.r_[0, np.cumsum(kind == LITERAL)]
+        literals = before[n : n + count] - before[:count]
         h = mix(h)
         fit = (literals >= min(MIN_LITERAL, -(-n // 2))) & (self.doc[:count] == self.doc[n - 1 :][:count])
         at = np.flatnonzero(fit)
@@ -162,8 +170,8 @@ def _scan(df: DataFrame, lengths: list[int], items: bool = False, shared=None) -
                 found: dict[tuple, int] = {}
                 sizes = np.minimum(np.bincount(t.doc, minlength=end - at), WINDOW)
                 for n in lengths:
-                    for names in (False, True):
-                        start, h, kind = t.windows(n, names, index)
+                    for form in FORMS:
+                        start, h, kind = t.windows(n, form, index)
                         if items:
                             own = sizes[t.doc[start]] == n
                             start, h = start[own], h[own]
@@ -205,7 +213,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT) ->
     texts = packed(docs, id=F.col("doc_id").cast("bigint"), text=text_of()).select("id", "text")
     lengths = _lengths(items)
     index = written(
-        _scan(items, lengths, items=True).select("h", "pattern", F.col("id").alias("item_id")).distinct(),
+        _scan(items, lengths, items=True)
+        .select("h", "pattern", F.col("id").alias("item_id")).distinct(),
         "templates",
     )
     size = index.select("h").distinct().count()

@@ -5,10 +5,9 @@ punctuation, with numbers, units after a number, and names (capitalised inside
 a sentence) replaced by typed placeholders. Windows of ``WINDOW`` tokens are
 hashed; documents and benchmark items that share a window's template are joined
 on the hash. A re-parameterised question fills the slots differently but as a
-function of the item's: slots that were equal stay equal and different ones stay
-different, of the same types. That equality pattern is part of the join key, so
-inconsistent windows never meet, and item families that share a template do not
-multiply rows. There are three ``FORMS``: names as slots inside sentences; names
+function of the item's: slots that were equal stay equal, of the same types;
+different ones may become equal by chance. Which slots are equal is a pattern
+next to the hash, checked after the join on the hash. There are three ``FORMS``: names as slots inside sentences; names
 as slots wherever they stand, also at the start of a sentence; and names as
 words, which makes the match blind to case.
 
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -206,6 +205,13 @@ def _lengths(items: DataFrame) -> list[int]:
     return sorted(r["n"] for r in rows)  # nine values at most
 
 
+def _follows(asked: Column, pattern: Column) -> Column:
+    """Whether slots that are equal in the item are equal in the document."""
+    a, p = F.split(asked, ","), F.split(pattern, ",")
+    mapped = F.size(F.array_distinct(F.arrays_zip(a.alias("a"), p.alias("p")))) == F.size(F.array_distinct(a))
+    return (asked == pattern) | mapped
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT) -> DataFrame:
     """``doc_id``, ``item_id`` and ``n`` windows in common with consistent slots."""
     spark = docs.sparkSession
@@ -214,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT) ->
     lengths = _lengths(items)
     index = written(
         _scan(items, lengths, items=True)
-        .select("h", "pattern", F.col("id").alias("item_id")).distinct(),
+        .select("h", F.col("pattern").alias("asked"), F.col("id").alias("item_id")).distinct(),
         "templates",
     )
     size = index.select("h").distinct().count()
@@ -224,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT) ->
         shared = spark.sparkContext.broadcast(np.sort(rows.view(np.uint64)))
     hits = _scan(texts, lengths, shared=shared)
     return (
-        hits.join(index, ["h", "pattern"])
+        hits.join(index, "h").where(_follows(F.col("asked"), F.col("pattern")))
         .groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.sum("n").alias("n"))
     )
 

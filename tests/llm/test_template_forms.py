@@ -39,3 +39,14 @@ def hits(spark):
 
 def test_names_that_open_sentences(hits):
     assert {(10, 1), (12, 8)} <= hits and (11, 8) not in hits
+
+
+def test_different_slots_may_become_equal(hits):
+    assert {(20, 2), (21, 2), (22, 2)} <= hits
+    assert (20, 7) in hits
+
+
+def test_equal_slots_stay_equal(spark):
+    item = "the red train went 3 km and the old man went 3 km to market"
+    got, _, _ = verdicts(spark, [(1, item.replace("3 km to", "4 km to"), "", ""), (2, item.replace("3", "9"), "", "")], [(1, item)])
+    assert got == {2}

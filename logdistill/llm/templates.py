@@ -7,12 +7,14 @@ hashed; documents and benchmark items that share a window's template are joined
 on the hash. A re-parameterised question fills the slots differently but as a
 function of the item's: slots that were equal stay equal, of the same types;
 different ones may become equal by chance. Which slots are equal is a pattern
-next to the hash, checked after the join on the hash. There are three ``FORMS``: names as slots inside sentences; names
-as slots wherever they stand, also at the start of a sentence; and names as
-words, which makes the match blind to case.
-
-Items shorter than a window are matched whole, down to ``SHORTEST`` tokens.
-Windows need ``MIN_LITERAL`` tokens that are not slots, or half of a short one.
+next to the hash, checked after the join on the hash. There are four ``FORMS``: names as slots
+inside sentences; names as slots wherever they stand, also at the start of a
+sentence; names as words, which makes the match blind to case; and exact, where
+every token stands for itself and no slot exists.
+
+Items shorter than a window are matched whole, down to ``SHORTEST`` tokens, or
+to one token in the exact form. Windows of the other forms need ``MIN_LITERAL``
+tokens that are not slots, or half of a short one; exact windows need none.
 Null texts are empty; null ids travel as they are; rows that repeat an id are
 one document in the report.
 """
@@ -47,7 +49,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/-]*[%$€£]?(?:[A-Za-z°/]{1,4})?$")
 _EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 LITERAL, NUMBER, UNIT, NAME, EMPTY, FIRST = range(6)  # FIRST: a name that opens a sentence
-INSIDE, ANYWHERE, BLIND = FORMS = range(3)
+INSIDE, ANYWHERE, BLIND, EXACT = FORMS = range(4)
 
 
 class Vocabulary(dict):
@@ -62,6 +64,7 @@ class Vocabulary(dict):
         self.kind: list[int] = []
         self.unit: list[bool] = []
         self.stops: list[bool] = []
+        self.closes: list[bool] = []  # no unit is read after it
         self.value: list[int] = []
 
     def __missing__(self, word: str) -> int:
@@ -80,6 +83,7 @@ class Vocabulary(dict):
         self.value.append(self.literal[-1])
         self.unit.append(low in UNITS)
         self.stops.append(word[-1] in ".!?:;…\"”»" or not core)
+        self.closes.append(self.stops[-1] or word[-1] in ")]")
         return at
 
 
@@ -99,12 +103,13 @@ class Templates:
         )
         kind = np.array(vocabulary.kind, np.int8)[at] if len(at) else np.zeros(0, np.int8)
         stops = np.array(vocabulary.stops, bool)[at] if len(at) else np.zeros(0, bool)
+        closes = np.array(vocabulary.closes, bool)[at] if len(at) else np.zeros(0, bool)
         unit = np.array(vocabulary.unit, bool)[at] if len(at) else np.zeros(0, bool)
         literal = np.array(vocabulary.literal, np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
         first = np.ones(len(at), bool)  # of its sentence
         first[1:] = stops[:-1] | (doc[1:] != doc[:-1])
         after = np.zeros(len(at), bool)
-        after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
+        after[1:] = (kind[:-1] == NUMBER) & ~closes[:-1] & (doc[1:] == doc[:-1])
         kind = np.where((kind == NAME) & first, FIRST, kind)
         kind = np.where(after & unit & (kind != NUMBER) & (kind != EMPTY), UNIT, kind)
         full = np.flatnonzero(kind != EMPTY)
@@ -112,6 +117,8 @@ class Templates:
 
     def kinds(self, form: int) -> np.ndarray:
         """What each token is in a form: of names, ``FIRST`` ones become words or names."""
+        if form == EXACT:
+            return np.full(len(self.kind), LITERAL, self.kind.dtype)
         kind = np.where(self.kind == FIRST, NAME if form == ANYWHERE else LITERAL, self.kind)
         return np.where(kind == NAME, LITERAL, kind) if form == BLIND else kind
 
@@ -169,7 +176,7 @@ def _scan(df: DataFrame, lengths: list[int], items: bool = False, shared=None) -
                 found: dict[tuple, int] = {}
                 sizes = np.minimum(np.bincount(t.doc, minlength=end - at), WINDOW)
                 for n in lengths:
-                    for form in FORMS:
+                    for form in FORMS if n >= SHORTEST else (EXACT,):
                         start, h, kind = t.windows(n, form, index)
                         if items:
                             own = sizes[t.doc[start]] == n
@@ -201,8 +208,8 @@ def _lengths(items: DataFrame) -> list[int]:
             found |= set(np.minimum(sizes, WINDOW).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
 
-    rows = items.mapInArrow(run, "n int").where(F.col("n") >= SHORTEST).distinct().collect()
-    return sorted(r["n"] for r in rows)  # nine values at most
+    rows = items.mapInArrow(run, "n int").where("n > 0").distinct().collect()
+    return sorted(r["n"] for r in rows)  # thirteen values at most
 
 
 def _follows(asked: Column, pattern: Column) -> Column:

@@ -50,3 +50,13 @@ def test_equal_slots_stay_equal(spark):
     item = "the red train went 3 km and the old man went 3 km to market"
     got, _, _ = verdicts(spark, [(1, item.replace("3 km to", "4 km to"), "", ""), (2, item.replace("3", "9"), "", "")], [(1, item)])
     assert got == {2}
+
+
+def test_exact_copies(hits):
+    assert (30, 3) in hits and (31, 3) not in hits
+    assert (40, 4) in hits and (41, 4) not in hits
+    assert (60, 6) in hits
+
+
+def test_no_unit_across_a_stop(hits):
+    assert {(50, 5), (51, 5), (52, 5)} <= hits

@@ -6,7 +6,7 @@ the others by weight. The mix takes whole passes of a source, then fills the
 remaining budget from its table of lengths: the same part of every length, and
 the rest by dynamic programming over lengths with their counts (a bounded
 knapsack), so the taken words meet the budget. Which documents of a length are
-taken follows a seeded hash of their id.
+taken follows a seeded hash of their id, or of their text if that is null.
 
 Null texts have no words; a null source is a source, ordered last. Rows that
 repeat an id are separate documents. Nothing per document meets in one task:
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .common import WORD, packed, text_of
+from .common import WORD, packed, row_key, text_of
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -30,12 +30,15 @@ DP_WORDS = 65_536  # budget left to dynamic programming; larger rests shrink by
 BUCKET_ROWS = 4_096
 
 
+def _src() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``src`` (a key that is never null), ``size``."""
-    d = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=text_of())
-    src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    """``doc_id``, ``source``, ``src`` (a key that is never null), ``row_key``, ``size``."""
+    d = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=text_of(), row_key=row_key())
     return d.select(
-        "doc_id", "source", src.alias("src"),
+        "doc_id", "source", _src().alias("src"), "row_key",
         F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("size"),
     )
 
@@ -136,13 +139,15 @@ def plan(lengths: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 def mixed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED
 ) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` per document."""
+    """``doc_id``, ``src``, ``row_key``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` per document."""
     base = written(sized(docs), "sizes")
     lengths = written(
         base.groupBy("src", "source", "size").agg(F.count("*").alias("n")), "lengths"
     )
     steps = written(plan(lengths, weights, most), "mix-plan")
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "row_key")).otherwise(
+        F.xxhash64(F.lit(seed), "doc_id")
+    )
     buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))
     place = F.floor(F.pmod(F.col("key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * buckets)
     d = base.withColumn("key", key).join(steps, ["src", "size"]).withColumn("bucket", place)
@@ -152,33 +157,37 @@ def mixed(
     offsets = counts.select(
         "src", "size", "bucket", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("ahead")
     )
-    rank = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("key", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("key", "doc_id", "row_key"))
     ranked = some.withColumn("rank", rank).join(offsets, ["src", "size", "bucket"])
     picked = ranked.withColumn("once", (F.col("ahead") + F.col("rank") <= F.col("extra")).cast("bigint"))
     even = d.where("extra = 0 or extra = n").withColumn("once", (F.col("extra") > 0).cast("bigint"))
-    columns = ["doc_id", "size", "source_size", "target", "passes", "once"]
+    columns = ["doc_id", "src", "row_key", "size", "source_size", "target", "passes", "once"]
     out = picked.select(*columns).unionByName(even.select(*columns))
     copies: Column = F.col("passes") + F.col("once")
     return out.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"),
+        "doc_id", "src", "row_key", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return mixed(docs)
+    return mixed(docs).drop("src", "row_key")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each with its number of ``copies``, by id.
+    """The documents of the mix, each with its number of ``copies``, by id and text.
 
-    Rows that repeat an id all get the least of their copies.
+    Rows that share source, id and text share their copies as evenly as can be.
     """
-    chosen = mixed(docs, **options).groupBy("doc_id").agg(
-        F.min("copies").alias("copies"), F.first("size").alias("size"), F.first("target").alias("target")
+    chosen = mixed(docs, **options).groupBy("src", "row_key").agg(
+        F.sum("copies").alias("total"), F.count("*").alias("m"),
+        F.first("size").alias("size"), F.first("target").alias("target"),
     )
-    d = packed(docs, id=F.col("doc_id"))
-    d = d.join(chosen, d["id"].eqNullSafe(chosen["doc_id"])).where("copies > 0")
+    d = packed(docs, src=_src(), row_key=row_key()).join(chosen, ["src", "row_key"])
+    place = F.row_number().over(Window.partitionBy("src", "row_key").orderBy(F.lit(1)))
+    more_ = F.when(place <= F.col("total") % F.col("m"), 1).otherwise(0)
+    shared = (F.floor(F.col("total") / F.col("m")) + F.when(F.col("m") > 1, more_).otherwise(0)).cast("bigint")
+    d = d.withColumn("copies", shared).where("copies > 0")
     names = {f.lower() for f in docs.columns}
     more = [F.col(c) for c in ("copies", "size", "target") if c not in names]
     return d.select("row.*", *more)

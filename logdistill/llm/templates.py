@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .common import packed, text_of
+from .common import packed, row_key, text_of
 from .wordhash import STEP, mix
 
 WINDOW, SHORTEST, MIN_LITERAL = 13, 5, 6
@@ -153,7 +153,7 @@ class Templates:
         return ",".join(out)
 
 
-HITS = "id bigint, h bigint, pattern string, n bigint"
+HITS = "id {}, h bigint, pattern string, n bigint"
 
 
 def _scan(df: DataFrame, lengths: list[int], items: bool = False, shared=None) -> DataFrame:
@@ -187,14 +187,14 @@ def _scan(df: DataFrame, lengths: list[int], items: bool = False, shared=None) -
                 rows = list(found)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[0] for r in rows], batch["id"].type), pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.string()), pa.array(list(found.values()), pa.int64()),
                     ],
                     names=["id", "h", "pattern", "n"],
                 )
                 at, size = end, 0
 
-    return df.mapInArrow(run, HITS)
+    return df.mapInArrow(run, HITS.format(df.schema["id"].dataType.simpleString()))
 
 
 def _lengths(items: DataFrame) -> list[int]:
@@ -219,11 +219,14 @@ def _follows(asked: Column, pattern: Column) -> Column:
     return (asked == pattern) | mapped
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT) -> DataFrame:
-    """``doc_id``, ``item_id`` and ``n`` windows in common with consistent slots."""
+def matches(
+    docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_LIMIT, by: Column | None = None
+) -> DataFrame:
+    """``doc_id`` (or the key ``by``), ``item_id`` and ``n`` windows in common with consistent slots."""
+    by = F.col("doc_id").cast("bigint") if by is None else by
     spark = docs.sparkSession
     items = packed(benchmark, id=F.col("item_id").cast("bigint"), text=text_of()).select("id", "text")
-    texts = packed(docs, id=F.col("doc_id").cast("bigint"), text=text_of()).select("id", "text")
+    texts = packed(docs, id=by, text=text_of()).select("id", "text")
     lengths = _lengths(items)
     index = written(
         _scan(items, lengths, items=True)
@@ -262,7 +265,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without benchmark templates, with their columns as they were."""
-    found = written(contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    d = packed(docs, id=F.col("doc_id").cast("bigint"))
-    return d.join(found, d["id"].eqNullSafe(found["doc_id"]), "left_anti").select("row.*")
+    """The documents without benchmark templates, with their columns as they were.
+
+    Rows that repeat an id are one document; those with a null id are one each.
+    """
+    key = F.when(F.col("doc_id").isNull(), row_key()).otherwise(
+        F.encode(F.col("doc_id").cast("bigint").cast("string"), "UTF-8")
+    )
+    found = written(matches(docs, benchmark, by=key).select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return packed(docs, key=key).join(found, "key", "left_anti").select("row.*")

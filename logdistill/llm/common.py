@@ -29,6 +29,12 @@ def row_key(id_: str = "doc_id", text: str = "text") -> Column:
     return F.unhex(F.sha2(F.concat(id_text, F.lit(":"), text_of(text)), 256))
 
 
+def other_columns(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Column:
+    """What a row holds besides id and text, as JSON: orders rows that agree in both."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_, text)]
+    return F.to_json(F.struct(*rest)) if rest else F.lit("")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
+from . import mixing, periods, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -75,3 +75,8 @@ def op4_benchmark_templates(spark, sf):
 @query
 def op2_pitman_yor_scores(spark, sf):
     return pyp.scores(table(spark, sf, "documents"))
+
+
+@query
+def op13_periodic_runs(spark, sf):
+    return periods.report(periods.looped(table(spark, sf, "documents")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..shared import written
-from .common import packed, text_of
+from .common import other_columns, packed, row_key, text_of
 from .graph import components
 
 SHINGLE, SEED, RADIUS, PARTS, CHUNK = 3, 42, 3, 4, 4_096
@@ -60,18 +60,25 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def _printed(texts: DataFrame) -> DataFrame:
+    """The other columns of a table with ``text``, and ``fp``, its fingerprint as a signed long."""
+    names = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.encode()) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
+                [*[batch[c] for c in names], pa.array(prints.view(np.int64))], names=[*names, "fp"]
             )
 
-    d = packed(docs, doc_id=F.col("doc_id").cast("bigint"), text=text_of()).select("doc_id", "text")
-    return d.mapInArrow(run, "doc_id bigint, fp bigint")
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
+    return texts.mapInArrow(run, f"{schema}, fp bigint")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``fp``."""
+    d = packed(docs, doc_id=F.col("doc_id").cast("bigint"), text=text_of())
+    return _printed(d.select("doc_id", "text"))
 
 
 # --- Parts and thresholds ------------------------------------------------------
@@ -336,10 +343,22 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document per group, that with the least id, with its columns as they were."""
-    found = written(grouped(docs, **options), "simhash-groups")
-    stay = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    d = packed(docs, id=F.col("doc_id").cast("bigint"))
-    kept = d.join(stay, d["id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["id"]).select("row.*")
+def deduplicated(
+    docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, chunk: int = CHUNK
+) -> DataFrame:
+    """One row per group with its columns as they were: that with the least id, a null id last.
+
+    Rows are known by all they hold, so null and repeated ids lose nothing but near
+    copies; ties in the id go to the least hash of id and text, then to the other
+    columns as JSON. An empty table stays empty; extra columns may have any name.
+    """
+    d = packed(docs, doc_id=F.col("doc_id").cast("bigint"), text=text_of(), key=row_key(), tie=other_columns(docs))
+    found = written(_printed(d.select("doc_id", "key", "tie", "text")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "tie")
+    nodes = written(found.groupBy("fp").agg(F.min(order).alias("first")), "simhash-row-nodes")
+    label = components(links(nodes, radius, parts, chunk), "simhash-row-groups")
+    of = nodes.join(label, nodes["fp"] == label["node"], "left")
+    first = of.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    stay = written(first.select("first.key", "first.tie"), "simhash-kept")
+    kept = d.select("row", "key", "tie").join(stay, ["key", "tie"], "left_semi")
+    return kept.dropDuplicates(["key", "tie"]).select("row.*")  # these are equal rows

@@ -267,10 +267,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark templates, with their columns as they were.
 
-    Rows that repeat an id are one document; those with a null id are one each.
+    Rows are known by id and text, so a clean row stays whatever other rows its id has.
     """
-    key = F.when(F.col("doc_id").isNull(), row_key()).otherwise(
-        F.encode(F.col("doc_id").cast("bigint").cast("string"), "UTF-8")
+    found = written(
+        matches(docs, benchmark, by=row_key()).select(F.col("doc_id").alias("key")).distinct(), "contaminated"
     )
-    found = written(matches(docs, benchmark, by=key).select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return packed(docs, key=key).join(found, "key", "left_anti").select("row.*")
+    return packed(docs, key=row_key()).join(found, "key", "left_anti").select("row.*")

@@ -3,16 +3,16 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which ``run`` writes as Parquet to the shared folder and
 reads again as the next one's documents. All but the last return the columns of
-``documents``. Null texts are junk to the first stage; a row is known
-by id and text, so null and repeated ids lose nothing but near copies; only to the
-third are rows that repeat an id one document. Extra columns are carried along.
+``documents``. Null texts are junk to the first stage; a row is known by all it
+holds, so null and repeated ids lose nothing but near copies. Extra columns are
+carried along, empty tables stay empty, and texts are read whole however long.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import mixing, near, quality, secrets, templates
+from logdistill.llm import mixing, quality, secrets, simhash, templates
 from logdistill.shared import written
 
 #: Fingerprints and the mix are beyond SQL; tests/llm holds the rows against brute force.
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies: five words, 0.8 alike."""
-    return near.deduplicated(docs)
+    """Keeps one document, that with the least id, of each group of fingerprints 3 bits apart or less."""
+    return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

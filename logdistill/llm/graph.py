@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from ..shared import written
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    """For each ``a`` the least of itself and the ``b`` it is linked to."""
-    return links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+#: Nodes with this share of all edges are hubs: twice as many of them at most.
+HUB_SHARE = 400
+
+
+def _with_lowest(links: DataFrame, n_edges: int) -> DataFrame:
+    """Each link with ``low``, the least of ``a`` and all it is linked to.
+
+    Links of hubs stay where they are: a hub has more than one in ``HUB_SHARE`` of
+    ``n_edges``, so there are at most a few hundred, which are broadcast.
+    """
+    lowest = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count("*").alias("n"))
+    limit = max(n_edges // HUB_SHARE, 8)
+    hubs = F.broadcast(lowest.where(F.col("n") > limit).select("a", "low"))
+    rest = lowest.where(F.col("n") <= limit).select("a", "low")
+    near = links.join(hubs, "a")
+    far = links.join(hubs.select("a"), "a", "left_anti").join(rest, "a")
+    return near.unionByName(far)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -32,11 +46,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while mark[0]:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (
-            both.join(_lowest(both), "a").where("b > a and b <> low")
+            _with_lowest(both, 2 * mark[0]).where("b > a and b <> low")
             .select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         )
         small = (
-            large.join(_lowest(large), "a")
+            _with_lowest(large, 2 * mark[0])
             .select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e"))
             .select(F.col("e.b").alias("a"), F.col("e.low").alias("b")).where("a <> b").distinct()
         )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import mixing, periods, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
+from . import minhash, mixing, periods, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -80,3 +80,8 @@ def op2_pitman_yor_scores(spark, sf):
 @query
 def op13_periodic_runs(spark, sf):
     return periods.report(periods.looped(table(spark, sf, "documents")))
+
+
+@query
+def op12_minhash_dedup(spark, sf):
+    return minhash.report(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import fresh_path
-from . import minhash, mixing, periods, pyp, quality, repeats, secrets, simhash, templates, tokens, urls, warc
+from . import minhash, mixing, periods, pyp, quality, repeats, secrets, simhash, spelling, templates, tokens, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -85,3 +85,8 @@ def op13_periodic_runs(spark, sf):
 @query
 def op12_minhash_dedup(spark, sf):
     return minhash.report(table(spark, sf, "documents"))
+
+
+@query
+def op11_spelling_variants(spark, sf):
+    return spelling.report(table(spark, sf, "documents"))

@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from ..shared import written
 
 
-#: Nodes with this share of all edges are hubs: twice as many of them at most.
-HUB_SHARE = 400
+#: A hub has more than one in so many of all links, and more than so many.
+HUB_SHARE, HUB_LEAST = 400, 1_000
 
 
-def _with_lowest(links: DataFrame, n_edges: int) -> DataFrame:
-    """Each link with ``low``, the least of ``a`` and all it is linked to.
+def _with_lowest(links: DataFrame, n_links: int) -> DataFrame:
+    """Each of ``n_links`` links (or fewer) with ``low``, the least of ``a`` and all it is linked to.
 
-    Links of hubs stay where they are: a hub has more than one in ``HUB_SHARE`` of
-    ``n_edges``, so there are at most a few hundred, which are broadcast.
+    Links of hubs stay where they are and hubs are broadcast: there are fewer than
+    ``HUB_SHARE`` of them, and none at all in a small table.
     """
     lowest = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count("*").alias("n"))
-    limit = max(n_edges // HUB_SHARE, 8)
+    limit = max(n_links // HUB_SHARE, HUB_LEAST)
+    if n_links <= limit:
+        return links.join(lowest.select("a", "low"), "a")
     hubs = F.broadcast(lowest.where(F.col("n") > limit).select("a", "low"))
     rest = lowest.where(F.col("n") <= limit).select("a", "low")
-    near = links.join(hubs, "a")
-    far = links.join(hubs.select("a"), "a", "left_anti").join(rest, "a")
-    return near.unionByName(far)
+    marked = links.join(hubs, "a", "left")
+    near = marked.where("low is not null")
+    return near.unionByName(marked.where("low is null").drop("low").join(rest, "a"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

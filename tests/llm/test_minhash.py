@@ -154,6 +154,7 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("share", [2, 400])
 def test_components_with_hubs(spark, monkeypatch, share):
     monkeypatch.setattr(graph, "HUB_SHARE", share)
+    monkeypatch.setattr(graph, "HUB_LEAST", 8 if share > 2 else 10**9)
     rng = random.Random(9)
     edges = [(1000, i) for i in range(300)] + [(rng.randrange(300, 999), 2000 + rng.randrange(400)) for _ in range(300)]
     edges += [(i, 5) for i in range(5000, 5200)] + [(i, i + 1) for i in range(6000, 6060)] + [(7, 7)]

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,9 +117,9 @@ def test_idle_sessions_leave_the_state(spark, tmp_path):
     for hour in range(3):
         names = [f"h{hour}-{i}" for i in range(10)]
         replay.feed([(s, 0, START + timedelta(hours=hour), b"x\xe2", False) for s in names])
-        assert replay.kept == 10
+        assert replay.kept == 20  # a row and a list of waiting chunks each
     got = replay.feed([("end", 0, START + timedelta(hours=9), b"z", False)])
-    assert replay.kept == 1
+    assert replay.kept == 2
     # the unfinished character goes out as its session is forgotten
     assert got[("h0-0", 1)] == b"x" and got[("h0-0", 2)] == b"\xe2" and len(got) == 60
 
@@ -191,6 +192,73 @@ def test_terminal_rule(spark, tmp_path):
     assert by("cap") == [open_tb + open_tb[len(HDR):] * 10, b"x\n"]
 
 
+class Memory:
+    """One session's states in memory, counting the bytes that go in and out of the lists."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.moved, self.reads = None, [], set(), 0, 0
+
+    getValueState = getListState = lambda self, name, schema: self if name == "open" else Listed(self)
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.discard(at)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Listed:
+    def __init__(self, memory):
+        self.memory, self.rows = memory, []
+
+    def get(self):
+        self.memory.moved += sum(len(r[-1]) for r in self.rows)
+        self.memory.reads += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = []
+        self.appendList(rows)
+
+    def appendList(self, rows):
+        self.memory.moved += sum(len(r[-1]) for r in rows)
+        self.rows += rows
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def clear(self):
+        self.rows = []
+
+
+@pytest.mark.parametrize("policy", [PipePolicy(9.0, 1e6, 10**9), TerminalPolicy(9.0, 10**9, 10**9)])
+def test_an_open_segment_costs_what_each_batch_brings(policy):
+    """10,000 chunks of one open segment in 100 batches: each byte moves a few times, not once a batch."""
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+
+    memory = Memory()
+    cutter = S.Segments(policy)
+    cutter.init(memory)
+    chunk = b"a line of output\n"
+    at = 0
+    for batch in range(100):
+        times = [START + timedelta(seconds=at + i) for i in range(100)]
+        at += 100
+        pdf = pd.DataFrame({"seq": range(batch * 100, batch * 100 + 100), "ts": times, "data": [chunk] * 100, "eof": False})
+        now = TimerValues(-1, int((times[-1] - datetime(1970, 1, 1)).total_seconds() * 1000) - 3_000)
+        assert not list(cutter.handleInputRows(("s",), iter([pdf]), now))
+        assert len(memory.timers) == 1 and sum(map(len, map(str, memory.value))) < 300
+    assert memory.moved < 4 * 10_000 * len(chunk)
+    late = TimerValues(-1, now.getCurrentWatermarkInMs() + 60_000)
+    (out,) = cutter.handleInputRows(("s",), iter([]), late)
+    assert out["n_chunks"].tolist() == [10_000] and out["data"][0] == chunk * 10_000
+    assert memory.moved < 5 * 10_000 * len(chunk)
+
+
 @pytest.fixture()
 def segment_files(spark, tmp_path):
     flood = b"same line again\n" * 40

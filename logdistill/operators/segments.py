@@ -1,19 +1,22 @@
 """Cutting a table of output chunks into segments.
 
-One session may hold much of the data, so no step hands a whole session to one
-task. A session is laid out in time blocks; each block is summarised on its own,
-the small summaries are chained per session, and each block is then numbered
-from the state it starts in.
+One session may hold much of the data, all of it in one second perhaps, so no step
+hands a whole session to one task. Chunks are sorted into ranges of (session, time,
+number) of about equal size; a range is cut into blocks of a bounded number of
+chunks. Each block is summarised on its own. Summaries can be joined, so those of
+one session and range become one, and only these, one per range at most, are
+chained; each range's blocks and each block's chunks are then numbered from the
+state they start in.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_bytes
@@ -24,81 +27,111 @@ MICROS = 1_000_000
 KEY = "session_id"
 
 
-def _meta(chunks: DataFrame, block: float) -> DataFrame:
-    """Chunk positions and sizes without the payload, with their time block.
+#: Chunks of a block, which is one row.
+BLOCK_CHUNKS = 20_000
+
+
+def _meta(chunks: DataFrame) -> DataFrame:
+    """Chunk positions and sizes without the payload.
 
     A column ``n_bytes``, if there is one, spares reading the payload.
     """
-    us = F.unix_micros("ts")
     size = F.col("n_bytes") if "n_bytes" in chunks.columns else F.octet_length("data")
     # like the stream, without end marks and empty chunks
     return chunks.where(size > 0).select(
-        KEY,
-        "seq",
-        us.alias("us"),
-        size.cast("bigint").alias("n_bytes"),
-        F.floor(us / F.lit(int(block * MICROS))).cast("bigint").alias("block"),
+        KEY, "seq", F.unix_micros("ts").alias("us"), size.cast("bigint").alias("n_bytes")
     )
 
 
+def _ranges(df: DataFrame, parts: int | None, *order: str) -> DataFrame:
+    """Rows dealt into sorted ranges of (session, order), which cut hot sessions anywhere."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, KEY, *order)
+
+
 # --- silence only: built-in windows -----------------------------------------
-def segment_silence(
-    chunks: DataFrame, silence: float, block: float | None = None
+def _runs(
+    spans: DataFrame, apart: Callable[[Column], Column], parts: int | None, *order: str
 ) -> DataFrame:
-    """Adds ``run_no`` (from 1): a new run begins when the gap is ``silence`` or more.
+    """Adds ``run_no`` (from 1) to rows with ``first`` and ``last``, which do not overlap.
 
-    Gaps inside a block come from a window over (session, block); the gap before
-    a block comes from one row per block.
+    A new run begins where the time since the ``last`` before is ``apart``. Inside
+    a range that comes from a window over (session, range); before a range from
+    one row per session and range.
     """
-    # Written once without the payload, which both branches would read otherwise.
-    meta = written(_meta(chunks, block or max(3600.0, 64 * silence)), "chunk-times")
-    gap = int(silence * MICROS)
-    inside = Window.partitionBy(KEY, "block").orderBy("us", "seq")
-    marked = meta.withColumn("prev", F.lag("us").over(inside)).withColumn(
-        "opens", F.coalesce((F.col("us") - F.col("prev") >= gap).cast("bigint"), F.lit(0))
+    # Written once, so that both branches see the same ranges.
+    dealt = written(_ranges(spans, parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(KEY, "part").orderBy(*order)
+    marked = dealt.withColumn("prev", F.lag("last").over(inside)).withColumn(
+        "opens", F.coalesce(apart(F.col("first") - F.col("prev")).cast("bigint"), F.lit(0))
     )
     counted = marked.withColumn("opened", F.sum("opens").over(inside))
-    blocks = counted.groupBy(KEY, "block").agg(
-        F.min("us").alias("first"), F.max("us").alias("last"), F.sum("opens").alias("inner")
+    ends = counted.groupBy(F.col(KEY).alias("of"), F.col("part").alias("at")).agg(
+        F.min("first").alias("begins"), F.max("last").alias("ends"), F.sum("opens").alias("inner")
     )
-    chain = Window.partitionBy(KEY).orderBy("block")
+    chain = Window.partitionBy("of").orderBy("at")  # one row per range at most
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    edge = blocks.withColumn("prev_last", F.lag("last").over(chain)).withColumn(
-        "edge",
-        F.coalesce((F.col("first") - F.col("prev_last") >= gap).cast("bigint"), F.lit(1)),
+    edge = ends.withColumn(
+        "edge", F.coalesce(apart(F.col("begins") - F.lag("ends").over(chain)).cast("bigint"), F.lit(1))
     )
-    offsets = edge.select(
-        KEY,
-        "block",
-        (
-            F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(before), F.lit(0))
-            + F.col("edge")
-        ).alias("base"),
+    passed = F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(before), F.lit(0))
+    base = edge.select("of", "at", (passed + F.col("edge")).alias("base"))
+    same = F.col(KEY).eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))
+    return counted.join(base, same).select(
+        *spans.columns, (F.col("base") + F.col("opened")).alias("run_no")
     )
-    return counted.join(offsets, [KEY, "block"]).select(
-        KEY,
-        "seq",
-        F.timestamp_micros("us").alias("ts"),
-        "n_bytes",
-        (F.col("base") + F.col("opened")).alias("run_no"),
+
+
+def segment_silence(chunks: DataFrame, silence: float, parts: int | None = None) -> DataFrame:
+    """Adds ``run_no`` (from 1): a new run begins when the gap is ``silence`` or more.
+
+    ``parts`` is the number of ranges, that of shuffle partitions by default.
+    """
+    gap = int(silence * MICROS)
+    spans = _meta(chunks).withColumns({"first": F.col("us"), "last": F.col("us")})
+    return _runs(spans, lambda d: d >= gap, parts, "us", "seq").select(
+        KEY, "seq", F.timestamp_micros("us").alias("ts"), "n_bytes", "run_no"
     )
 
 
-def session_windows(chunks: DataFrame, gap: str) -> DataFrame:
-    """Silence-only segments by Spark's own session window, also on a stream.
+def session_windows(chunks: DataFrame, gap: str, parts: int | None = None) -> DataFrame:
+    """Silence-only segments as Spark's own session window gives them, also on a stream.
 
     Spark merges a chunk that comes exactly at the gap; ``segment_silence`` cuts there.
+    A table is first summed up by slices of time no longer than the gap, whose
+    chunks belong together, before anything is shuffled; slices are then merged by
+    ranges, so that no task gets a whole session.
     """
-    return (
-        chunks.groupBy(KEY, F.session_window("ts", gap).alias("w"))
-        .agg(
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.sum(F.octet_length("data").cast("bigint")).alias("n_bytes"),
-        )
-        .drop("w")
+    sums = {
+        "n_chunks": F.count(F.lit(1)),
+        "n_bytes": F.sum(F.octet_length("data").cast("bigint")),
+    }
+    if chunks.isStreaming:
+        edges = {"first_ts": F.min("ts"), "last_ts": F.max("ts")}
+        grouped = chunks.groupBy(KEY, F.session_window("ts", gap).alias("w"))
+        return grouped.agg(*[c.alias(n) for n, c in (edges | sums).items()]).drop("w")
+    length = F.lit(0) + _micros_of(chunks.sparkSession, gap)
+    us = F.unix_micros("ts")
+    slices = (
+        chunks.where("ts is not null").withColumn("us", us)
+        .groupBy(KEY, F.floor(F.col("us") / length).alias("slice"))
+        .agg(F.min("us").alias("first"), F.max("us").alias("last"), *[c.alias(n) for n, c in sums.items()])
+        .drop("slice")
     )
+    return _runs(slices, lambda d: d > length, parts, "first").groupBy(KEY, "run_no").agg(
+        F.timestamp_micros(F.min("first")).alias("first_ts"),
+        F.timestamp_micros(F.max("last")).alias("last_ts"),
+        F.sum("n_chunks").alias("n_chunks"),
+        F.sum("n_bytes").alias("n_bytes"),
+    ).drop("run_no")
+
+
+def _micros_of(spark: SparkSession, gap: str) -> int:
+    """Microseconds of an interval of days and less, as Spark reads it."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    later = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + interval '{gap}'")
+    row = spark.range(1).select(F.timestamp_diff("MICROSECOND", at, later).alias("us")).first()
+    return row["us"]
 
 
 # --- the full rule: silence, longest hold, size cap --------------------------
@@ -199,7 +232,47 @@ _PASS = (
     "end_bytes array<bigint>, end_open array<boolean>"
 )
 _STATE = "is_open boolean, first bigint, last bigint, bytes bigint, seg_no bigint"
+_STATE_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
 _NUMBERED = f"{KEY} string, seq bigint, us bigint, n_bytes bigint, seg_no bigint"
+_PLACE = f"{KEY} string, part bigint, block bigint"
+_ROWS = "rows array<struct<us: bigint, seq: bigint, n_bytes: bigint>>"
+
+
+def _blocked(limit: int):
+    """Blocks of up to ``limit`` consecutive chunks of a session, from sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block = TaskContext.get().partitionId(), 0
+        held: pa.RecordBatch | None = None
+
+        def packed(rows: pa.RecordBatch, starts: np.ndarray, end: int) -> pa.RecordBatch:
+            nonlocal block
+            numbers = pa.array(np.arange(block, block + len(starts)))
+            block += len(starts)
+            values = pa.StructArray.from_arrays([rows[c] for c in ("us", "seq", "n_bytes")], ["us", "seq", "n_bytes"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), values)
+            return pa.RecordBatch.from_arrays(
+                [rows[KEY].take(pa.array(starts)), pa.array(np.full(len(starts), part)), numbers, lists],
+                names=[KEY, "part", "block", "rows"],
+            )
+
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not rows.num_rows:
+                continue
+            names = np.array(rows[KEY].to_pylist(), object)
+            edge = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
+            pieces = -(-np.diff(edge) // limit)
+            within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            starts = np.repeat(edge[:-1], pieces) + limit * within
+            if len(starts) > 1:
+                yield packed(rows, starts[:-1], int(starts[-1]))
+            held = rows.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            rows = pa.concat_batches([held])
+            yield packed(rows, np.zeros(1, np.int64), rows.num_rows)
+
+    return run
 
 
 def _summaries(policy: PipePolicy):
@@ -209,47 +282,110 @@ def _summaries(policy: PipePolicy):
             if found:
                 names = list(found[0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(KEY), batch.column("block"),
+                    [*[batch.column(c) for c in (KEY, "part", "block")],
                      *[pa.array([f[n] for f in found]) for n in names]],
-                    [KEY, "block", *names],
+                    [KEY, "part", "block", *names],
                 )
 
     return run
 
 
-def _chain(policy: PipePolicy):
-    """The state each block of a session starts in.
+def _cut(r: dict, state: tuple[int, int, int] | None, policy: PipePolicy) -> int:
+    """Where the first segment starts in what ``r`` sums up, given the open one; n if nowhere."""
+    if state is None or r["first"] - state[1] >= int(policy.silence * MICROS):
+        return 0
+    by_hold = int(np.searchsorted(r["head_us"], state[0] + int(policy.max_hold * MICROS)))
+    by_size = int(np.searchsorted(r["head_before"], policy.max_bytes - state[2]))
+    listed = min(by_hold, by_size)
+    if listed < len(r["head_us"]):
+        return listed
+    return min(r["widest"], r["n"])
+
+
+def _joined(a: dict, b: dict, policy: PipePolicy) -> dict:
+    """The summary of what ``a`` and, right behind it, ``b`` sum up: the joining is associative."""
+    begun, firsts, sizes, opens = [], [], [], []
+    known: dict[tuple, int] = {}
+    for i in range(len(a["head_us"])):
+        state = (a["end_first"][i], a["last"], a["end_bytes"][i]) if a["end_open"][i] else None
+        if state not in known:
+            known[state] = _cut(b, state, policy)
+        p = known[state]
+        if p < b["n"]:
+            begun.append(a["begun"][i] + b["begun"][p])
+            firsts.append(b["end_first"][p])
+            sizes.append(b["end_bytes"][p])
+            opens.append(b["end_open"][p])
+        else:
+            begun.append(a["begun"][i])
+            firsts.append(a["end_first"][i])
+            sizes.append(a["end_bytes"][i] + b["bytes"])
+            opens.append(sizes[-1] < policy.max_bytes)
+    out = {
+        "n": a["n"] + b["n"], "first": a["first"], "last": b["last"], "bytes": a["bytes"] + b["bytes"],
+        "widest": a["widest"], "head_us": list(a["head_us"]), "head_before": list(a["head_before"]),
+    }
+    if a["widest"] >= a["n"]:  # a segment may pass over all of ``a``
+        whole = (a["first"], a["last"], a["bytes"])
+        p = _cut(b, whole if a["bytes"] < policy.max_bytes else None, policy)
+        out["widest"] = a["n"] + p
+        some = slice(0, min(p, len(b["head_us"]) - 1) + 1)
+        out["head_us"] += b["head_us"][some]
+        out["head_before"] += [a["bytes"] + x for x in b["head_before"][some]]
+        begun += b["begun"][some]
+        firsts += b["end_first"][some]
+        sizes += b["end_bytes"][some]
+        opens += b["end_open"][some]
+    return out | {"begun": begun, "end_first": firsts, "end_bytes": sizes, "end_open": opens}
+
+
+def _together(policy: PipePolicy):
+    """One summary per session and range, from sorted ones of their blocks."""
 
-    Reads summaries sorted by (session, block) as a stream and keeps one state, so
-    a session of any length passes in constant memory.
-    """
-    silence, hold = int(policy.silence * MICROS), int(policy.max_hold * MICROS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict | None = None
+        schema: pa.Schema | None = None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for r in batch.to_pylist():
+                if now is None or (r[KEY], r["part"]) != (now[KEY], now["part"]):
+                    if now is not None:
+                        done.append(now)
+                    now = r
+                else:
+                    now = {KEY: r[KEY], "part": r["part"], "block": r["block"]} | _joined(now, r, policy)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([now], schema=schema)
 
-    def cut(r: dict, state: tuple[int, int, int] | None) -> int:
-        if state is None or r["first"] - state[1] >= silence:
-            return 0
-        by_hold = int(np.searchsorted(r["head_us"], state[0] + hold))
-        by_size = int(np.searchsorted(r["head_before"], policy.max_bytes - state[2]))
-        listed = min(by_hold, by_size)
-        if listed < len(r["head_us"]):
-            return listed
-        return min(r["widest"], r["n"])
+    return run
+
+
+def _chain(policy: PipePolicy, *keys: str):
+    """The state each of the sorted summaries starts in, within equal ``keys``.
+
+    The first one starts in the state of its columns ``in_…``, if it has any. One
+    state is kept, so a session of any length passes in constant memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session: str | None = None
+        now: tuple | None = None
         state: tuple[int, int, int] | None = None
         seg_no = 0
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if r[KEY] != session:
-                    session, state, seg_no = r[KEY], None, 0
+                if tuple(r[k] for k in keys) != now:
+                    now = tuple(r[k] for k in keys)
+                    seg_no = r.get("in_seg_no") or 0
+                    state = (r["in_first"], r["in_last"], r["in_bytes"]) if r.get("in_is_open") else None
                 first, last, size = state or (0, 0, 0)
                 out.append(
-                    {KEY: session, "block": r["block"], "is_open": state is not None,
+                    {KEY: r[KEY], "part": r["part"], "block": r["block"], "is_open": state is not None,
                      "first": first, "last": last, "bytes": size, "seg_no": seg_no}
                 )
-                p = cut(r, state)
+                p = _cut(r, state, policy)
                 if p < r["n"]:
                     seg_no += r["begun"][p]
                     still, first, size = r["end_open"][p], r["end_first"][p], r["end_bytes"][p]
@@ -282,7 +418,7 @@ def _number(policy: PipePolicy):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entry = batch.select([c.split()[0] for c in _STATE.split(", ")]).to_pylist()
+            entry = batch.select(_STATE_COLUMNS).to_pylist()
             found = [
                 e["seg_no"] + passed(us, size, e)
                 for (us, _, size), e in zip(_blocks_of(batch), entry, strict=True)
@@ -299,37 +435,48 @@ def _number(policy: PipePolicy):
     return run
 
 
+def blocks(chunks: DataFrame, limit: int = BLOCK_CHUNKS, parts: int | None = None) -> DataFrame:
+    """Times, numbers and sizes of the chunks, in rows of up to ``limit`` chunks of a session."""
+    order = ("us", "seq")
+    dealt = _ranges(_meta(chunks), parts, *order).sortWithinPartitions(KEY, *order, "n_bytes")
+    return dealt.mapInArrow(_blocked(limit), f"{_PLACE}, {_ROWS}")
+
+
 def segment_batch(
-    chunks: DataFrame, policy: PipePolicy | None = None, block: float | None = None
+    chunks: DataFrame, policy: PipePolicy | None = None, limit: int = BLOCK_CHUNKS, parts: int | None = None
 ) -> DataFrame:
     """Adds ``seg_no`` (from 1 in each session) by silence, longest hold and size.
 
     Only times and sizes travel; the payload is joined later by ``segment_bytes``.
-    Each block is one row, and Arrow batches hold many of them. ``block`` seconds
-    bound that row: short blocks suit busy sessions, long ones many quiet
-    sessions; ``block_for`` turns the busiest session's rate into a length.
+    A block is one row of up to ``limit`` chunks, whatever the session's rate;
+    ``parts`` is the number of ranges, that of shuffle partitions by default.
     """
     policy = policy or PipePolicy()
-    meta = _meta(chunks, block or max(180 * policy.max_hold, 1.0))
     # A fixed number of tasks: the rows are few bytes but cost Python time, so
     # merging partitions by their size would leave most cores idle.
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.struct("us", "seq", "n_bytes")
-    # Written once: summaries and numbering both need them, and the payload's
+    # Written once: summaries and numbering need the same blocks, and the payload's
     # sizes are to be read only once.
-    blocks = written(
-        meta.repartition(tasks, KEY, "block")
-        .groupBy(KEY, "block")
-        .agg(F.array_sort(F.collect_list(chunk)).alias("rows")),
-        "blocks",
+    cut = written(blocks(chunks, limit, parts), "blocks")
+    summaries = written(cut.mapInArrow(_summaries(policy), f"{_PLACE}, {_PASS}"), "summaries")
+    by_range = (
+        summaries.repartition(tasks, KEY, "part")
+        .sortWithinPartitions(KEY, "part", "block")
+        .mapInArrow(_together(policy), summaries.schema)
+    )
+    start = (
+        by_range.repartition(tasks, KEY)
+        .sortWithinPartitions(KEY, "part")
+        .mapInArrow(_chain(policy, KEY), f"{_PLACE}, {_STATE}")
+        .select(KEY, "part", *[F.col(c).alias(f"in_{c}") for c in _STATE_COLUMNS])
     )
-    summaries = blocks.mapInArrow(_summaries(policy), f"{KEY} string, block bigint, {_PASS}")
     entry = (
-        summaries.repartition(tasks, KEY)
-        .sortWithinPartitions(KEY, "block")
-        .mapInArrow(_chain(policy), f"{KEY} string, block bigint, {_STATE}")
+        summaries.join(start, [KEY, "part"])
+        .repartition(tasks, KEY, "part")
+        .sortWithinPartitions(KEY, "part", "block")
+        .mapInArrow(_chain(policy, KEY, "part"), f"{_PLACE}, {_STATE}")
     )
-    numbered = blocks.join(entry, [KEY, "block"]).mapInArrow(_number(policy), _NUMBERED)
+    numbered = cut.join(entry, [KEY, "part", "block"]).mapInArrow(_number(policy), _NUMBERED)
     return numbered.select(
         KEY, "seq", F.timestamp_micros("us").alias("ts"), "n_bytes", "seg_no"
     )
@@ -421,8 +568,3 @@ def utf8_carry(segs: DataFrame) -> DataFrame:
 def segment_text(segs: DataFrame) -> DataFrame:
     """Decoded text of every segment."""
     return utf8_carry(segs).withColumn("text", decode_bytes(F.col("data"))).drop("data")
-
-
-def block_for(policy: PipePolicy, chunks_per_second: float, target_rows: int = 200_000) -> float:
-    """A block length that gives about ``target_rows`` chunks of the busiest session."""
-    return max(policy.max_hold, math.ceil(target_rows / max(chunks_per_second, 1e-9)))

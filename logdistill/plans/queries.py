@@ -31,7 +31,6 @@ from . import inputs
 
 TAG = "LD"
 POLICY = PipePolicy(silence=43_200.0, max_hold=129_600.0, max_bytes=60)
-BLOCK = 10 * 86_400.0
 TEXT_COLUMNS = ("raw_content", "entry_type")
 PHRASE, PREFIX = "of the", "tion"
 DELETED = "contains(raw_content, 'that')"
@@ -716,7 +715,7 @@ def recall_assertions(spark, sf):
 # --- segments -----------------------------------------------------------------------------------
 @query
 def segments_silence(spark, sf):
-    d = segments.segment_silence(inputs.chunks(spark, sf), POLICY.silence, BLOCK)
+    d = segments.segment_silence(inputs.chunks(spark, sf), POLICY.silence)
     return d.groupBy("session_id", "run_no").agg(
         F.min("seq").alias("first_seq"),
         F.count(F.lit(1)).alias("n_chunks"),
@@ -726,7 +725,7 @@ def segments_silence(spark, sf):
 
 
 def _numbered(spark, sf):
-    return segments.segment_batch(inputs.chunks(spark, sf), POLICY, BLOCK)
+    return segments.segment_batch(inputs.chunks(spark, sf), POLICY)
 
 
 def _extent(d):

@@ -1,4 +1,4 @@
-"""Batch segmentation against a row-by-row loop, for many block lengths."""
+"""Batch segmentation against a row-by-row loop, for blocks and ranges of many sizes."""
 
 import codecs
 import random
@@ -42,30 +42,62 @@ def feed(spark):
     return spark.createDataFrame(rows, "session_id string, seq long, ts timestamp, data binary, eof boolean"), plain
 
 
-@pytest.mark.parametrize("block", [0.5, 3.0, 17.0, 1e6])
+@pytest.mark.parametrize("limit,parts", [(1, 3), (7, 8), (100_000, 2)])
 @pytest.mark.parametrize(
     "policy", [PipePolicy(2.0, 5.0, 10**9), PipePolicy(2.0, 5.0, 150), PipePolicy(9.5, 1e6, 90), PipePolicy(1e5, 30.0, 10**9)]
 )
-def test_greedy(spark, feed, block, policy):
+def test_greedy(spark, feed, limit, parts, policy):
     chunks, plain = feed
     got = {}
-    for r in G.segment_batch(chunks, policy, block).collect():
+    for r in G.segment_batch(chunks, policy, limit, parts).collect():
         got.setdefault(r.session_id, {})[r.seq] = r.seg_no
     for s, (times, sizes) in plain.items():
-        assert [got[s][i] for i in range(len(times))] == loop(times, sizes, policy), (s, block)
+        assert [got[s][i] for i in range(len(times))] == loop(times, sizes, policy), (s, limit)
 
 
-@pytest.mark.parametrize("block", [1.0, 7.0, 1e6])
-def test_silence(spark, feed, block):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_silence(spark, feed, parts):
     chunks, plain = feed
     got = {}
-    for r in G.segment_silence(chunks, 2.0, block).collect():
+    for r in G.segment_silence(chunks, 2.0, parts).collect():
         got.setdefault(r.session_id, {})[r.seq] = r.run_no
     for s, (times, sizes) in plain.items():
         want = loop(times, sizes, PipePolicy(2.0, 1e9, 10**12))
         assert [got[s][i] for i in range(len(times))] == want
 
 
+def test_a_burst_of_one_session_is_split(spark):
+    """A third of the table in one second of one session: blocks and ranges stay small."""
+    times = [i / 20_000 for i in range(10_000)]
+    rows = [("burst", i, START + timedelta(seconds=t), b"x" * (1 + i % 9), False) for i, t in enumerate(times)]
+    rows += [(f"s{i % 700}", i, START + timedelta(seconds=i), b"y", False) for i in range(20_000)]
+    chunks = spark.createDataFrame(rows, "session_id string, seq long, ts timestamp, data binary, eof boolean").repartition(4)
+    cut = G.blocks(chunks, 500, 16)
+    sizes = cut.select("session_id", "part", F.size("rows").alias("n")).collect()
+    assert max(r["n"] for r in sizes) <= 500 and sum(r["n"] for r in sizes) == 30_000
+    assert len({r["part"] for r in sizes if r["session_id"] == "burst"}) > 4
+    policy = PipePolicy(0.5, 0.1, 4_000)
+    got = {r.seq: r.seg_no for r in G.segment_batch(chunks, policy, 500, 16).where("session_id = 'burst'").collect()}
+    assert [got[i] for i in range(10_000)] == loop(times, [1 + i % 9 for i in range(10_000)], policy)
+    assert G.segment_silence(chunks, 0.5, 16).where("session_id = 'burst'").agg(F.max("run_no")).first()[0] == 1
+
+
+def test_session_windows_are_those_of_spark(spark, feed):
+    chunks, _ = feed
+    nulls = spark.createDataFrame(
+        [(None, 1, START, b"a", False), (None, 2, START, None, True), ("calm", 0, None, b"b", False)], chunks.schema
+    )
+    chunks = chunks.unionByName(nulls)
+    for gap in ("1 second", "2 seconds", "1500 milliseconds", "1 day"):
+        spans = chunks.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_chunks"),
+            F.sum(F.octet_length("data").cast("bigint")).alias("n_bytes"),
+        ).drop("w")
+        got = G.session_windows(chunks, gap, 5)
+        assert got.columns == spans.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, spans.collect()))
+
+
 def carry_loop(parts):
     """What the standard library's incremental decoder keeps back after each part."""
     out, held = [], b""

@@ -73,7 +73,7 @@ def test_stream_equals_batch(spark, tmp_path):
     ends = [(s, 99, START + timedelta(seconds=c[-1][0]), None, True) for s, c in spec.items()]
     got = replay.feed(ends)
     chunks = spark.createDataFrame(full, schemas.CHUNK)
-    whole = G.segment_bytes(chunks, G.segment_batch(chunks, policy, 4.0))
+    whole = G.segment_bytes(chunks, G.segment_batch(chunks, policy, 4))
     assert got == {(r.session_id, r.seg_no): bytes(r.data) for r in whole.collect()}
 
 
@@ -108,7 +108,7 @@ def test_order_of_arrival_does_not_matter_within_the_watermark(spark, tmp_path,
     assert sides["mixed"] == sides["sorted"]
     if isinstance(policy, PipePolicy):
         chunks = spark.createDataFrame(full, schemas.CHUNK)
-        whole = G.utf8_carry(G.segment_bytes(chunks, G.segment_batch(chunks, policy, 4.0)))
+        whole = G.utf8_carry(G.segment_bytes(chunks, G.segment_batch(chunks, policy, 4)))
         assert sides["mixed"] == {(r.session_id, r.seg_no): bytes(r.data) for r in whole.collect()}
 
 

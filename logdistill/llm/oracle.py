@@ -154,3 +154,83 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
               ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN a USING (r)
 """
+
+
+def _crc32(codes: str) -> str:
+    """SQL for the CRC-32 of a list of byte values, bit by bit."""
+    met = f"(CASE WHEN k % 8 = 0 THEN xor(c, {codes}[1 + k // 8]) ELSE c END)"
+    step = f"CASE WHEN {met} & 1 = 1 THEN xor({met} >> 1, 3988292384) ELSE {met} >> 1 END"
+    steps = f"list_prepend(4294967295, range(8 * len({codes})))"
+    return f"xor(list_reduce({steps}, lambda c, k: {step}), 4294967295)"
+
+
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+        lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END)) AS codes FROM g),
+h AS (SELECT run, k, {_crc32("codes")} AS h, length(run) AS m FROM b),
+v AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % m) || substr(run, h % m + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM h GROUP BY ALL HAVING length(word) >= 7 AND sum(k) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.gap = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.gap = v.word),
+near AS (SELECT word, count(*) AS n_near, min(struct_pack(n := -n, other := other)) AS best FROM e GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -best.n >= 10 * n THEN best.other END AS form, CASE WHEN -best.n >= 10 * n THEN -best.n END AS form_n
+      FROM v LEFT JOIN near USING (word)),
+way AS (SELECT word, word AS root, form AS ahead FROM f
+        UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.ahead)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM way WHERE ahead IS NULL) USING (word)
+"""
+
+SQL["op12_minhash_dedup"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS sh
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT r, count(*) AS size FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.size + b.size - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
+c AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY x)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d LEFT JOIN n USING (r) JOIN c USING (r)
+"""
+
+# A run has 16 words or more that equal those a period later, so it holds a window
+# of 16 words that comes again after a period.
+SQL["op13_periodic_runs"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT) AS codes FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, {_crc32("codes")} AS h FROM d),
+a AS (SELECT *, (h // 10) % n AS a, (h // 10) % 8 AS e FROM h),
+o AS (SELECT r, doc_id, n,
+        CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+          w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + e)) END]) ELSE w END AS w FROM a),
+x AS (SELECT r, n, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS win
+      FROM (SELECT r, n, w, unnest(range(n - 15)) AS i FROM o)),
+m AS (SELECT r, b.i - c.i AS q, c.i AS i FROM x c JOIN x b USING (r, win) WHERE b.i > c.i AND 3 * (b.i - c.i) <= c.n),
+y AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM m),
+t AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 16 + q AS length FROM y GROUP BY r, q, g),
+u AS (SELECT r, start, length, min(q) AS period FROM t WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+best AS (SELECT r, start, length, period FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) AS k FROM u) WHERE k = 1),
+z AS (SELECT r, count(*) AS n_runs,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY r),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM u) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+         ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM o LEFT JOIN best USING (r) LEFT JOIN z USING (r) LEFT JOIN gone USING (r)
+"""

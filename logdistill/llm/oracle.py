@@ -173,9 +173,8 @@ g AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY A
 b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''),
         lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END)) AS codes FROM g),
 h AS (SELECT run, k, {_crc32("codes")} AS h, length(run) AS m FROM b),
-v AS (
-  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % m) || substr(run, h % m + 2) ELSE run END AS word, sum(k)::BIGINT AS n
-  FROM h GROUP BY ALL HAVING length(word) >= 7 AND sum(k) >= 2),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % m) || substr(run, h % m + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
 d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap
       FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
 e AS (

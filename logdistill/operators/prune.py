@@ -111,8 +111,9 @@ def prune(
     """Summarise ``raw_content``; the first pruner that saves enough wins.
 
     Adds ``compressed_summary``, ``was_pruned``, ``pruner_name``,
-    ``net_tokens_saved``, ``line_count`` and ``token_estimate``. With the
-    built-in pruner this is one projection: no shuffle, no Python.
+    ``net_tokens_saved``, ``line_count`` and ``token_estimate``. With native
+    pruners this is one projection: no shuffle, no Python. A text on which a
+    native pruner raises an error stays unpruned; the others are not touched.
     """
     pruners = [OutputPruner()] if pruners is None else list(pruners)
     raw = F.col("raw_content")
@@ -127,24 +128,26 @@ def prune(
         # A text that has its summary goes to no further pruner.
         df = with_once(df, "_left0", F.when(gate, raw))
         for i, p in enumerate(pruners):
-            df = df.withColumn(f"_s{i}", p.compress(F.col(f"_left{i}")))
-            df = with_once(df, f"_pick{i}", _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio))
+            left = F.col(f"_left{i}")
+            if isinstance(p, PythonPruner):
+                df = df.withColumn(f"_s{i}", p.compress(left))
+                pick = _if_accepted(F.col(f"_s{i}"), p.name, raw, ratio)
+            else:
+                pick = F.when(left.isNotNull(), _candidate(p, left, raw, ratio))
+            df = with_once(df, f"_pick{i}", pick)
             df = df.withColumn(
                 f"_left{i + 1}", F.when(F.col(f"_pick{i}").isNull(), F.col(f"_left{i}"))
             )
         picks = [F.col(f"_pick{i}") for i in range(len(pruners))]
         df = df.withColumn("_pick", F.coalesce(*picks, _nothing()))
     else:
-        candidates = [
-            bind(p.compress(raw), _accept(p.name, raw, ratio))
-            for p in pruners
-        ]
+        candidates = [_candidate(p, raw, raw, ratio) for p in pruners]
         df = with_once(df, "_pick", F.when(gate, F.coalesce(*candidates, _nothing())))
     pick = F.col("_pick")
     return df.select(
         *[c for c in entries.columns if c not in _PRUNED_COLUMNS],
         F.coalesce(pick["summary"], F.lit("")).alias("compressed_summary"),
-        pick.isNotNull().alias("was_pruned"),
+        pick["summary"].isNotNull().alias("was_pruned"),
         pick["pruner"].alias("pruner_name"),
         F.coalesce(
             text.net_tokens_saved(raw, pick["summary"]), F.lit(0).cast("bigint")
@@ -164,6 +167,30 @@ def _accept(name: str, raw: Column, ratio: float) -> Callable[[Column], Column]:
     return lambda summary: _if_accepted(summary, name, raw, ratio)
 
 
+def _candidate(p: Pruner, c: Column, raw: Column, ratio: float) -> Column:
+    """The pruner's accepted summary; an empty pick, which ends the chain, if it failed."""
+    if type(p) is OutputPruner:
+        return bind(p.compress(c), _accept(p.name, raw, ratio))
+    accept = _accept(p.name, raw, ratio)
+    empty = F.struct(F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("pruner"))
+    return bind(
+        _attempt(p.compress(c)),
+        lambda x: F.when(x.isNull(), empty).when(
+            x.startswith("="), bind(F.substr(x, F.lit(2)), accept)
+        ),
+    )
+
+
+def _attempt(summary: Column) -> Column:
+    """``=`` and the summary, ``-`` if there is none, null if its expression failed.
+
+    Spark's ``try_`` functions turn an error of theirs or their argument into null for
+    that row alone, so one bad text costs neither its task nor its micro-batch.
+    """
+    told = F.coalesce(F.concat(F.lit("="), summary.cast("string")), F.lit("-"))
+    return F.try_to_binary(told, F.lit("utf-8")).cast("string")
+
+
 def _nothing() -> Column:
     return F.lit(None).cast("struct<summary:string,pruner:string>")
 

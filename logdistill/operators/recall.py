@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
 from ..functions.text import sanitize, strip
+from ..shared import written
 from . import search
 
 PREVIEW_CHARS = 300
@@ -48,6 +49,63 @@ def recall_scope(
     )
 
 
+def recall_scope_at(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``recall_scope`` for requests that carry ``requested_at``, in seconds.
+
+    In place of the latest session stands the latest one started by then (of those
+    started at one time the least id); null if there was none. A null time has none.
+    """
+    known = sessions.select(F.col("session_id").alias("_known"))
+    scoped = newest_started(requests, sessions).join(
+        known, F.col("current") == F.col("_known"), "left"
+    )
+    return scoped.withColumn("scope", F.coalesce("explicit", "_known", "_newest")).drop(
+        "_known", "_newest"
+    )
+
+
+def newest_started(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Adds ``_newest``, the session started last at each request's time.
+
+    Starts and requests are laid in one order and cut into ranges; a range looks
+    back within itself and else takes the last start of the ranges before it, one
+    row per range. So neither a hot second nor the table's length is one task.
+    """
+    asked = F.struct(*requests.columns)
+    rows = requests.select(
+        F.col("requested_at").cast("double").alias("t"), F.lit(1).alias("kind"),
+        F.lit(None).cast("string").alias("started"), F.xxhash64(F.to_json(asked)).alias("deal"),
+        asked.alias("asked"),
+    )
+    starts = sessions.where(F.col("started_at").isNotNull()).select(
+        F.col("started_at").cast("double").alias("t"), F.lit(0).alias("kind"),
+        F.col("session_id").alias("started"), F.lit(0).cast("bigint").alias("deal"),
+        F.lit(None).cast(rows.schema["asked"].dataType).alias("asked"),
+    )
+    order = ("t", "kind", F.desc("started"), "deal")
+    # Written, so that both passes see the same ranges even if an executor is lost.
+    laid = written(
+        rows.unionByName(starts).repartitionByRange(*order).withColumn("part", F.spark_partition_id()),
+        "starts",
+    )
+    last = F.last("started", ignorenulls=True)
+    so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = laid.where("kind = 0").groupBy("part").agg(
+        F.min_by("started", F.struct((-F.col("t")).alias("t"), "started")).alias("end")
+    )
+    # One row per range: bounded by the number of partitions.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = laid.select("part").distinct().join(ends, "part", "left").select(
+        "part", F.last("end", ignorenulls=True).over(earlier).alias("carried")
+    )
+    return (
+        laid.withColumn("mine", last.over(so_far))
+        .where("kind = 1")
+        .join(F.broadcast(carried), "part")
+        .select("asked.*", F.when(F.col("t").isNotNull(), F.coalesce("mine", "carried")).alias("_newest"))
+    )
+
+
 def in_scope(
     entries: DataFrame,
     sessions: DataFrame,

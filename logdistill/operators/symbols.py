@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, head, positions, spans
 from ..functions.steps import with_once
 from ..functions.text import split_lines
+from ..shared import file_names
 
 # --- fixed values -----------------------------------------------------------
 CLASS_LINE = r"(?U)^class[\s\x1c-\x1f]+([\p{L}\p{N}_]+)"
@@ -112,6 +113,49 @@ def symbol_ranges(files: DataFrame) -> DataFrame:
     )
 
 
+CACHED = (
+    "content_hash STRING, symbols ARRAY<STRUCT<name: STRING, kind: STRING, start_line: INT, "
+    "end_line: INT, docstring: STRING, parent: STRING>>"
+)
+
+
+def read_cache(spark: SparkSession, path: str, commit: bool = False) -> DataFrame:
+    """The symbols of every content parsed so far, with the run that parsed it if asked for."""
+    stored = spark.read.schema(CACHED + ", commit STRING").parquet(f"{path}/symbols")
+    return stored if commit else stored.drop("commit")
+
+
+def cached_symbols(files: DataFrame, path: str, commit: str) -> DataFrame:
+    """``symbol_ranges`` by way of a cache in ``path``: only unseen contents are parsed.
+
+    A content is known by its SHA-256. What this run had to parse is kept under
+    ``commit``; a run repeated after a loss replaces its own part. Two runs at the
+    same time may both parse a content; readers take it once. Null contents have no
+    symbols and are not cached.
+    """
+    spark = files.sparkSession
+    hashed = files.where(F.col("content").isNotNull()).withColumn(
+        "content_hash", F.sha2("content", 256)
+    )
+    fresh = hashed.select("content_hash", "content")
+    if any(n != f"commit={commit}" for n in file_names(spark, f"{path}/symbols")):
+        known = read_cache(spark, path, commit=True).where(F.col("commit") != commit)
+        fresh = fresh.join(known.select("content_hash"), "content_hash", "left_anti")
+    # Equal contents meet as their hash and any one of them: combined before the shuffle.
+    once = fresh.groupBy("content_hash").agg(F.first("content").alias("content"))
+    parsed = _parsed(once.withColumnRenamed("content_hash", "path"))
+    parsed.select(F.col("path").alias("content_hash"), "symbols").write.mode("overwrite").parquet(
+        f"{path}/symbols/commit={commit}"
+    )
+    stored = read_cache(spark, path).dropDuplicates(["content_hash"])
+    return (
+        hashed.select("path", "content_hash")
+        .join(stored, "content_hash")
+        .select("path", F.posexplode("symbols").alias("ord", "s"))
+        .select("path", "ord", "s.*")
+    )
+
+
 def symbol_children(symbols: DataFrame) -> DataFrame:
     """Methods of each class, matched by name: classes of one name share them."""
     classes = symbols.where((F.col("kind") == "class") & (F.col("parent") == "")).select(

@@ -269,6 +269,12 @@ SQL["python_pruner_chain"] = LOGS_PRUNED + f"""SELECT id, was_pruned OR chatty A
     SELECT *, line_count >= 30 AND starts_with(raw, 'step ') AND length(ends) <= 0.75 * length(raw)
     AND NOT was_pruned AS chatty FROM (SELECT *, split_part(raw, {NL}, 1) || {NL} || '...' || {NL} ||
     string_split(raw, {NL})[-1] AS ends FROM p))"""
+SQL["prune_fail_open"] = LOGS_PRUNED + f"""SELECT id, was_pruned OR chatty AS was_pruned,
+    CASE WHEN chatty THEN 'ends' WHEN was_pruned THEN 'output' END AS pruner_name,
+    CASE WHEN chatty THEN ends ELSE compressed_summary END AS compressed_summary FROM (
+    SELECT *, line_count >= 30 AND starts_with(raw, 'step ') AND length(ends) <= 0.75 * length(raw)
+    AND id % 4 <> 0 AS chatty FROM (SELECT *, split_part(raw, {NL}, 1) || {NL} || '...' || {NL} ||
+    string_split(raw, {NL})[-1] AS ends FROM p))"""
 SQL["archive_cap"] = LOGS_PRUNED + """SELECT id, was_pruned, strlen(raw) AS n_bytes FROM p
     WHERE was_pruned OR strlen(raw) <= 1000"""
 SQL["archive_cap_documents"] = DOCS_PRUNED + """SELECT id, was_pruned FROM p
@@ -357,6 +363,11 @@ LATEST = "(SELECT session_id FROM sess ORDER BY started_at DESC, session_id LIMI
 SQL["recall_scope"] = ctes(SESSIONS) + f"""SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0
     THEN 'asked-' || CAST(o_custkey AS STRING) END, session_id, {LATEST}) AS scope
     FROM orders LEFT JOIN sess ON session_id = 'cust-' || CAST(o_custkey * 2 AS STRING)"""
+SQL["recall_scope_at"] = ctes(SESSIONS) + """, byt AS (SELECT started_at, min(session_id) AS newest
+    FROM sess GROUP BY started_at), req AS (SELECT *, CAST(o_orderkey * 37 % 100000 - 500 AS DOUBLE) AS t FROM orders)
+    SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'asked-' || CAST(o_custkey AS STRING) END,
+    sess.session_id, newest) AS scope FROM req ASOF LEFT JOIN byt ON req.t >= byt.started_at
+    LEFT JOIN sess ON sess.session_id = 'cust-' || CAST(o_custkey * 2 AS STRING)"""
 SQL["recall_view"] = LOGS_PRUNED + f"""SELECT id, left(session_id, 8) AS session, {CLOCK.format('ts')} AS time,
     was_pruned, {SANE.format('raw')} AS content FROM p"""
 SQL["recall_latest_session"] = ctes(LOGS, SESSIONS) + f"""SELECT id, session_id FROM src WHERE session_id = {LATEST}"""
@@ -665,6 +676,8 @@ SYMBOLS = rf"""hit AS (SELECT id, pos + 1 AS line_no, regexp_extract(line, '^cla
         FROM own LEFT JOIN nx USING (id, line_no) JOIN fl USING (id))"""
 SQL["symbol_ranges"] = ctes(FILES, lines(), SYMBOLS) + """SELECT path, ord, start_line, end_line, name, kind,
     docstring, parent FROM sy"""
+SQL["symbols_cached"] = ctes(FILES, lines(), SYMBOLS) + """SELECT p || path AS path, ord, start_line, end_line,
+    name, kind, docstring, parent FROM sy, (VALUES (''), ('copy/')) AS v(p)"""
 SQL["symbol_children"] = ctes(FILES, lines(), SYMBOLS) + """SELECT c.path, c.name AS parent, m.name AS method,
     c.start_line AS class_line, m.start_line AS method_line FROM sy c JOIN sy m
     ON m.path = c.path AND m.parent = c.name WHERE c.kind = 'class' AND m.parent <> ''"""

@@ -251,6 +251,26 @@ def python_pruner_chain(spark, sf):
     )
 
 
+class Ends(prune.Pruner):
+    """First and last line of chatter; an error for every fourth order."""
+
+    name = "ends"
+
+    def compress(self, c):
+        order = F.regexp_extract(c, r"of order (\d+)", 1).cast("bigint")
+        short = F.concat_ws("\n...\n", F.substring_index(c, "\n", 1), F.substring_index(c, "\n", -1))
+        failing = F.when(order % 4 == 0, F.raise_error(F.lit("not this order"))).otherwise(short)
+        return F.when(c.startswith("step "), failing)
+
+
+@query
+def prune_fail_open(spark, sf):
+    """A native pruner that fails for some texts: those stay raw, all others are pruned."""
+    return prune.prune(inputs.logs(spark, sf), [Ends(), prune.OutputPruner()]).select(
+        "id", "was_pruned", "pruner_name", "compressed_summary"
+    )
+
+
 @query
 def archive_cap(spark, sf):
     kept = prune.archived(_pruned(spark, sf), cap=1_000)
@@ -473,6 +493,18 @@ def recall_scope(spark, sf):
     return recall.recall_scope(requests, inputs.sessions(spark, sf)).select("id", "scope")
 
 
+@query
+def recall_scope_at(spark, sf):
+    """The same for requests that were made at a time of their own."""
+    requests = inputs.table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
+        F.col("o_orderkey").alias("id"),
+        F.expr("cast(o_orderkey * 37 % 100000 - 500 as double)").alias("requested_at"),
+        F.expr("case when o_orderkey % 3 = 0 then 'asked-' || cast(o_custkey as string) end").alias("explicit"),
+        F.expr("'cust-' || cast(o_custkey * 2 as string)").alias("current"),
+    )
+    return recall.recall_scope_at(requests, inputs.sessions(spark, sf)).select("id", "scope")
+
+
 @query
 def recall_view(spark, sf):
     return recall.recall_view(_archive(spark, sf))
@@ -781,6 +813,18 @@ def symbol_outline(spark, sf):
     return symbols.symbol_outline(inputs.sources(spark, sf)).select("path", "outline")
 
 
+@query
+def symbols_cached(spark, sf):
+    """Two runs over one cache: the second finds every content of its files there."""
+    path = fresh_path(spark, "symbols")
+    files = inputs.sources(spark, sf)
+    copies = files.select(F.concat(F.lit("copy/"), "path").alias("path"), "content")
+    symbols.cached_symbols(files, path, "first")
+    d = symbols.cached_symbols(files.unionByName(copies), path, "second")
+    n = ("ord", "start_line", "end_line")
+    return d.select("path", *[long(F.col(c)).alias(c) for c in n], "name", "kind", "docstring", "parent")
+
+
 # --- streams, replayed over a table -------------------------------------------------------------------
 PARTS = 3
 TEN_YEARS = 3_653 * 86_400.0

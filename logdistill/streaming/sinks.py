@@ -63,9 +63,10 @@ def archive_sink(
 
     A batch is one commit named by its query and number: run again it replaces
     itself, so each segment is archived exactly once, and streams that share an
-    archive keep out of each other's commits. If a pruner fails, the raw texts
-    of the batch are archived instead; other faults stop the stream, which
-    repeats the batch when it starts again. ``index`` names the columns whose
+    archive keep out of each other's commits. A text that a pruner fails on stays
+    raw; if Spark cannot even plan a pruner, the raw texts of the whole batch are
+    archived. Other faults stop the stream, which repeats the batch when it starts
+    again. ``index`` names the columns whose
     words go to the search index along with the batch.
     """
 

@@ -237,6 +237,28 @@ def test_scope(spark, entries, sessions):
     assert got == {1: "x", 2: "old", 3: "new", 4: "new"}
 
 
+def test_scope_at_the_time_of_the_request(spark):
+    """Against a scan over all sessions, with ties, nulls, repeats and a hot second."""
+    starts = [(f"s{i % 37}-{i}", float(i % 50 * 10)) for i in range(300)] + [("void", None)]
+    sessions = spark.createDataFrame(starts, "session_id string, started_at double")
+    asks = [(i, float(i * 7 % 520 - 10) if i % 3 else 250.0, "me" if i % 11 == 0 else None,
+             starts[i % 90][0] if i % 5 == 0 else "ghost") for i in range(900)]
+    asks += [(900, None, None, None), (901, 250.0, None, None), (901, 250.0, None, None)]
+    requests = spark.createDataFrame(asks, "id int, requested_at double, explicit string, current string")
+    known = {s for s, _ in starts}
+
+    def expected(t, explicit, current):
+        before = [] if t is None else sorted((-at, s) for s, at in starts if at is not None and at <= t)
+        return explicit or (current if current in known else None) or (before[0][1] if before else None)
+
+    got = sorted((r.id, r.scope) for r in recall.recall_scope_at(requests, sessions).collect())
+    assert got == sorted((i, expected(*rest)) for i, *rest in asks)
+    ranges = recall.newest_started(requests, sessions)
+    assert ranges.columns == [*requests.columns, "_newest"]
+    assert recall.recall_scope_at(requests.limit(0), sessions).count() == 0
+    assert {r.scope for r in recall.recall_scope_at(requests.where("id = 901"), sessions.limit(0)).collect()} == {None}
+
+
 def test_views(entries, sessions):
     got = {r.session_id: r for r in recall.session_view(sessions).collect()}
     assert got["new"].command == "pytest -q" and got["new"].state == "…" and got["old"].state == "✓"

@@ -302,6 +302,52 @@ def test_a_failing_pruner_leaves_the_raw_text(spark, tmp_path, segment_files):
     assert len(got) == 3 and not any(r.was_pruned for r in got)
 
 
+class Picky(P.Pruner):
+    """Fails for texts with an ``é``."""
+
+    name = "picky"
+
+    def compress(self, c):
+        return F.when(c.contains("é"), F.raise_error(F.lit("no"))).otherwise(F.lit("short"))
+
+
+def test_only_the_failing_texts_of_a_batch_stay_raw(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    data = [
+        ("a", 1, at, at, 1, 9, b"line\n" * 40),
+        ("a", 2, at, at, 1, 9, "é\n".encode() * 40),
+        ("b", 1, at, at, 1, 9, b"other\n" * 40),
+    ]
+    spark.createDataFrame(data, schemas.SEGMENT).coalesce(1).write.parquet(f"{tmp_path}/segments")
+    stream = spark.readStream.schema(schemas.SEGMENT).parquet(f"{tmp_path}/segments")
+    path = f"{tmp_path}/archive"
+    sinks.drain(sinks.archive_sink(stream, path, f"{tmp_path}/state", pruners=[Picky()]))
+    got = {(r.raw_content[:1], r.was_pruned, r.compressed_summary) for r in read_entries(spark, path).collect()}
+    assert got == {("l", True, "short"), ("é", False, ""), ("o", True, "short")}
+
+
+def test_a_failure_ends_the_chain_and_none_does_not(spark):
+    rows = [(1, "é\n" * 40), (2, "line\n" * 40), (3, None), (4, ""), (5, "few")]
+    texts = spark.createDataFrame(rows, "id int, raw_content string")
+
+    class Mute(P.Pruner):
+        name = "mute"
+
+        def compress(self, c):
+            return F.lit(None).cast("string")
+
+    python = P.python_pruner(lambda t: True, lambda t: "py", "py")
+    for chain, want in (
+        ([Picky(), P.OutputPruner()], {1: None, 2: "picky", 3: None, 4: None, 5: None}),
+        ([Mute(), P.OutputPruner()], {1: "output", 2: "output", 3: None, 4: None, 5: None}),
+        ([Picky(), python], {1: None, 2: "picky", 3: None, 4: None, 5: None}),
+        ([Mute(), python], {1: "py", 2: "py", 3: None, 4: None, 5: None}),
+    ):
+        got = {r.id: r for r in P.prune(texts, chain).collect()}
+        assert {i: r.pruner_name for i, r in got.items()} == want
+        assert all(r.was_pruned == (r.pruner_name is not None) for r in got.values())
+
+
 def test_live_counters_add_up_over_batches(spark, tmp_path):
     schema = "session_id string, raw_content string"
     flood = "same line again\n" * 40

@@ -75,3 +75,20 @@ def test_files(spark, tmp_path):
     twice = table(spark, a=SOURCE).unionByName(table(spark, a=SOURCE)).unionByName(table(spark, a=b"x"))
     assert S.distinct_content(describe_files(twice)).count() == 2
     assert describe_files(table(spark, a=b"x")).select(F.max("line_count")).first()[0] == 1
+
+
+def test_cache_parses_each_content_once(spark, tmp_path):
+    path = str(tmp_path)
+    first = table(spark, a=SOURCE, b=SOURCE, c=b"def x(): pass")
+    got = S.cached_symbols(first, path, "one")
+    assert sorted(got.collect()) == sorted(S.symbol_ranges(first).collect())
+    parsed = lambda: {r["commit"]: r["count"] for r in S.read_cache(spark, path, True).groupBy("commit").count().collect()}
+    assert parsed() == {"one": 2}
+    more = first.unionByName(table(spark, d=SOURCE, e=None, f=b"", g=b"class New: pass"))
+    got = S.cached_symbols(more, path, "two")
+    assert sorted(got.collect()) == sorted(S.symbol_ranges(more).collect())
+    assert parsed() == {"one": 2, "two": 2}  # the empty and the new one
+    S.cached_symbols(more, path, "two")
+    S.cached_symbols(more, path, "three")
+    assert parsed() == {"one": 2, "two": 2}
+    assert S.cached_symbols(more.limit(0), path, "four").count() == 0

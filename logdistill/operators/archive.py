@@ -82,6 +82,10 @@ def append_entries(
         numbered.select(*known).write.mode("overwrite").parquet(target)
     if index:
         search.write_index(spark.read.schema(schemas.ENTRY).parquet(target), path, tuple(index), commit)
+    # Totals come last: a commit is repeated whole if it is lost before they are there.
+    _totals(spark.read.schema(schemas.ENTRY).parquet(target)).write.mode("overwrite").parquet(
+        f"{path}/totals/commit={commit}"
+    )
     return spark.read.parquet(target)
 
 
@@ -178,6 +182,26 @@ def ensure_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(missing)
 
 
+def append_sessions(new: DataFrame, path: str, commit: str | None = None) -> None:
+    """Add those sessions of ``new`` that the archive's session table lacks.
+
+    A commit written again replaces itself. A deleted session stays deleted.
+    """
+    spark = new.sparkSession
+    commit = commit or uuid.uuid4().hex
+    names = [f.split()[0] for f in schemas.SESSION.split(", ")]
+    rows = new.select(*names)
+    if any(n != f"commit={commit}" for n in file_names(spark, f"{path}/sessions")):
+        stored = spark.read.schema("session_id STRING, commit STRING").parquet(f"{path}/sessions")
+        others = stored.where(F.col("commit") != commit)
+        rows = rows.join(others.select("session_id"), "session_id", "left_anti").select(*names)
+    first = F.min(F.struct("started_at", *[n for n in names[1:] if n != "started_at"])).alias("f")
+    rows = rows.groupBy("session_id").agg(first)
+    rows.select("session_id", *[F.col(f"f.{n}").alias(n) for n in names[1:]]).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/sessions/commit={commit}")
+
+
 def close_sessions(sessions: DataFrame, closes: DataFrame) -> DataFrame:
     """Set end time and net tokens saved from ``(session_id, ended_at, tokens_saved)``.
 
@@ -232,10 +256,33 @@ def fold_sessions(events: DataFrame) -> DataFrame:
 def mark_deleted(ids: DataFrame, path: str, commit: str | None = None) -> None:
     """Delete the entries ``id`` of an archive for its readers and its index.
 
-    Nothing is rewritten: the ids are noted, and never given to another entry.
+    Nothing is rewritten: the ids are noted, and never given to another entry. With an
+    id goes what it counted for, so that kept totals need no entries to leave it out.
     """
+    spark = ids.sparkSession
     target = f"{path}/deleted/commit={commit or uuid.uuid4().hex}"
-    ids.select(F.col("id").cast("bigint")).distinct().write.mode("overwrite").parquet(target)
+    gone = ids.select(F.col("id").cast("bigint")).distinct()
+    names = [f.split()[0] for f in schemas.DELETED.split(", ")]
+    if file_names(spark, f"{path}/entries"):
+        counted = read_entries(spark, path, deleted=True).select(*names)
+        # The inner join can broadcast few ids and leave the entries where they are.
+        gone = gone.join(gone.join(counted, "id"), "id", "left").select(*names)
+    gone.write.mode("overwrite").parquet(target)
+
+
+def delete_sessions(ids: DataFrame, path: str, commit: str | None = None) -> None:
+    """Delete sessions of an archive, and all entries they have so far, for its readers.
+
+    Entries and index leave out the entries, session table and log the sessions. The
+    entries go first: run again under its name, a deletion that was cut short is whole.
+    """
+    spark = ids.sparkSession
+    commit = commit or uuid.uuid4().hex
+    gone = ids.select("session_id").where(F.col("session_id").isNotNull()).distinct()
+    if file_names(spark, f"{path}/entries"):
+        held = read_entries(spark, path, deleted=True).select("id", "session_id")
+        mark_deleted(held.join(gone, "session_id", "left_semi"), path, commit)
+    gone.write.mode("overwrite").parquet(f"{path}/deleted_sessions/commit={commit}")
 
 
 def delete_entries(
@@ -288,21 +335,45 @@ def session_stats(entries: DataFrame, sessions: DataFrame) -> DataFrame:
 
     Aggregated before the join and without touching the text columns.
     """
+    return _of_sessions(_totals(entries), sessions)
+
+
+TOTALS = [f.split()[0] for f in schemas.TOTALS.split(", ")][1:]
+
+
+def _totals(entries: DataFrame) -> DataFrame:
+    """Counts and token sums per session."""
     pruned = F.col("was_pruned")
-    per = entries.groupBy("session_id").agg(
+    return entries.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("total_entries"),
         F.sum(pruned.cast("bigint")).alias("pruned_entries"),
         F.sum("token_estimate").alias("raw_tokens"),
         F.sum(F.when(pruned, F.col("token_estimate")).otherwise(0)).alias("pruned_raw_tokens"),
     )
-    names = ["total_entries", "pruned_entries", "raw_tokens", "pruned_raw_tokens"]
+
+
+def _of_sessions(per: DataFrame, sessions: DataFrame) -> DataFrame:
     return (
         sessions.select("session_id")
         .join(per, "session_id", "left")
-        .select("session_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+        .select("session_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in TOTALS])
     )
 
 
+def stored_stats(spark: SparkSession, path: str, sessions: DataFrame) -> DataFrame:
+    """``session_stats`` of a written archive from the totals that its commits keep.
+
+    Reads one row per commit and session and one per deleted entry, however often it
+    was deleted, but no entries.
+    """
+    kept = spark.read.schema(schemas.TOTALS).parquet(f"{path}/totals").select("session_id", *TOTALS)
+    if file_names(spark, f"{path}/deleted"):
+        noted = spark.read.schema(schemas.DELETED).parquet(f"{path}/deleted")
+        gone = _totals(noted.where(F.col("session_id").isNotNull()).dropDuplicates(["id"]))
+        kept = kept.unionByName(gone.select("session_id", *[(-F.col(n)).alias(n) for n in TOTALS]))
+    return _of_sessions(kept.groupBy("session_id").agg(*[F.sum(n).alias(n) for n in TOTALS]), sessions)
+
+
 def session_cost(
     stats: DataFrame, counters: DataFrame, usd_per_million: float = USD_PER_MILLION_TOKENS
 ) -> DataFrame:

@@ -305,6 +305,10 @@ STATS = """st AS (SELECT sess.session_id, count(p.id) AS total_entries,
     FROM sess LEFT JOIN p USING (session_id) GROUP BY sess.session_id)"""
 SQL["session_stats"] = ctes(LOGS, pruned(), SESSIONS, STATS) + """SELECT session_id, total_entries,
     pruned_entries, raw_tokens, pruned_raw_tokens FROM st"""
+SQL["session_stats_stored"] = ctes(
+    LOGS, pruned(), SESSIONS, STATS.replace("LEFT JOIN p USING", "LEFT JOIN (FROM p WHERE NOT contains(raw, 'CRITICAL')) p USING")
+) + """SELECT session_id, total_entries,
+    pruned_entries, raw_tokens, pruned_raw_tokens FROM st"""
 SQL["session_cost"] = ctes(LOGS, pruned(), SESSIONS, STATS) + """SELECT session_id, total_entries AS chunks,
     pruned_entries AS pruned, net_tokens_saved, round(CASE WHEN pruned_raw_tokens > 0
     THEN net_tokens_saved / pruned_raw_tokens * 100 ELSE 0.0 END, 6) AS saved_pct,
@@ -353,6 +357,9 @@ SQL["session_log"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id, any_value
 SQL["delete_entries"] = """SELECT doc_id AS id, source AS session_id FROM documents WHERE NOT contains(text, 'that')"""
 SQL["delete_session_cascade"] = ctes(LOGS, SESSIONS) + """SELECT id, session_id FROM src WHERE session_id NOT IN (
     SELECT session_id FROM sess WHERE ended_at IS NULL)"""
+SQL["archive_session_cascade"] = ctes(LOGS, SESSIONS) + """SELECT sess.session_id, any_value(started_at) AS started_at,
+    count(src.id) AS n_entries, count(src.id) AS n_postings, 1::BIGINT AS n_events FROM sess
+    LEFT JOIN src USING (session_id) WHERE ended_at IS NOT NULL GROUP BY sess.session_id"""
 SQL["fk_orphans"] = ctes(LOGS, SESSIONS) + """SELECT id, session_id FROM src WHERE session_id NOT IN (
     SELECT session_id FROM sess WHERE ended_at IS NOT NULL)"""
 
@@ -375,6 +382,10 @@ SQL["entry_preview"] = LOGS_PRUNED + f"""SELECT id, {strip('left(c, 300)')} || C
     THEN {NL} || '  …' ELSE '' END AS preview FROM (SELECT id, {SANE.format(
     "CASE WHEN compressed_summary <> '' THEN compressed_summary ELSE raw END")} AS c FROM p)"""
 
+SQL["needle_lookup"] = """WITH nd AS (SELECT unnest(string_split(text, ' ')) AS needle FROM benchmark
+    UNION SELECT text FROM benchmark) SELECT needle, count(doc_id) AS n_entries, min(doc_id) AS first_id
+    FROM nd LEFT JOIN documents ON contains(text, needle) WHERE needle <> '' GROUP BY needle"""
+
 # --- search ------------------------------------------------------------------------------------------------
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -14,6 +14,7 @@ from ..operators import (
     benchmark,
     commands,
     lines,
+    needles,
     prune,
     recall,
     search,
@@ -317,6 +318,21 @@ def session_stats(spark, sf):
     return archive.session_stats(_archive(spark, sf), inputs.sessions(spark, sf))
 
 
+@query
+def session_stats_stored(spark, sf):
+    """Statistics from the totals that commits keep: two, one written twice, and deletions."""
+    path = fresh_path(spark, "archive")
+    rows = _pruned(spark, sf).withColumn("seq", F.col("id")).drop("id")
+    some = F.col("kind").isin("traceback", "flood")
+    archive.append_entries(rows.where(some), path, "some")
+    archive.append_entries(rows.where(~some), path, "rest")
+    archive.append_entries(rows.where(~some), path, "rest")
+    gone = tables.read_entries(spark, path).where("contains(raw_content, 'CRITICAL')").select("id")
+    archive.mark_deleted(gone, path, "critical")
+    archive.mark_deleted(gone, path, "again")
+    return archive.stored_stats(spark, path, inputs.sessions(spark, sf))
+
+
 @query
 def pipeline_counters(spark, sf):
     return prune.pipeline_counters(_shown(spark, sf))
@@ -467,6 +483,37 @@ def delete_session_cascade(spark, sf):
     return kept.select("id", "session_id")
 
 
+@query
+def archive_session_cascade(spark, sf):
+    """Sessions deleted in a written archive: table, log, entries and index read back."""
+    path = fresh_path(spark, "archive")
+    known = inputs.sessions(spark, sf)
+    archive.append_sessions(known, path, "customers")
+    archive.append_session_events(
+        known.select("session_id", F.lit("open").alias("kind"), F.col("started_at").alias("event_ts"),
+                     "agent_command", F.lit(None).cast("bigint").alias("tokens_saved")),
+        path, "customers",
+    )
+    rows = inputs.log_keys(spark, sf).select(
+        "session_id", F.col("id").alias("seq"), "timestamp", "entry_type", F.col("kind").alias("raw_content")
+    )
+    archive.append_entries(rows, path, "orders", index=("raw_content",))
+    archive.delete_sessions(known.where("ended_at is null").select("session_id"), path, "open")
+    entries = tables.read_entries(spark, path)
+    postings_, _ = search.read_index(spark, path)
+    held = postings_.groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    per = entries.select("id", "session_id").join(held, "id", "full").groupBy("session_id").agg(
+        F.count("id").alias("n_entries"), F.sum("n").alias("n_postings")
+    )
+    events = tables.read_session_log(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_events"))
+    counts = ("n_entries", "n_postings", "n_events")
+    return (
+        tables.read_sessions(spark, path).select("session_id", "started_at")
+        .join(per, "session_id", "full").join(events, "session_id", "full")
+        .select("session_id", "started_at", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+    )
+
+
 @query
 def fk_orphans(spark, sf):
     open_ = inputs.sessions(spark, sf).where("ended_at is not null")
@@ -522,6 +569,22 @@ def entry_preview(spark, sf):
     return recall.preview(_archive(spark, sf)).select("id", "preview")
 
 
+@query
+def needle_lookup(spark, sf):
+    """All words and whole texts of the benchmark, looked for in all documents."""
+    path = fresh_path(spark, "archive")
+    docs = inputs.documents(spark, sf)
+    text_ = inputs.table(spark, sf, "benchmark", "text")
+    words = text_.select(F.explode(F.split("text", " ")).alias("needle"))
+    asked = words.unionByName(text_.select(F.col("text").alias("needle"))).where("needle <> ''").distinct()
+    needles.write_grams(docs, path, "documents")
+    held = needles.needle_lookup(asked, docs, needles.read_grams(spark, path))
+    per = held.groupBy("needle").agg(F.count(F.lit(1)).alias("n_entries"), F.min("id").alias("first_id"))
+    return asked.join(per, "needle", "left").select(
+        "needle", F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"), "first_id"
+    )
+
+
 # --- search --------------------------------------------------------------------------------
 THE, AND, OF, IN = (search.term(w) for w in ("the", "AND", "of", "ING"))
 SEARCHES: dict[str, search.Expr] = {

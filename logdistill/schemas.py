@@ -18,3 +18,8 @@ SEGMENT = (
 )
 POSTING = "term STRING, entry_id BIGINT, doc_len BIGINT, tf INT, positions ARRAY<INT>"
 DOCUMENT = "entry_id BIGINT, doc_len BIGINT"
+DELETED = "id BIGINT, session_id STRING, token_estimate BIGINT, was_pruned BOOLEAN"
+TOTALS = (
+    "session_id STRING, total_entries BIGINT, pruned_entries BIGINT, raw_tokens BIGINT, "
+    "pruned_raw_tokens BIGINT"
+)

@@ -26,20 +26,32 @@ def read_entries(
 
 def without_deleted(df: DataFrame, path: str, key: str = "id") -> DataFrame:
     """Rows of an archive's table whose entry ``key`` has not been deleted there."""
+    return _without(df, f"{path}/deleted", "id BIGINT", key)
+
+
+def _without(df: DataFrame, noted: str, schema: str, key: str) -> DataFrame:
     spark = df.sparkSession
-    if not file_names(spark, f"{path}/deleted"):
+    if not file_names(spark, noted):
         return df
-    gone = spark.read.schema("id BIGINT").parquet(f"{path}/deleted").distinct()
-    return df.join(gone, df[key] == gone["id"], "left_anti")
+    gone = spark.read.schema(schema + ", commit STRING").parquet(noted).drop("commit").distinct()
+    return df.join(gone, df[key] == gone[gone.columns[0]], "left_anti")
+
+
+def without_deleted_sessions(df: DataFrame, path: str) -> DataFrame:
+    """Rows of an archive's table whose session has not been deleted there."""
+    return _without(df, f"{path}/deleted_sessions", "session_id STRING", "session_id")
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SESSION).parquet(f"{path}/sessions")
+    """The session table without deleted sessions."""
+    stored = spark.read.schema(schemas.SESSION + ", commit STRING").parquet(f"{path}/sessions")
+    return without_deleted_sessions(stored.drop("commit"), path)
 
 
 def read_session_log(spark: SparkSession, path: str) -> DataFrame:
+    """The session log without the events of deleted sessions."""
     log = spark.read.schema(schemas.SESSION_EVENT + ", commit STRING").parquet(f"{path}/session_log")
-    return log.drop("commit")
+    return without_deleted_sessions(log.drop("commit"), path)
 
 
 def decode_output(df: DataFrame, col: str = "data", out: str = "text") -> DataFrame:

@@ -146,6 +146,58 @@ def test_stats_with_zeros_for_an_empty_session(entries, sessions):
     assert got == {"old": (2, 1, 180, 80), "new": (1, 0, 20, 0), "tie": (0, 0, 0, 0)}
 
 
+def test_kept_totals_equal_a_rescan(spark, sessions, tmp_path):
+    path = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(
+        [(s, i, float(i), "stdout", "x", "", n, p) for i, (s, n, p) in enumerate(r)],
+        "session_id string, seq int, " + ", ".join(schemas.ENTRY.split(", ")[2:]),
+    )
+    note = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+
+    def agree():
+        rescan = A.session_stats(read_entries(spark, path), sessions).collect()
+        assert sorted(A.stored_stats(spark, path, sessions).collect()) == sorted(rescan)
+
+    A.append_entries(rows(("old", 5, True), ("old", 7, False), ("new", None, None), (None, 3, True)), path, "a")
+    agree()
+    A.append_entries(rows(("old", 11, True), ("stray", 2, True)), path, "b")
+    A.append_entries(rows(("old", 11, True), ("new", 2, True)), path, "b")  # replaces itself
+    agree()
+    A.mark_deleted(note(1, 4, 5, 99), path, "x")
+    A.mark_deleted(note(1, 4, 5, 99), path, "x")
+    agree()
+    A.mark_deleted(note(1, 2), path, "y")  # 1 is gone already
+    agree()
+    A.mark_deleted(note(), path, "z")
+    agree()
+    A.append_entries(rows(("old", 13, True)), path, "c")
+    agree()
+
+
+def test_sessions_deleted_in_the_archive(spark, sessions, entries, tmp_path):
+    path = str(tmp_path)
+    A.append_sessions(sessions.where("session_id = 'old'"), path, "a")
+    A.append_sessions(sessions.unionByName(sessions), path, "b")
+    A.append_sessions(sessions.unionByName(sessions), path, "b")
+    assert sorted(read_sessions(spark, path).collect()) == sorted(sessions.collect())
+    events = sessions.select(
+        "session_id", F.lit("open").alias("kind"), F.col("started_at").alias("event_ts"), "agent_command",
+        F.lit(0).cast("bigint").alias("tokens_saved"),
+    )
+    A.append_session_events(events, path, "a")
+    A.append_entries(entries.drop("id").withColumn("seq", F.lit(1)), path, "a", index=("raw_content",))
+    gone = spark.createDataFrame([("old",), ("ghost",), (None,)], "session_id string")
+    for _ in range(2):
+        A.delete_sessions(gone, path, "d")
+    for table in (read_entries(spark, path), read_sessions(spark, path), read_session_log(spark, path)):
+        assert "old" not in {r.session_id for r in table.collect()} and not table.isEmpty()
+    postings, documents = search.read_index(spark, path)
+    assert {r.entry_id for r in postings.collect()} == {r.entry_id for r in documents.collect()} == {3}
+    A.append_sessions(sessions, path, "c")
+    assert {r.session_id for r in read_sessions(spark, path).collect()} == {"new", "tie"}
+    assert A.fk_orphans(read_entries(spark, path), read_sessions(spark, path)).isEmpty()
+
+
 def test_cost(spark, entries, sessions):
     counters = spark.createDataFrame([("old", 60)], "session_id string, tokens_saved long")
     got = {r.session_id: r for r in A.session_cost(A.session_stats(entries, sessions), counters).collect()}

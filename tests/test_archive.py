@@ -266,6 +266,37 @@ def test_stats_scan_reads_no_text(spark, entries, sessions, tmp_path):
     assert "raw_content" not in plan
 
 
+def test_lookups_skip_files(spark, tmp_path):
+    """Sessions named around the wanted one are in every file, itself only in one."""
+    path = str(tmp_path)
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") == 7_000, "m").otherwise(F.concat(F.lit("m"), F.col("id") % 500)).alias("session_id"),
+        F.col("id").alias("seq"), F.col("id").cast("double").alias("timestamp"), F.lit("stdout").alias("entry_type"),
+        F.lit("text").alias("raw_content"),
+    )
+    rows = rows.withColumn("session_id", F.when(F.col("seq") % 500 == 1, "a").otherwise(F.col("session_id")))
+    small = "spark.sql.adaptive.coalescePartitions.enabled"  # keep the small ranges apart
+    spark.conf.set(small, "false")
+    try:
+        A.append_entries(rows, path, "all")
+    finally:
+        spark.conf.unset(small)
+    files = len([f for f in os.listdir(f"{path}/entries/commit=all") if f.endswith(".parquet")])
+    assert files > 4
+
+    def read(df):
+        got = df.collect()
+        return got, df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    stored = read_entries(spark, path)
+    got, n = read(stored.where("session_id = 'm'"))
+    assert [r.id for r in got] == [7_001] and n < 20_000 / files * 2
+    got, n = read(recall.recall_by_id(stored, [3, 19_000]))
+    assert {r.id for r in got} == {3, 19_000} and n < 20_000 / files * 3
+    recent = A.recent_entries(stored, "m3").select("id").collect()
+    assert [r.id for r in recent] == [i for i in range(20_000, 0, -1) if i % 500 == 4][:50]
+
+
 def test_recall(spark, entries, sessions):
     handles = spark.createDataFrame([(1,), (50,)], "id long")
     got = {r.id: r.raw_content for r in recall.recall_by_id(entries, handles).collect()}

@@ -572,13 +572,11 @@ def entry_preview(spark, sf):
 @query
 def needle_lookup(spark, sf):
     """All words and whole texts of the benchmark, looked for in all documents."""
-    path = fresh_path(spark, "archive")
     docs = inputs.documents(spark, sf)
     text_ = inputs.table(spark, sf, "benchmark", "text")
     words = text_.select(F.explode(F.split("text", " ")).alias("needle"))
     asked = words.unionByName(text_.select(F.col("text").alias("needle"))).where("needle <> ''").distinct()
-    needles.write_grams(docs, path, "documents")
-    held = needles.needle_lookup(asked, docs, needles.read_grams(spark, path))
+    held = needles.needle_lookup(asked, docs, needles.gram_postings(docs))
     per = held.groupBy("needle").agg(F.count(F.lit(1)).alias("n_entries"), F.min("id").alias("first_id"))
     return asked.join(per, "needle", "left").select(
         "needle", F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"), "first_id"

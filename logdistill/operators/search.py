@@ -17,7 +17,7 @@ from .. import schemas
 from ..functions.arrays import bind, runs
 from ..functions.steps import with_once
 from ..functions.stem import MAX_REWRITTEN, porter
-from ..shared import scratch, written
+from ..shared import file_names, scratch, written
 from ..sources.tables import without_deleted
 
 # --- fixed values -----------------------------------------------------------
@@ -28,6 +28,11 @@ K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
 # ----------------------------------------------------------------------------
 
+#: Entries whose postings of a term share one row of maxima.
+BLOCK = 1024
+#: Ranges of entries in the filter of a scan, at most.
+RANGES = 64
+
 
 # --- query combinators ------------------------------------------------------
 @dataclass(frozen=True)
@@ -182,6 +187,7 @@ def write_index(
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
             .write.mode("overwrite")
+            .option("parquet.page.row.count.limit", BLOCK)  # a range of entries skips pages
             .parquet(f"{path}/postings{part}")
         )
     document_lengths(entries, columns).write.mode("overwrite").parquet(f"{path}/documents{part}")
@@ -311,13 +317,20 @@ def _rank(counts: DataFrame, documents: DataFrame, leaves: list[Phrase]) -> Colu
     corpus = corpus_stats(documents).select(F.struct("n_docs", "avg_len").alias("s")).scalar()
     holding = [F.count(F.when(F.col(f"c{j}") > 0, 1)).alias(f"d{j}") for j in range(len(leaves))]
     hits = counts.agg(F.struct(*holding).alias("d")).scalar()
+    tfs = [F.col(f"c{j}") for j in range(len(leaves))]
+    dfs = [hits[f"d{j}"] for j in range(len(leaves))]
+    return -_score(tfs, dfs, [F.col("doc_len")] * len(leaves), corpus["n_docs"], corpus["avg_len"])
+
+
+def _score(
+    tfs: list[Column], dfs: list[Column], lengths: list[Column], n_docs: Column, avg_len: Column
+) -> Column:
     total = F.lit(0.0)
-    for j in range(len(leaves)):
-        tf, df = F.col(f"c{j}"), hits[f"d{j}"]
-        idf = F.greatest(F.log((corpus["n_docs"] - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
-        length = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / corpus["avg_len"]
+    for tf, df, doc_len in zip(tfs, dfs, lengths, strict=True):
+        idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
+        length = F.lit(1 - B) + F.lit(B) * doc_len / avg_len
         total = total + idf * (tf * (K1 + 1)) / (tf + F.lit(K1) * length)
-    return -total
+    return total
 
 
 def _ranked(
@@ -388,3 +401,170 @@ def with_entry(best: DataFrame, entries: DataFrame) -> DataFrame:
     """The entries of a top-k list with their ranks."""
     # Spark broadcasts a short list by itself: the entries are scanned where they lie.
     return entries.join(best, F.col("id") == F.col("entry_id")).drop("entry_id")
+
+
+# --- the best entries without reading whole posting lists --------------------------------
+def write_maxima(spark: SparkSession, path: str, commit: str | None = None) -> None:
+    """Per term and block of entries: how many hold it, how often at most, the shortest.
+
+    No score of the block is above that of its most frequent, shortest entry, whatever
+    the mean length will be when the archive has grown. Call it after ``write_index``
+    with the same commit; lengths are kept as one row per commit.
+    """
+    part = f"/commit={commit}" if commit else ""
+    postings = spark.read.schema(schemas.POSTING).parquet(f"{path}/postings{part}")
+    documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents{part}")
+    (
+        postings.groupBy("term", _block().alias("block"))
+        .agg(
+            F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("doc_len").alias("shortest")
+        )
+        .sortWithinPartitions("term", "block")
+        .write.mode("overwrite")
+        .parquet(f"{path}/maxima{part}")
+    )
+    documents.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_words")
+    ).write.mode("overwrite").parquet(f"{path}/lengths{part}")
+
+
+def _block() -> Column:
+    return F.floor(F.col("entry_id") / BLOCK)
+
+
+def _may_hold(e: Expr, there: dict[Phrase, Column]) -> Column:
+    """Whether a block can have a match: words that must be missing tell nothing."""
+    if isinstance(e, Phrase):
+        return there[e]
+    tests = [_may_hold(p, there) for p in e.parts]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t if e.kind == "all" else out | t if e.kind == "any" else out
+    return out
+
+
+@dataclass(frozen=True)
+class _Statistics:
+    """What scores need to know of an index, numbers only."""
+
+    n_docs: int
+    avg_len: float
+    dfs: list[int]
+
+    def score(self, tfs: list[Column], lengths: list[Column]) -> Column:
+        dfs = [F.lit(d) for d in self.dfs]
+        return _score(tfs, dfs, lengths, F.lit(self.n_docs), F.lit(self.avg_len))
+
+
+def _statistics(spark: SparkSession, path: str, maxima: DataFrame, stems: list[str]) -> _Statistics:
+    """From the kept sums; of deleted entries, what they held is taken off again."""
+    df = {r.term: r.n for r in maxima.groupBy("term").agg(F.sum("df").alias("n")).collect()}
+    lengths = spark.read.schema("n_docs BIGINT, n_words BIGINT").parquet(f"{path}/lengths")
+    n_docs, n_words = lengths.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    if file_names(spark, f"{path}/deleted"):
+        gone = spark.read.schema("id BIGINT").parquet(f"{path}/deleted").distinct()
+        here = F.col("entry_id") == F.col("id")
+        postings = spark.read.schema(schemas.POSTING).parquet(f"{path}/postings")
+        lost = postings.where(F.col("term").isin(stems)).join(gone, here, "left_semi")
+        for r in lost.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect():
+            df[r.term] -= r.n
+        documents = spark.read.schema(schemas.DOCUMENT).parquet(f"{path}/documents")
+        lost_docs, lost_words = (
+            documents.join(gone, here, "left_semi")
+            .agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0)))
+            .first()
+        )
+        n_docs, n_words = n_docs - lost_docs, n_words - lost_words
+    return _Statistics(n_docs or 0, n_words / n_docs if n_docs else 1.0, [df.get(s, 0) for s in stems])
+
+
+def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
+    """Entries of the blocks from .. to .., as a filter that reaches the scan."""
+    found = F.lit(False)
+    for first, last in ranges:
+        found = found | F.col("entry_id").between(first * BLOCK, last * BLOCK + BLOCK - 1)
+    return found
+
+
+def _ranges(blocks: DataFrame) -> list[tuple[int, int]]:
+    """All the blocks in up to ``RANGES`` ranges, which may hold others too."""
+    low, high = blocks.agg(F.min("block"), F.max("block")).first()
+    if low is None:
+        return []
+    stretch = (high - low) // RANGES + 1
+    rows = (
+        blocks.groupBy(F.floor((F.col("block") - low) / stretch).alias("stretch"))
+        .agg(F.min("block").alias("first"), F.max("block").alias("last"))
+        .collect()
+    )
+    return sorted((r["first"], r["last"]) for r in rows)
+
+
+def best_ranges(
+    spark: SparkSession, path: str, expr: Expr, limit: int = 20
+) -> tuple[list[tuple[int, int]], _Statistics]:
+    """Ranges of blocks that hold the best ``limit`` matches, ties included, by maxima.
+
+    The matches of the ``limit`` blocks with the largest bounds give a score to reach;
+    only blocks whose bound reaches it are left. Without that many matches all are.
+    """
+    leaves = _leaves(expr)
+    stem_of = _stems(spark, leaves)
+    stems = [stem_of[p.words[0]] for p in leaves]
+    schema = "term STRING, block BIGINT, df BIGINT, most INT, shortest BIGINT"
+    stored = spark.read.schema(schema).parquet(f"{path}/maxima").where(F.col("term").isin(stems))
+    stats = _statistics(spark, path, stored, stems)
+    by_leaf = [F.col("term") == s for s in stems]
+    merged = stored.groupBy("block").agg(
+        *[F.max(F.when(t, F.col("most"))).alias(f"t{j}") for j, t in enumerate(by_leaf)],
+        *[F.min(F.when(t, F.col("shortest"))).alias(f"l{j}") for j, t in enumerate(by_leaf)],
+    )
+    most = [F.coalesce(f"t{j}", F.lit(0)) for j in range(len(leaves))]
+    shortest = [F.coalesce(f"l{j}", F.lit(0)) for j in range(len(leaves))]
+    there = {p: F.col(f"t{j}").isNotNull() for j, p in enumerate(leaves)}
+    bounds = written(
+        merged.where(_may_hold(expr, there)).select("block", stats.score(most, shortest).alias("bound")),
+        "bounds",
+    )
+    first = bounds.orderBy(F.desc("bound"), "block").limit(limit)
+    ranges = [(r.block, r.block) for r in first.collect()]
+    reached = _best_in(spark, path, expr, ranges, stats, limit).agg(F.count(F.lit(1)), F.max("rank")).first()
+    if reached[0] == limit:
+        # Bounds and scores are sums in the same order, but for the last bit.
+        bounds = bounds.where(F.col("bound") >= -reached[1] * (1 - 1e-12))
+    return _ranges(bounds), stats
+
+
+def _best_in(
+    spark: SparkSession, path: str, expr: Expr, ranges: list[tuple[int, int]], stats: _Statistics, limit: int
+) -> DataFrame:
+    leaves = _leaves(expr)
+    stem_of = _stems(spark, leaves)
+    postings, _ = read_index(spark, path)
+    stems = [stem_of[p.words[0]] for p in leaves]
+    counts = (
+        postings.where(F.col("term").isin(stems) & _in_ranges(ranges))
+        .groupBy("entry_id")
+        .agg(
+            F.max("doc_len").alias("doc_len"),
+            *[
+                F.coalesce(F.max(F.when(F.col("term") == s, F.col("tf"))), F.lit(0)).alias(f"c{j}")
+                for j, s in enumerate(stems)
+            ],
+        )
+    )
+    tfs = {p: F.col(f"c{j}") for j, p in enumerate(leaves)}
+    score = stats.score([F.col(f"c{j}") for j in range(len(leaves))], [F.col("doc_len")] * len(leaves))
+    return top(counts.where(_holds(expr, tfs)).select("entry_id", (-score).alias("rank")), limit)
+
+
+def top_entries(spark: SparkSession, path: str, expr: Expr, limit: int = 20) -> DataFrame:
+    """The best entries of a stored index with maxima: those of ``top(rank_postings(…))``.
+
+    Postings of blocks that cannot hold one of them are not read. Phrases and prefixes,
+    whose counts no maxima tell, are ranked in full.
+    """
+    if any(len(p.words) != 1 or p.prefix for p in _leaves(expr)):
+        return top(rank_postings(*read_index(spark, path), expr), limit)
+    ranges, stats = best_ranges(spark, path, expr, limit)
+    return _best_in(spark, path, expr, ranges, stats, limit)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..functions.steps import with_once
 from ..sources.tables import spread
 
@@ -226,6 +227,33 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Bytes of a piece of ``byte_chunks``: no multiple of a character's length.
+PIECE = 61
+
+
+def byte_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as output of one session each, a piece of ``PIECE`` bytes every millisecond."""
+    def pieces(data: Column) -> Column:
+        last = F.floor((F.octet_length(data) - 1) / PIECE)
+        return F.when(
+            F.octet_length(data) > 0,
+            F.transform(
+                F.sequence(F.lit(0).cast("bigint"), last),
+                lambda i: F.struct(
+                    i.alias("seq"),
+                    F.substring(data, (i * PIECE + 1).cast("int"), F.lit(PIECE)).alias("data"),
+                ),
+            ),
+        )
+
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
+    session = F.expr("'doc-' || cast(doc_id as string)").alias("session_id")
+    cut = docs.select(session, F.explode(bind(F.encode("text", "UTF-8"), pieces)).alias("p"))
+    return cut.select(
+        "session_id", "p.seq", F.timestamp_millis("p.seq").alias("ts"), "p.data", F.lit(False).alias("eof")
+    )
+
+
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     parts = spread(table(spark, sf, "part", "p_partkey", "p_type", "p_size"))
     built = with_once(parts, "content", F.expr(f"encode({SOURCE}, 'UTF-8')"))

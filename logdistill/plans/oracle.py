@@ -536,6 +536,7 @@ LEFT = f"""{TURNS}, src AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY ts
     WHERE NOT contains(raw, 'that'))"""
 SQL["search_after_delete"] = ranked(queries.SEARCHES["search_any"], LEFT) + """SELECT id AS entry_id,
     round(rank, 6) AS rank FROM rk"""
+SQL["search_best_stored"] = SQL["search_after_delete"] + " ORDER BY rk.rank, id LIMIT 20"
 SQL["term_frequencies"] = ctes(index()) + """SELECT term, count(DISTINCT id) AS df, count(*) AS cf
     FROM tk GROUP BY term"""
 SQL["corpus_stats"] = ctes(index()) + "SELECT n_docs, round(avg_len, 6) AS avg_len FROM cs"
@@ -650,6 +651,12 @@ SQL["segments_greedy"] = ctes(CHUNKS, GREEDY) + """SELECT session_id, seg_no::BI
 SQL["segment_text"] = ctes(CHUNKS, GREEDY) + """SELECT session_id, seg_no::BIGINT AS seg_no,
     string_agg(data, '' ORDER BY us, seq) AS text FROM g GROUP BY session_id, seg_no"""
 
+_HELD = -(-queries.BYTES_POLICY.max_bytes // inputs.PIECE) * inputs.PIECE  # bytes of whole pieces
+SQL["segment_text_cut_characters"] = f"""WITH c AS (SELECT doc_id, unnest(l) AS ch, unnest(range(len(l))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents)),
+    e AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM c)
+    SELECT 'doc-' || CAST(doc_id AS STRING) AS session_id, ((ends - 1) // {_HELD} + 1)::BIGINT AS seg_no,
+    string_agg(ch, '' ORDER BY i) AS text FROM e GROUP BY doc_id, 2"""
 SQL["stream_segments_replay"] = SQL["segments_greedy"]
 _ASKED = "o.us - g.last >= " + str(GAP) + " OR g.rows >= 3"
 TERMINAL = f"""g AS (SELECT session_id, rn, seq, us, n, us AS last, 1 AS rows, 1 AS seg_no FROM o WHERE rn = 1

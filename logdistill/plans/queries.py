@@ -32,6 +32,7 @@ from . import inputs
 
 TAG = "LD"
 POLICY = PipePolicy(silence=43_200.0, max_hold=129_600.0, max_bytes=60)
+BYTES_POLICY = PipePolicy(max_bytes=1000)
 TEXT_COLUMNS = ("raw_content", "entry_type")
 PHRASE, PREFIX = "of the", "tion"
 DELETED = "contains(raw_content, 'that')"
@@ -686,6 +687,19 @@ def search_after_delete(spark, sf):
     return ranked.select("entry_id", F.round("rank", 6).alias("rank"))
 
 
+@query
+def search_best_stored(spark, sf):
+    """The best 20 of an index of two commits and deletions, by the maxima of its blocks."""
+    path = fresh_path(spark, "archive")
+    d = inputs.documents(spark, sf).withColumn("seq", F.col("id")).drop("id")
+    for name, rows in (("turns", _turns(spark, sf)), ("documents", d)):
+        archive.append_entries(rows, path, name, TEXT_COLUMNS)
+        search.write_maxima(spark, path, name)
+    archive.mark_deleted(tables.read_entries(spark, path).where(DELETED).select("id"), path)
+    best = search.top_entries(spark, path, SEARCHES["search_any"])
+    return best.select("entry_id", F.round("rank", 6).alias("rank"))
+
+
 @query
 def recall_by_query(spark, sf):
     """The best log about a timeout from the session started last."""
@@ -839,6 +853,14 @@ def segment_text(spark, sf):
     return segments.segment_text(parts).select("session_id", "seg_no", "text")
 
 
+@query
+def segment_text_cut_characters(spark, sf):
+    """Texts as output in pieces of bytes, which cut characters in two."""
+    chunks = inputs.byte_chunks(spark, sf)
+    parts = segments.segment_bytes(chunks, segments.segment_batch(chunks, BYTES_POLICY))
+    return segments.segment_text(parts).select("session_id", "seg_no", "text")
+
+
 @query
 def session_windows(spark, sf):
     d = segments.session_windows(inputs.chunks(spark, sf), "43200 seconds")

@@ -449,6 +449,7 @@ class _Statistics:
 
     n_docs: int
     avg_len: float
+    stems: list[str]
     dfs: list[int]
 
     def score(self, tfs: list[Column], lengths: list[Column]) -> Column:
@@ -475,7 +476,7 @@ def _statistics(spark: SparkSession, path: str, maxima: DataFrame, stems: list[s
             .first()
         )
         n_docs, n_words = n_docs - lost_docs, n_words - lost_words
-    return _Statistics(n_docs or 0, n_words / n_docs if n_docs else 1.0, [df.get(s, 0) for s in stems])
+    return _Statistics(n_docs or 0, n_words / n_docs if n_docs else 1.0, stems, [df.get(s, 0) for s in stems])
 
 
 def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
@@ -539,17 +540,15 @@ def _best_in(
     spark: SparkSession, path: str, expr: Expr, ranges: list[tuple[int, int]], stats: _Statistics, limit: int
 ) -> DataFrame:
     leaves = _leaves(expr)
-    stem_of = _stems(spark, leaves)
     postings, _ = read_index(spark, path)
-    stems = [stem_of[p.words[0]] for p in leaves]
     counts = (
-        postings.where(F.col("term").isin(stems) & _in_ranges(ranges))
+        postings.where(F.col("term").isin(stats.stems) & _in_ranges(ranges))
         .groupBy("entry_id")
         .agg(
             F.max("doc_len").alias("doc_len"),
             *[
                 F.coalesce(F.max(F.when(F.col("term") == s, F.col("tf"))), F.lit(0)).alias(f"c{j}")
-                for j, s in enumerate(stems)
+                for j, s in enumerate(stats.stems)
             ],
         )
     )

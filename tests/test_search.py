@@ -148,3 +148,72 @@ def test_words_of_separators_only_find_nothing(spark):
         "id long, raw_content string, compressed_summary string, session_id string, entry_type string",
     )
     assert S.search_entries(entries, S.term("--")).count() == 0
+
+
+def _scanned(df):
+    """Rows that the scan of a plan without adaptive execution gave to Spark."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "RANGES", 8)
+
+
+def _stored(spark, path, rows, commits=2):
+    """An index of ``rows(id, text)`` in several commits, with maxima."""
+    entries = spark.createDataFrame(
+        [(i, t, "", "stdout") for i, t in rows], "id long, raw_content string, compressed_summary string, entry_type string"
+    )
+    for c in range(commits):
+        S.write_index(entries.where(F.col("id") % commits == c), path, commit=str(c))
+        S.write_maxima(spark, path, str(c))
+
+
+def _texts(n):
+    """One frequent word; its count and the length of the text rise only here and there."""
+    return [
+        (i, " ".join(["error"] * (1 + 5 * (i % 331 == 7)) + ["line"] * (i % 3) + (["disk"] if i % 50 == 0 else []) + ["pad"] * 9))
+        for i in range(1, n + 1)
+    ]
+
+
+def test_best_entries_by_maxima_are_those_of_the_full_ranking(spark, tmp_path, small_blocks):
+    path, error, disk, line = str(tmp_path), S.term("errors"), S.term("disk"), S.term("line")
+    _stored(spark, path, _texts(700))
+
+    def compare(*exprs, limit=20):
+        for e in exprs:
+            want = S.top(S.rank_postings(*S.read_index(spark, path), e), limit).collect()
+            got = S.top_entries(spark, path, e, limit).collect()
+            assert [r.entry_id for r in got] == [r.entry_id for r in want], e
+            assert [r.rank for r in got] == pytest.approx([r.rank for r in want])
+
+    compare(S.any_of(error, disk), S.all_of(error, disk), S.none_of(error, line))
+    compare(S.all_of(disk, S.term("absent")), S.phrase("error line"))
+    # the best ones and an id that was never there go; what they held no longer counts
+    gone = spark.createDataFrame([(7,), (338,), (50,), (10**6,)], "id long")
+    gone.write.parquet(f"{path}/deleted/commit=x")
+    compare(S.any_of(error, disk), limit=2)
+
+
+def test_postings_of_weak_blocks_are_not_read(spark, tmp_path, small_blocks):
+    path, error = str(tmp_path), S.term("error")
+    _stored(spark, path, _texts(1500), commits=1)
+    ranges, _ = S.best_ranges(spark, path, error, 3)
+    # matches lie in five of 94 blocks
+    assert len(ranges) <= 5 and sum(b - a + 1 for a, b in ranges) <= 5
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = spark.read.parquet(f"{path}/postings").where("term = 'error'").select("entry_id", "tf")
+        assert _scanned(read.where(S._in_ranges(ranges))) < _scanned(read) / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_maxima_of_an_empty_index(spark, tmp_path, small_blocks):
+    _stored(spark, str(tmp_path), [], commits=1)
+    assert S.top_entries(spark, str(tmp_path), S.term("error")).collect() == []

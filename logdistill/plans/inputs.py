@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
 from ..functions.steps import with_once
-from ..sources.tables import spread
+from ..sources.tables import dealt, spread
 
 NL = "chr(10)"
 KINDS = ("traceback", "flood", "rust", "gcc", "chatter", "prompt")
@@ -165,7 +165,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(
+    return dealt(
         table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     )
 
@@ -255,7 +255,7 @@ def byte_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
-    parts = spread(table(spark, sf, "part", "p_partkey", "p_type", "p_size"))
+    parts = dealt(table(spark, sf, "part", "p_partkey", "p_type", "p_size"))
     built = with_once(parts, "content", F.expr(f"encode({SOURCE}, 'UTF-8')"))
     return built.select(F.expr(PATH).alias("path"), "content")
 

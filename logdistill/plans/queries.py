@@ -764,7 +764,8 @@ def suite_assertions(spark, sf):
 @query
 def json_report(spark, sf):
     """The report written as JSON and read back."""
-    items = benchmark.item_result(_summarised(spark, sf))
+    # Written: the report and the items' own file need them, the texts are pruned once.
+    items = written(benchmark.item_result(_summarised(spark, sf)), "items")
     report = benchmark.suite_report(items)
     checks = benchmark.suite_assertions(report)
     path = fresh_path(spark, "report")

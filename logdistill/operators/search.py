@@ -247,8 +247,8 @@ def _counts_in_entries(
 ) -> DataFrame:
     """Hits per entry straight from the text, in one projection.
 
-    Only words that could have a wanted stem are stemmed: a stem keeps all but
-    its last ``MAX_REWRITTEN`` letters of the word.
+    Only words that could have a wanted stem are stemmed, each once per entry: a
+    stem keeps all but its last ``MAX_REWRITTEN`` letters of the word.
     """
     stem_of = _stems(entries.sparkSession, leaves)
     starts = sorted({s[: max(len(s) - MAX_REWRITTEN, 1)] for s in stem_of.values()})
@@ -270,10 +270,9 @@ def _counts_in_entries(
 
     def whole(t: Column) -> Column:
         found = F.transform(
-            t,
-            lambda w, i: F.when(candidate(w), F.struct(porter(w).alias("key"), i.alias("pos"))),
+            t, lambda w, i: F.when(candidate(w), F.struct(w.alias("key"), i.alias("pos")))
         )
-        stems = F.filter(found, lambda x: x.isNotNull())
+        stems = _stemmed(F.filter(found, lambda x: x.isNotNull()))
         return bind(stems, lambda s: F.struct(_doc_len(t, columns).alias("doc_len"), *count(s)))
 
     found = bind(_all_tokens(columns), whole)

@@ -217,3 +217,19 @@ def test_postings_of_weak_blocks_are_not_read(spark, tmp_path, small_blocks):
 def test_maxima_of_an_empty_index(spark, tmp_path, small_blocks):
     _stored(spark, str(tmp_path), [], commits=1)
     assert S.top_entries(spark, str(tmp_path), S.term("error")).collect() == []
+
+
+def test_words_are_stemmed_once_per_entry(spark, monkeypatch):
+    """Counts by entry are those of the index, and repeated words go through one stem each."""
+    rows = [(1, "timed out, TIMED  out " * 40, "a"), (2, "warnings warning out timed", "warned"), (3, None, ""), (4, "", None), (1, "out", "b")]
+    entries = spark.createDataFrame(rows, "id long, raw_content string, entry_type string")
+    columns = ("raw_content", "entry_type")
+    leaves = [S.term("WARNINGS"), S.phrase("timed out"), S.prefix("warn")]
+    grouped = []
+    real = S._stemmed
+    monkeypatch.setattr(S, "_stemmed", lambda tagged: grouped.append(1) or real(tagged))
+    got = S._counts_in_entries(entries, leaves, columns).select("entry_id", "doc_len", "c0", "c1", "c2")
+    assert grouped == [1]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 2, 0, 0, 0), (1, 161, 0, 80, 0), (2, 5, 3, 0, 3), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)
+    ]

@@ -3,9 +3,9 @@
 Every word is the context of the next: a restaurant whose customers are the
 words that follow, and whose tables are customers of one parent restaurant that
 all contexts share. Its base is uniform over the words of the training texts
-and one unknown. Seating is sampled by Gibbs: a customer leaves its table and
-sits down again, at a table with its own dish or at a new one. Probabilities
-are averages of the predictive ones over samples.
+and one unknown. Seating is sampled by Gibbs in blocks: all customers of a dish
+leave their tables and sit down again, at tables of their own or with each other.
+Probabilities are averages of the predictive ones over samples.
 
 The work is dealt by context, so a restaurant is whole in one shard; contexts
 that hold a notable part of all words are dealt by context and word instead,
@@ -20,8 +20,8 @@ moves. Three rounds over the texts:
 3. pairs of all texts: the same restaurants are seated again under the common
    parent, sampled, and every text's pairs looked up.
 
-Within a round of moves every dish moves one customer, with the other dishes as
-they were at its start; heavy contexts keep the totals of round 2. Words are
+Every move seats all customers anew, those of a dish together; heavy contexts
+keep the totals of round 2. Words are
 known by 64-bit hashes of their lower-case bytes: among n different words a
 mistaken pair is expected n * n / 2**65 times.
 
@@ -31,6 +31,7 @@ the choice of training texts. Rows that repeat an id are separate documents.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,14 @@ from .wordhash import STEP, Words, mix
 DISCOUNT, STRENGTH = 0.8, 1.0  # of contexts
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 BURN_IN, SAMPLES = 2, 3
+#: Customers of a dish up to which the ways to seat them are tabulated.
+TABULATED = 1024
+#: Tables of a dish with more customers up to which each number has its own weight.
+FEW = 96
+#: Terms of an expansion in powers.
+POWERS = 150
+#: Numbers that one step of a draw holds.
+ROOM = 1 << 20
 BLOCK_BYTES = 6_000_000
 SHARD_TOKENS = 2_500_000
 FOLDS, HELD_OUT = 5, 1
@@ -56,31 +65,110 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
 # --- Seating -------------------------------------------------------------------
+def _log_ways(d: float, most: int) -> np.ndarray:
+    """Logs of the weights of seating c customers of a dish at t tables, for c up to ``most``.
+
+    The weight of a seating is the product of (1 - d)(2 - d) … (n - 1 - d) over its
+    tables of n: generalised Stirling numbers, by their recursion.
+    """
+    held = _WAYS.get(d)
+    if held is None or len(held) <= most:
+        held = np.full((most + 1, most + 1), -np.inf)
+        held[1, 1] = 0.0
+        for c in range(1, most):
+            t = np.arange(1, c + 1)
+            held[c + 1, 1 : c + 1] = np.logaddexp(held[c, :c], np.log(c - d * t) + held[c, 1 : c + 1])
+            held[c + 1, c + 1] = 0.0
+        _WAYS[d] = held
+    return held
+
+
+_WAYS: dict[float, np.ndarray] = {}
+
+
+def _powers(c: np.ndarray, d: float, most: int) -> np.ndarray:
+    """Of (1 - z)**(j * d), j from 1 to ``most``: c! times the coefficient of z**c,
+    times c**((j - 1) * d), over gamma(c - d); by Stirling's series, for c far above j."""
+    a = np.arange(1, most + 1) * d
+    over = [0.0 if float(x).is_integer() else 1 / math.gamma(-x) for x in a.tolist()]
+
+    def part(a: np.ndarray | float) -> np.ndarray:
+        z = c[:, None] - a
+        return (z - 0.5) * np.log1p(-a / c[:, None]) + a + 1 / (12 * z) - 1 / (360 * z**3)
+
+    return np.exp(part(a) - part(d)) * over
+
+
+def _log_sum(log_x: np.ndarray, c: np.ndarray, d: float, few: np.ndarray) -> np.ndarray:
+    """Log of the sum of x**t * ways(c, t) over t, but for a term of c alone.
+
+    The sum is c! times a coefficient of exp(x * (1 - (1 - z)**d) / d). With tables ``few``
+    against c**d its expansion in powers of (1 - z)**d converges soon; else by saddle point.
+    """
+    out = np.empty(len(c))
+    out[~few] = _saddle(log_x[~few], c[~few], d)
+    short = np.flatnonzero(few)
+    rows = max(1, ROOM // POWERS)
+    for at in (short[i : i + rows] for i in range(0, len(short), rows)):
+        x = np.exp(log_x[at]) / d
+        factors = np.cumprod(-(x * c[at] ** -d)[:, None] / np.arange(1, POWERS + 1), axis=1)
+        out[at] = x + np.log((factors * _powers(c[at], d, POWERS)).sum(1))
+    return out
+
+
+def _saddle(log_x: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
+    log_c = np.log(c)
+    high = np.minimum((log_x - log_c) / (1 - d), 0.0)
+    low = high - 60.0
+    for _ in range(70):  # the point, as log(1 - z)
+        v = (low + high) / 2
+        with np.errstate(divide="ignore"):
+            above = log_x - log_c + np.log(-np.expm1(v)) - (1 - d) * v > 0
+        low, high = np.where(above, v, low), np.where(above, high, v)
+    v = low
+    x, z = np.exp(log_x), -np.expm1(v)
+    spread = z * np.exp((d - 1) * v) + z * z * (1 - d) * np.exp((d - 2) * v)
+    return -x * np.expm1(d * v) / d - c * np.log(z) - 0.5 * (log_x + np.log(spread))
+
+
+def _few(log_x: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
+    """Logs of x**t * ways(c, t) for t up to ``FEW``, c far above, by their finite sum."""
+    j = np.arange(1, FEW + 1)
+    falls = _powers(c, d, FEW) * (-1.0) ** j * np.exp(-np.outer(np.log(c), (j - 1) * d))
+    choose = np.array([[math.comb(t, k) for t in j.tolist()] for k in j.tolist()], float)
+    fixed = np.array([math.lgamma(t + 1) + t * math.log(d) for t in j.tolist()])
+    return np.log(np.maximum(falls @ choose, 1e-300)) - fixed + log_x[:, None] * j
+
+
+def _picked(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column of every row, counted from 1, by the logs of its weights."""
+    upto = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+    drawn = rng.random(len(logs)) * upto[:, -1]
+    return np.minimum((upto <= drawn[:, None]).sum(1) + 1, logs.shape[1])
+
+
 class Seating:
     """Customers ``c`` per dish in restaurants ``ctx``, under parent probabilities ``h``.
 
-    ``more_tables`` are tables of each restaurant that other shards hold. Tables
-    lie flat, each dish with room for those it may open. Seating starts at the
-    expected number of tables, one large and the others for one.
+    ``more_tables`` are tables of each restaurant that other shards hold. Only the
+    numbers of tables ``t`` count for probabilities, so they are the state. It starts
+    at the expected numbers. A move seats all customers anew, whatever their number,
+    so ``moves`` needs no room of its own.
     """
 
     def __init__(self, c, ctx, h, n_ctx, rng, d=DISCOUNT, theta=STRENGTH, moves=BURN_IN + SAMPLES, more_tables=None):
         self.c, self.ctx, self.h, self.rng, self.d, self.theta = c, ctx, h, rng, d, theta
-        more = np.zeros(n_ctx) if more_tables is None else more_tables
+        self.more = np.zeros(n_ctx) if more_tables is None else more_tables
         t = np.ones(len(c))
         for _ in range(2):
-            self.tables = np.bincount(ctx, t, n_ctx) + more
+            self.tables = np.bincount(ctx, t, n_ctx) + self.more
             t = self._expected()
         self.t = np.minimum(np.maximum(np.rint(t), 1), c).astype(np.int64)
-        self.tables = np.bincount(ctx, self.t, n_ctx) + more
+        self.tables = np.bincount(ctx, self.t, n_ctx) + self.more
         self.moving = np.flatnonzero(c > 1)
-        room = np.minimum(c[self.moving], self.t[self.moving] + moves)
-        self.off = np.cumsum(room) - room
-        self.sizes = np.zeros(int(room.sum()), np.int64)
-        mine = self.t[self.moving]
-        self.sizes[np.repeat(self.off, mine) + np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine)] = 1
-        self.sizes[self.off] = self.c[self.moving] - mine + 1
-        self.room = room
+        by_size = self.moving[np.argsort(c[self.moving], kind="stable")]
+        cuts = np.flatnonzero(np.diff(np.minimum(c[by_size], TABULATED + 1))) + 1
+        self.alike = [part for part in np.split(by_size, cuts) if len(part)]
 
     def _expected(self, steps: int = 16) -> np.ndarray:
         t = np.ones(len(self.c))
@@ -95,35 +183,56 @@ class Seating:
         return t
 
     def move(self) -> None:
-        """One customer of every dish with more than one leaves and sits down again."""
-        at, off, sizes, d = self.moving, self.off, self.sizes, self.d
-        if not len(at):
+        """All customers of every dish leave and sit down again.
+
+        A gamma variable per restaurant, drawn given its tables, makes its dishes
+        independent: t tables of a dish then weigh x**t times the ways to seat its
+        customers there. That is drawn from as it is, but for dishes with more than
+        ``TABULATED`` customers and many tables, whose number is nearly normal.
+        """
+        if not len(self.moving):
             return
-        n_ctx = len(self.tables)
-        c, t = self.c[at], self.t[at]
-        sums = np.cumsum(sizes)
-        leave = np.searchsorted(sums, sums[off] - sizes[off] + (self.rng.random(len(at)) * c).astype(np.int64), "right")
-        sizes[leave] -= 1
-        gone = np.flatnonzero(sizes[leave] == 0)
-        last = off[gone] + t[gone] - 1
-        sizes[leave[gone]] = sizes[last]
-        sizes[last] = 0
-        t[gone] -= 1
-        self.tables -= np.bincount(self.ctx[at[gone]], minlength=n_ctx)
-        old = c - 1 - d * t
-        new = (self.theta + d * self.tables[self.ctx[at]]) * self.h[at]
-        opens = (self.rng.random(len(at)) * (old + new) < new) & (t < self.room)
-        stays = np.flatnonzero(~opens)
-        weight = np.cumsum(np.where(sizes > 0, sizes - d, 0.0))
-        first = off[stays]
-        before = weight[first] - np.where(sizes[first] > 0, sizes[first] - d, 0.0)
-        sit = np.searchsorted(weight, before + self.rng.random(len(stays)) * old[stays], "right")
-        sizes[np.clip(sit, first, first + t[stays] - 1)] += 1
-        opened = np.flatnonzero(opens)
-        sizes[off[opened] + t[opened]] = 1
-        t[opened] += 1
-        self.tables += np.bincount(self.ctx[at[opened]], minlength=n_ctx)
-        self.t[at] = t
+        gamma = self.rng.gamma(self.theta / self.d + self.tables)
+        with np.errstate(divide="ignore"):
+            log_x = np.log(self.h) + np.log(self.d * gamma[self.ctx])
+        for part in self.alike:
+            size = int(self.c[part[0]])
+            if size > TABULATED:
+                self.t[part] = self._many(self.c[part].astype(float), log_x[part])
+                continue
+            tables = np.arange(1, size + 1)
+            ways = _log_ways(self.d, min(TABULATED, int(self.c.max())))[size, 1 : size + 1]
+            rows = max(1, ROOM // size)
+            for at in (part[i : i + rows] for i in range(0, len(part), rows)):
+                self.t[at] = _picked(ways + log_x[at, None] * tables, self.rng)
+        self.tables = np.bincount(self.ctx, self.t, len(self.tables)) + self.more
+
+    def _many(self, c: np.ndarray, log_x: np.ndarray) -> np.ndarray:
+        """Tables of dishes with many customers."""
+        step = 0.01
+        low = log_x - self.d * np.log(c) <= (1 - self.d) * math.log(8)
+        less, here, more = (_log_sum(log_x + k * step, c, self.d, low) for k in (-1, 0, 1))
+        mean = (more - less) / (2 * step)
+        spread = np.sqrt(np.maximum((more - 2 * here + less) / step**2, 0.0))
+        t = np.rint(mean + spread * self.rng.standard_normal(len(c)))
+        few = np.flatnonzero(mean <= FEW / 3)
+        rows = max(1, ROOM // FEW)
+        for at in (few[i : i + rows] for i in range(0, len(few), rows)):
+            t[at] = _picked(_few(log_x[at], c[at], self.d), self.rng)
+        return np.clip(t, 1, c).astype(np.int64)
+
+    @property
+    def off(self) -> np.ndarray:
+        """Where the tables of each dish with more than one customer begin in ``sizes``."""
+        mine = self.t[self.moving]
+        return np.cumsum(mine) - mine
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """A seating with these numbers of tables: one large, the others for one."""
+        out = np.ones(int(self.t[self.moving].sum()), np.int64)
+        out[self.off] = self.c[self.moving] - self.t[self.moving] + 1
+        return out
 
     def sampled(self, burn_in=BURN_IN, samples=SAMPLES) -> tuple[np.ndarray, np.ndarray]:
         """Mean tables per dish and per restaurant; ``t`` and ``tables`` hold the last sample."""

@@ -43,6 +43,45 @@ def test_seats_add_up():
     assert (tables == s.t[s.moving]).all()
 
 
+def exact_tables(c, x, d):
+    """Mean and variance of t with weights x**t times the ways to seat c at t tables."""
+    logs = pyp._log_ways(d, c)[c, 1 : c + 1] + math.log(x) * np.arange(1, c + 1)
+    weight = np.exp(logs - logs.max())
+    t, weight = np.arange(1, c + 1), weight / weight.sum()
+    mean = (t * weight).sum()
+    return mean, (t * t * weight).sum() - mean * mean
+
+
+def test_every_customer_of_a_dish_is_moved():
+    """Samples of a frequent dish spread as the posterior does, and leave the start behind."""
+    n, c, h = 2000, 400, 0.3
+    s = pyp.Seating(np.full(n, c), np.arange(n), np.full(n, h), n, np.random.default_rng(4))
+    s.t[:] = 1
+    s.tables = s.t.astype(float)
+    s.sampled(20, 1)
+    t = np.arange(1, c + 1)
+    lgamma = np.vectorize(math.lgamma)
+    logs = pyp._log_ways(pyp.DISCOUNT, c)[c, 1 : c + 1] + t * math.log(h * pyp.DISCOUNT)
+    logs = logs + lgamma(pyp.STRENGTH / pyp.DISCOUNT + t)
+    weight = np.exp(logs - logs.max())
+    weight /= weight.sum()
+    mean = (t * weight).sum()
+    deviation = math.sqrt((t * t * weight).sum() - mean * mean)
+    assert abs(s.t.mean() - mean) < 5 * deviation / math.sqrt(n)
+    assert 0.9 < s.t.std() / deviation < 1.1
+
+
+def test_more_customers_than_are_tabulated():
+    for d in (pyp.DISCOUNT, pyp.PARENT_DISCOUNT):
+        for x in (1e-9, 1e-3, 0.05, 0.5, 3.0, 30.0, 1000.0):
+            n, c = 4000, 1500
+            s = pyp.Seating(np.full(n, c), np.arange(n), np.full(n, 0.5), n, np.random.default_rng(5), d=d)
+            got = s._many(np.full(n, float(c)), np.full(n, math.log(x)))
+            mean, variance = exact_tables(c, x, d)
+            assert abs(got.mean() - mean) < 5 * math.sqrt(variance / n) + 0.002 * mean, (d, x)
+            assert abs(got.var() - variance) < 0.15 * variance + 0.05, (d, x)
+
+
 def test_scores(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame(

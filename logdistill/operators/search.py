@@ -12,11 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.arrays import bind, runs
 from ..functions.steps import with_once
 from ..functions.stem import MAX_REWRITTEN, porter
+from ..functions.words import postings_of
 from ..shared import file_names, scratch, written
 from ..sources.tables import without_deleted
 
@@ -140,30 +143,35 @@ def _doc_len(toks: Column, columns: tuple[str, ...]) -> Column:
 def build_postings(
     entries: DataFrame, columns: tuple[str, ...] = COLUMNS
 ) -> DataFrame:
-    """The index: words are grouped, stemmed and counted inside the entry's row.
+    """The index: words are grouped, stemmed and counted inside the entry's task.
 
-    No shuffle; a word costs one row per entry however often it occurs there.
+    No shuffle; a word costs one row per entry however often it occurs there, and is
+    stemmed once per task.
     """
-    both = bind(
-        _all_tokens(columns),
-        lambda t: F.struct(
-            _doc_len(t, columns).alias("n"), runs(F.array_sort(_stemmed(_tagged(t)))).alias("terms")
-        ),
-    )
-    rows = with_once(entries.select(F.col("id").alias("entry_id"), *columns), "x", both)
-    exploded = rows.select("entry_id", F.col("x.n").alias("doc_len"), F.explode("x.terms").alias("p"))
-    return exploded.select(
-        F.col("p.key").alias("term"),
-        "entry_id",
-        "doc_len",
-        F.col("p.n").alias("tf"),
-        F.col("p.at").alias("positions"),
-    )
+    return _postings(entries, columns)
+
+
+def _postings(entries: DataFrame, columns: tuple[str, ...], lengths: bool = False) -> DataFrame:
+    """``build_postings``; with ``lengths`` also a row without a term for every entry."""
+    rows = entries.select(F.col("id").alias("entry_id"), *[F.col(c).cast("string") for c in columns])
+    schema = StructType.fromDDL(schemas.POSTING)
+    schema["entry_id"].dataType = rows.schema["entry_id"].dataType
+    schema["positions"].dataType.containsNull = False
+    return rows.mapInArrow(postings_of(to_arrow_schema(schema), lengths), schema)
 
 
 def document_lengths(entries: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    n = _doc_len(_all_tokens(columns), columns)
-    return entries.select(F.col("id").alias("entry_id"), n.alias("doc_len"))
+    """Words of every entry: the pieces between separators, less empty ones at the ends."""
+    def words(c: Column) -> Column:
+        first, last = F.element_at(c, 1), F.element_at(c, -1)
+        return F.size(c) - F.when((F.size(c) == 1) & (first == ""), 1).otherwise(
+            (first == "").cast("int") + (last == "").cast("int")
+        )
+
+    n = F.lit(0)
+    for name in columns:
+        n = n + bind(F.split(F.coalesce(F.col(name), F.lit("")), SEPARATORS), words)
+    return entries.select(F.col("id").alias("entry_id"), n.cast("bigint").alias("doc_len"))
 
 
 def write_index(
@@ -181,16 +189,20 @@ def write_index(
     order = ("term", "entry_id")
     part = f"/commit={commit}" if commit else ""
     with scratch(entries.sparkSession, "index") as folder:
-        # Range partitioning samples its input first: written, it is built once.
+        # Range partitioning samples its input first: written, it is built once, and the
+        # texts are read once for words and lengths.
+        built = written(_postings(entries, columns, lengths=True), "postings", folder)
         (
-            written(build_postings(entries, columns), "postings", folder)
+            built.where(F.col("term").isNotNull())
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
             .write.mode("overwrite")
             .option("parquet.page.row.count.limit", BLOCK)  # a range of entries skips pages
             .parquet(f"{path}/postings{part}")
         )
-    document_lengths(entries, columns).write.mode("overwrite").parquet(f"{path}/documents{part}")
+        built.where(F.col("term").isNull()).select("entry_id", "doc_len").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/documents{part}")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -233,3 +233,54 @@ def test_words_are_stemmed_once_per_entry(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, 2, 0, 0, 0), (1, 161, 0, 80, 0), (2, 5, 3, 0, 3), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)
     ]
+
+
+def test_postings_of_a_task_stem_each_different_word_once(monkeypatch):
+    import pyarrow as pa
+
+    from logdistill.functions import words
+
+    seen = []
+    plain = words.porter_word
+    monkeypatch.setattr(words, "porter_word", lambda w: seen.append(w) or plain(w))
+    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    texts = ["Connections timed out, connection", None, "", "timed TIMED connections"] * 50
+    schema = pa.schema(
+        [("term", pa.string()), ("entry_id", pa.int64()), ("doc_len", pa.int64()), ("tf", pa.int32()),
+         ("positions", pa.list_(pa.int32()))]
+    )
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array(["out"] * 200)], ["id", "a", "b"])
+    out = [r for b in words.postings_of(schema, lengths=True)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(seen) == ["connection", "connections", "out", "timed"]
+    first = {r["term"]: (r["doc_len"], r["tf"], r["positions"]) for r in out if r["entry_id"] == 0}
+    assert first == {
+        "connect": (5, 2, [0, 3]), "time": (5, 1, [1]), "out": (5, 2, [2, 5]), None: (5, 0, []),
+    }
+    assert {r["entry_id"]: r["doc_len"] for r in out if r["term"] is None} == {
+        i: (5, 1, 1, 4)[i % 4] for i in range(200)
+    }
+
+
+def test_postings_are_those_of_the_column_expressions(spark, sf_dir):
+    from logdistill.functions.words import porter_word
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
+    odd = spark.createDataFrame(
+        [(1, "éed éing at ed yyb Hopping", "ties"), (None, None, None), (1, " --", ""), (2, "a..b", "x\x85ed")],
+        texts.schema,
+    )
+    for entries in (texts, odd):
+        columns = ("text", "lang")
+        words = entries.select(F.explode(S.tokens(F.concat_ws(" ", *columns))).alias("w")).distinct()
+        for r in words.select("w", porter(F.col("w")).alias("s")).collect():
+            assert porter_word(r.w) == r.s
+        tagged = S._tagged(S._all_tokens(columns))
+        old = entries.select("id", F.explode(S.runs(F.array_sort(S._stemmed(tagged)))).alias("p"))
+        new = S.build_postings(entries, columns)
+        assert sorted(map(repr, old.select("id", "p.key", "p.n", "p.at").collect())) == sorted(
+            repr(r).replace("entry_id=", "id=").replace("term=", "key=").replace("tf=", "n=").replace("positions=", "at=")
+            for r in new.select("entry_id", "term", "tf", "positions").collect()
+        )
+        lengths = S.document_lengths(entries, columns).collect()
+        size = entries.select("id", (F.size(S._all_tokens(columns)) - 2).alias("n")).collect()
+        assert sorted(map(repr, [tuple(r) for r in lengths])) == sorted(map(repr, [tuple(r) for r in size]))

@@ -57,8 +57,10 @@ FEW = 96
 #: Terms of an expansion in powers.
 POWERS = 150
 #: Numbers that one step of a draw holds.
-ROOM = 1 << 20
+ROOM = 1 << 17
 BLOCK_BYTES = 6_000_000
+#: Texts of an Arrow batch that are taken out of it at a time.
+SLICE = 256
 SHARD_TOKENS = 2_500_000
 FOLDS, HELD_OUT = 5, 1
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -164,17 +166,23 @@ class Seating:
             self.tables = np.bincount(ctx, t, n_ctx) + self.more
             t = self._expected()
         self.t = np.minimum(np.maximum(np.rint(t), 1), c).astype(np.int64)
-        self.tables = np.bincount(ctx, self.t, n_ctx) + self.more
         self.moving = np.flatnonzero(c > 1)
+        self.alone = np.bincount(ctx[c <= 1], minlength=n_ctx)  # tables of dishes that stay at theirs
+        self._count()
         by_size = self.moving[np.argsort(c[self.moving], kind="stable")]
         cuts = np.flatnonzero(np.diff(np.minimum(c[by_size], TABULATED + 1))) + 1
         self.alike = [part for part in np.split(by_size, cuts) if len(part)]
 
+    def _count(self) -> None:
+        """Tables per restaurant; whole numbers, so the order of adding does not tell."""
+        seats = np.bincount(self.ctx[self.moving], self.t[self.moving], len(self.more))
+        self.tables = self.alone + seats + self.more
+
     def _expected(self, steps: int = 16) -> np.ndarray:
         t = np.ones(len(self.c))
-        a = (self.theta + self.d * self.tables[self.ctx]) * self.h
         big = np.flatnonzero(self.c > 1)
-        c, a, n, x = self.c[big].astype(float), a[big], np.ones(len(big)), np.ones(len(big))
+        a = (self.theta + self.d * self.tables[self.ctx[big]]) * self.h[big]
+        c, n, x = self.c[big].astype(float), np.ones(len(big)), np.ones(len(big))
         for k in range(1, steps + 1):
             to = c ** (k / steps)
             x = x + (to - n) * a / (n - self.d * x + a)
@@ -193,19 +201,23 @@ class Seating:
         if not len(self.moving):
             return
         gamma = self.rng.gamma(self.theta / self.d + self.tables)
-        with np.errstate(divide="ignore"):
-            log_x = np.log(self.h) + np.log(self.d * gamma[self.ctx])
+
+        def log_x(at: np.ndarray) -> np.ndarray:
+            with np.errstate(divide="ignore"):
+                return np.log(self.h[at]) + np.log(self.d * gamma[self.ctx[at]])
+
+        most = min(TABULATED, int(self.c.max()))
         for part in self.alike:
             size = int(self.c[part[0]])
             if size > TABULATED:
-                self.t[part] = self._many(self.c[part].astype(float), log_x[part])
+                self.t[part] = self._many(self.c[part].astype(float), log_x(part))
                 continue
             tables = np.arange(1, size + 1)
-            ways = _log_ways(self.d, min(TABULATED, int(self.c.max())))[size, 1 : size + 1]
+            ways = _log_ways(self.d, most)[size, 1 : size + 1]
             rows = max(1, ROOM // size)
             for at in (part[i : i + rows] for i in range(0, len(part), rows)):
-                self.t[at] = _picked(ways + log_x[at, None] * tables, self.rng)
-        self.tables = np.bincount(self.ctx, self.t, len(self.tables)) + self.more
+                self.t[at] = _picked(ways + log_x(at)[:, None] * tables, self.rng)
+        self._count()
 
     def _many(self, c: np.ndarray, log_x: np.ndarray) -> np.ndarray:
         """Tables of dishes with many customers."""
@@ -265,7 +277,7 @@ def _thaw(data: bytes, *kinds) -> list[np.ndarray]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Ids, training marks and texts in blocks of about ``BLOCK_BYTES``."""
     ids, train, texts, size = [], [], [], 0
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             learns = zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS != HELD_OUT
             ids.append(i)
@@ -343,6 +355,12 @@ def _distinct(u: np.ndarray, w: np.ndarray, n: np.ndarray, doc: np.ndarray | Non
     return u[first], w[first], sums, (None if doc is None else doc[first])
 
 
+def _joined(parts: list[list[np.ndarray]]) -> Iterator[np.ndarray]:
+    """Each column of all ``parts``, which are emptied on the way."""
+    for _ in range(len(parts[0])):
+        yield np.concatenate([p.pop(0) for p in parts])
+
+
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -368,7 +386,10 @@ SCORE = (
 
 
 def _contexts(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(u, return_inverse=True)
+    """Different values of ``u``, which is sorted, and the place of each row among them."""
+    fresh = np.ones(len(u), bool)
+    fresh[1:] = u[1:] != u[:-1]
+    return u[fresh], np.cumsum(fresh) - 1
 
 
 def _first_parent(w: np.ndarray) -> np.ndarray:
@@ -401,8 +422,10 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def seat(key, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_decoded(d, np.uint32) for d in pdf["data"]]
-        u, w, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        u, w, n = _joined(parts)
+        del parts
         u, w, c, _ = _distinct(u, w, n.astype(np.int64))
+        del n
         values, ctx = _contexts(u)
         rng = np.random.default_rng([1, int(key[0])])
         seated = np.flatnonzero(c > 0)  # the others are asked for by held-out texts
@@ -484,18 +507,19 @@ def scores(docs: DataFrame) -> DataFrame:
         heads = [_thaw(i, np.int64, bool, bool) for i in left["ids"]]
         learns = np.concatenate([h[2][p[2]] for h, p in zip(heads, parts, strict=True)])
         ends = np.cumsum([len(p[2]) for p in parts])
-        u, w, doc, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        u, w, doc, n = _joined(parts)
         del parts
-        n = n.astype(np.int64)
         order = np.lexsort((w, u))
-        u, w = u[order], w[order]
+        u = u[order]
+        w = w[order]
         fresh = np.ones(len(u), bool)
         fresh[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(fresh)
-        pair = np.empty(len(u), np.int64)
+        u, w = u[fresh], w[fresh]
+        pair = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
         pair[order] = np.cumsum(fresh) - 1
-        u, w = u[first], w[first]
+        del order, fresh
         c = np.bincount(pair, np.where(learns, n, 0), len(u)).astype(np.int64)
+        del learns
         known = [_thaw(d, np.uint64, np.int64, np.float64) for d in right["data"]]
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
         kw, kc, kt = (np.concatenate([none[i], *[x[i] for x in known]]) for i in range(3))
@@ -505,6 +529,9 @@ def scores(docs: DataFrame) -> DataFrame:
         hit = kw[place] == w if len(kw) else np.zeros(len(w), bool)
         words = np.where(hit, kc[place] if len(kw) else 0, 0)
         h = (np.where(hit, kt[place] if len(kw) else 0.0, 0.0) + rest) / norm
+        base = np.log10((words + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+        seen = words > 0
+        del w, kw, kc, kt, by_word, place, hit, words
         values, ctx = _contexts(u)
         many = np.bincount(ctx, c, len(values))
         more_c, more_t = np.zeros(len(values)), np.zeros(len(values))
@@ -516,17 +543,18 @@ def scores(docs: DataFrame) -> DataFrame:
         rng = np.random.default_rng([3, int(key[0])])
         s = Seating(c[seated], ctx[seated], h[seated], len(values), rng, more_tables=more_t)
         t, tables = s.sampled()
-        own = np.zeros(len(u))
-        own[seated] = c[seated] - DISCOUNT * t
-        p = (own + (STRENGTH + DISCOUNT * tables[ctx]) * h) / (STRENGTH + many + more_c)[ctx]
-        log_p = np.log10(p)
-        base = np.log10((words + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+        del s
+        p = (STRENGTH + DISCOUNT * tables[ctx]) * h
+        p[seated] += c[seated] - DISCOUNT * t
+        p /= (STRENGTH + many + more_c)[ctx]
+        del t, h, c, ctx, seated
+        log_p = np.log10(p, out=p)
         rows = []
         for i, (a, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            at, k, of, size = pair[a:e], n[a:e], doc[a:e], len(heads[i][0])
+            at, k, of, size = pair[a:e], n[a:e].astype(np.int64), doc[a:e], len(heads[i][0])
             sums = [
                 np.bincount(of, k, size).astype(np.uint32),
-                np.bincount(of, k * (words[at] > 0), size).astype(np.uint32),
+                np.bincount(of, k * seen[at], size).astype(np.uint32),
                 np.bincount(of, k * base[at], size),
                 np.bincount(of, k * log_p[at], size),
             ]

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -43,6 +44,19 @@ def test_seats_add_up():
     assert (tables == s.t[s.moving]).all()
 
 
+def test_dishes_of_one_customer_take_no_room_in_a_move():
+    n = 300_000
+    c = np.ones(n, np.int64)
+    c[::100] = 5
+    s = pyp.Seating(c, np.arange(n) // 50, np.full(n, 1e-5), n // 50, np.random.default_rng(6))
+    tracemalloc.start()
+    s.move()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n  # less than one number a dish
+    assert (s.tables == np.bincount(s.ctx, s.t)).all()
+
+
 def exact_tables(c, x, d):
     """Mean and variance of t with weights x**t times the ways to seat c at t tables."""
     logs = pyp._log_ways(d, c)[c, 1 : c + 1] + math.log(x) * np.arange(1, c + 1)

@@ -61,15 +61,14 @@ def is_library_frame(frame: Column) -> Column:
     return contains_any(frame, LIBRARY_MARKS)
 
 
-def may_repeat(lines: Column, share: float) -> Column:
-    """Cheap necessary test for a flood: few enough different lines.
+def may_repeat(lines: Column, share: float, kinds: Column | None = None) -> Column:
+    """Cheap necessary test for a flood: few enough different lines (``kinds``).
 
     With n lines and u different ones, the commonest has at most n - u + 1.
     """
     n = F.size(lines)
-    return (n >= FLOOD_LINES) & (
-        (n - F.size(F.array_distinct(lines)) + 1) / n >= F.lit(share)
-    )
+    kinds = F.array_distinct(lines) if kinds is None else kinds
+    return (n >= FLOOD_LINES) & ((n - F.size(kinds) + 1) / n >= F.lit(share))
 
 
 def top_share(counts: Column, lines: Column) -> Column:

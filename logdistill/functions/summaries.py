@@ -22,7 +22,7 @@ from .detect import (
     parse_frame,
     top_share,
 )
-from .text import content_lines, split_lines, strip, strip_ansi
+from .text import content_lines, is_plain, split_lines, strip, strip_ansi
 
 # --- fixed values -----------------------------------------------------------
 FLOOD_TITLE = "[Repetitive output: %d total line(s), %d unique]"
@@ -38,6 +38,7 @@ BLOCK_FRAME = "  at "
 BLOCK_EXCEPTION = "\n  ↳ "
 FLOOD_ROWS = 8
 FLOOD_WIDTH = 120
+FEW_KINDS = 32
 RUST_ROWS = 30
 GCC_ROWS = 15
 FRAMES_KEPT = 3
@@ -56,7 +57,7 @@ def _rest(pattern: str, total: Column, shown: int) -> Column:
 # --- floods -----------------------------------------------------------------
 def top_lines(counts: Column, k: int = FLOOD_ROWS) -> Column:
     """The k commonest of ``occurrences``; ties keep first-seen order."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             counts,
             lambda x: F.struct((-x["n"]).alias("rank"), x["first"], x["key"], x["n"]),
@@ -80,33 +81,56 @@ def _flood_table(counts: Column, lines: Column, k: int, width: int) -> Column:
     )
 
 
+def _counted(lines: Column, kinds: Column) -> Column:
+    """Each of the different lines ``kinds`` with its number, in an order of first sight.
+
+    Up to ``FEW_KINDS`` are counted one after another, which needs no sort and stays
+    linear; more are cut from the sorted lines.
+    """
+    def one(key: Column, i: Column) -> Column:
+        n = F.size(lines) - F.size(F.array_remove(lines, key))
+        return F.struct(key.alias("key"), n.alias("n"), i.alias("first"))
+
+    many = F.transform(occurrences(lines), lambda x: F.struct(x["key"], x["n"], x["first"]))
+    return F.when(F.size(kinds) <= FEW_KINDS, F.transform(kinds, one)).otherwise(many)
+
+
 def flood_of_lines(
     lines: Column, share: float = FLOOD_SHARE, k: int = FLOOD_ROWS, width: int = FLOOD_WIDTH
 ) -> Column:
     """Frequency table of stripped non-blank lines, or null if not repetitive."""
-    return F.when(
-        may_repeat(lines, share),
-        bind(
-            occurrences(lines),
-            lambda occ: F.when(
-                top_share(occ, lines) >= F.lit(share), _flood_table(occ, lines, k, width)
+    def table(kinds: Column) -> Column:
+        return F.when(
+            may_repeat(lines, share, kinds),
+            bind(
+                _counted(lines, kinds),
+                lambda occ: F.when(
+                    top_share(occ, lines) >= F.lit(share), _flood_table(occ, lines, k, width)
+                ),
             ),
-        ),
-    )
+        )
+
+    return bind(F.array_distinct(lines), table)
 
 
 def summarize_flood(
     c: Column, share: float = FLOOD_SHARE, k: int = FLOOD_ROWS, width: int = FLOOD_WIDTH
 ) -> Column:
-    return bind(
-        content_lines(split_lines(c)), lambda ls: flood_of_lines(ls, share, k, width)
-    )
+    def whole(plain: Column) -> Column:
+        lines = content_lines(split_lines(c, plain), plain)
+        return bind(lines, lambda ls: flood_of_lines(ls, share, k, width))
+
+    return bind(is_plain(c), whole)
 
 
 def condense_context(lines: Column, share: float = FLOOD_SHARE) -> Column:
     """Lines around a traceback: a frequency table if repetitive, else as they are."""
+    return _condensed(lines, share, None)
+
+
+def _condensed(lines: Column, share: float, plain: Column | None) -> Column:
     return bind(
-        content_lines(lines),
+        content_lines(lines, plain),
         lambda ls: F.coalesce(
             flood_of_lines(ls, share), strip(F.array_join(lines, "\n"))
         ),
@@ -188,11 +212,11 @@ def summarize_tracebacks(
 
         return F.transform(blocks, part)
 
-    def whole(lines: Column) -> Column:
+    def whole(lines: Column, plain: Column) -> Column:
         def joined(blocks: Column) -> Column:
             around = F.transform(
                 F.array(preamble(lines, blocks), postamble(lines, blocks)),
-                lambda part: condense_context(part, share),
+                lambda part: _condensed(part, share, plain),
             )
             parts = bind(
                 around,
@@ -204,7 +228,9 @@ def summarize_tracebacks(
 
         return bind(traceback_blocks(lines), joined)
 
-    return bind(split_lines(c), whole)
+    return bind(
+        is_plain(c), lambda plain: bind(split_lines(c, plain), lambda ls: whole(ls, plain))
+    )
 
 
 # --- compiler walls ---------------------------------------------------------

@@ -15,6 +15,8 @@ WHITESPACE = "".join(
 # Line boundaries of str.splitlines().
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+# White space of one byte, but for the blank and the newline.
+ODD_BLANKS = ("\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
 # Terminal colour and cursor codes, removed before matching.
 ESCAPE = "\x1b"
 ANSI_CODE = r"\x1b\[[0-9;]*[mGKHFJA-Z]"
@@ -41,18 +43,23 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(WHITESPACE))
 
 
-def split_lines(c: Column) -> Column:
+def is_plain(c: Column) -> Column:
+    """ASCII without white space but blanks and newlines: lines end and are stripped simply."""
+    return (F.octet_length(c) == F.length(c)) & ~contains_any(c, ODD_BLANKS)
+
+
+def split_lines(c: Column, plain: Column | None = None) -> Column:
     """``str.splitlines()`` as an array: no entry after a final line break.
 
     A text with no break but the newline, as most are, needs no regex: a few
-    byte searches tell.
+    byte searches tell, or ``plain``, its ``is_plain``, where that is known.
     """
-    parts = bind(
-        c,
-        lambda t: F.when(contains_any(t, RARE_BREAKS), F.split(t, LINE_BREAK)).otherwise(
-            F.split(t, "\n")
-        ),
-    )
+    def cut(t: Column) -> Column:
+        rare = contains_any(t, RARE_BREAKS)
+        rare = rare if plain is None else ~plain & rare
+        return F.when(rare, F.split(t, LINE_BREAK)).otherwise(F.split(t, "\n"))
+
+    parts = bind(c, cut)
     return bind(
         parts,
         lambda p: F.when(
@@ -65,9 +72,15 @@ def line_count(c: Column) -> Column:
     return F.size(split_lines(c))
 
 
-def content_lines(lines: Column) -> Column:
-    """Stripped non-blank lines of an array of lines."""
-    return F.filter(F.transform(lines, strip), lambda x: x != "")
+def content_lines(lines: Column, plain: Column | None = None) -> Column:
+    """Stripped non-blank lines of an array of lines, from a text that ``is_plain`` or not.
+
+    ``trim`` takes a tenth of the time of ``strip``, but knows only the blank.
+    """
+    stripped = F.transform(lines, strip)
+    if plain is not None:
+        stripped = F.when(plain, F.transform(lines, lambda x: F.trim(x))).otherwise(stripped)
+    return F.filter(stripped, lambda x: x != "")
 
 
 def strip_ansi(c: Column) -> Column:

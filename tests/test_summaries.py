@@ -1,5 +1,7 @@
 """Summaries against exact strings derived by hand."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from logdistill.functions import summaries as S
@@ -31,6 +33,25 @@ def test_flood_order_ties_width_and_rest(spark):
     assert run(spark, [text], S.summarize) == ["\n".join(rows)]
 
 
+def test_flood_counts_few_and_many_kinds_alike(spark):
+    """Kinds are counted one by one up to ``FEW_KINDS``, beyond from sorted lines; blanks of any kind go."""
+    texts = []
+    for kinds in (1, 9, S.FEW_KINDS, S.FEW_KINDS + 1, 90):
+        rest = [f"k{i * 7 % kinds}" for i in range(1, kinds)]
+        lines = ["hot"] * (3 * kinds + 10) + rest + rest[::-2]
+        for pad in ("", "  ", "\t", "\u3000"):
+            texts.append("\n".join(pad + x + pad for x in lines))
+
+    def table(t):
+        n = Counter(x.strip() for x in t.splitlines())  # in order of first sight, as ties are shown
+        rows = [f"  × {k:5d}  {x}" for x, k in sorted(n.items(), key=lambda x: -x[1])[:8]]
+        more = [f"  … and {len(n) - 8} more unique line(s)"] if len(n) > 8 else []
+        title = f"[Repetitive output: {n.total()} total line(s), {len(n)} unique]"
+        return "\n".join([title, *rows, *more])
+
+    assert run(spark, texts, S.summarize) == [table(t) for t in texts]
+
+
 def test_flood_gates(spark):
     texts = ["\n".join(["a"] * 9), "\n".join(f"u{i}" for i in range(50)), "", "\n \n"]
     assert run(spark, texts, S.summarize) == [None] * 4

@@ -20,6 +20,19 @@ def test_split_lines_is_splitlines(spark):
     assert one(spark, TEXTS, text.split_lines) == [t.splitlines() for t in TEXTS]
 
 
+def test_lines_by_the_plain_way_are_the_same(spark):
+    """Only texts of ASCII without odd white space are plain; lines do not depend on the way."""
+    plain = ["a b \n  c\n\n   \n d", "\x00\x07\x1b[0m a\x7f \n~"]
+    texts = [*TEXTS, *plain, *[f" {b}x{b} \n{b}\n y " for b in text.WHITESPACE + "\ufeff\u200b"]]
+    odd = set(text.WHITESPACE) - {" ", "\n"}
+    assert one(spark, texts, text.is_plain) == [t.isascii() and not odd & set(t) for t in texts]
+
+    def lines(c):
+        return text.content_lines(text.split_lines(c, text.is_plain(c)), text.is_plain(c))
+
+    assert one(spark, texts, lines) == [[x.strip() for x in t.splitlines() if x.strip()] for t in texts]
+
+
 def test_strip_is_strip(spark):
     assert one(spark, TEXTS, text.strip) == [t.strip() for t in TEXTS]
     assert one(spark, TEXTS, text.rstrip) == [t.rstrip() for t in TEXTS]

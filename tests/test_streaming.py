@@ -361,3 +361,50 @@ def test_live_counters_add_up_over_batches(spark, tmp_path):
     assert (got["a"].bytes_read, got["a"].pruner_hits) == (2 * len(flood) + 2, 2)
     assert (got["b"].bytes_read, got["b"].pruner_hits, got["b"].tokens_saved) == (1, 0, 0)
     assert got["a"].tokens_saved == 2 * ((len(flood) - len("[Repetitive output: 40 total line(s), 1 unique]\n  ×    40  same line again")) // 4)
+
+
+def test_rows_are_cut_as_frames_are_without_making_any(monkeypatch):
+    """Chunks as rows, two micro-batches a session, give what the same chunks as frames give."""
+    from datetime import timezone
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+
+    chunk = Row("seq", "ts", "data", "eof")
+    spec = [[(0, b"a\xc3"), (1, b"\xa9b")], [(9, b""), (9, None), (20, b"c"), (21, None)]]
+    batches = [
+        [chunk(i, START + timedelta(seconds=t), d, d is None and t > 20) for i, (t, d) in enumerate(part)] for part in spec
+    ]
+    now = int((START - datetime(1970, 1, 1)).total_seconds() * 1000)
+    frames, by_frames = Memory(), S.Segments(PipePolicy())
+    by_frames.init(frames)
+    want = []
+    for at, part in zip((2, 30), batches, strict=True):
+        pdf = pd.DataFrame([r.asDict() for r in part])
+        for out in by_frames.handleInputRows(("s",), iter([pdf]), TimerValues(-1, now + at * 1000)):
+            want += [tuple(r)[:2] + tuple(r)[4:] for r in out.itertuples(index=False)]
+    monkeypatch.delattr(pd, "DataFrame")
+    plain, by_rows, got = Memory(), S.RowSegments(PipePolicy()), []
+    by_rows.init(plain)
+    for at, part in zip((2, 30), batches, strict=True):
+        aware = [chunk(r.seq, r.ts.replace(tzinfo=timezone.utc), r.data, r.eof) for r in part]
+        told = list(by_rows.handleInputRows(("s",), iter(aware), TimerValues(-1, now + at * 1000)))
+        assert all(r.first_ts.tzinfo and r.first_ts <= r.last_ts for r in told)
+        got += [tuple(r)[:2] + tuple(r)[4:] for r in told]
+    assert got == want and [r[-1] for r in got] == ["aéb".encode(), b"c"]
+    assert plain.value == frames.value and plain.timers == frames.timers
+
+
+def test_the_zone_of_the_session_does_not_move_chunks(spark, tmp_path):
+    """Five hours behind UTC a chunk waits for the watermark all the same."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        replay = Replay(spark, tmp_path, PipePolicy(), "100 seconds")
+        assert replay.feed(rows("a", [(0, b"one"), (1, b"two")])) == {}
+        assert replay.feed(rows("a", [(50, b"three")])) == {}
+        assert replay.feed(rows("a", [(2, b"late")]) + rows("a", [(60, None)])) == {
+            ("a", 1): b"onetwolate", ("a", 2): b"three"
+        }
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -323,7 +323,8 @@ def session_stats(spark, sf):
 def session_stats_stored(spark, sf):
     """Statistics from the totals that commits keep: two, one written twice, and deletions."""
     path = fresh_path(spark, "archive")
-    rows = _pruned(spark, sf).withColumn("seq", F.col("id")).drop("id")
+    # Written, so that the logs are built and pruned once and not for every commit.
+    rows = written(_pruned(spark, sf).withColumn("seq", F.col("id")).drop("id"), "pruned")
     some = F.col("kind").isin("traceback", "flood")
     archive.append_entries(rows.where(some), path, "some")
     archive.append_entries(rows.where(~some), path, "rest")

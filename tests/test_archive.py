@@ -371,3 +371,23 @@ def test_line_tables_do_not_shuffle(entries):
     for f in (lines.line_table, lines.line_frequency, lines.top_k_lines, lines.traceback_blocks):
         plan = f(entries, ["id"])._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, f.__name__
+
+
+def test_logs_are_pruned_once_for_all_commits(spark, sf_dir, monkeypatch):
+    """Three appends, two of the same rows: every log is built and pruned one time."""
+    from logdistill.plans import queries
+
+    seen, pruned = spark.sparkContext.accumulator(0), queries._pruned
+
+    def counted(spark, sf):
+        @F.udf("bigint")
+        def note(i):
+            seen.add(1)
+            return i
+
+        return pruned(spark, sf).withColumn("id", note("id"))
+
+    monkeypatch.setattr(queries, "_pruned", counted)
+    rows = queries.session_stats_stored(spark, sf_dir).collect()
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert seen.value == n and 0 < sum(r.total_entries for r in rows) < n
